@@ -26,7 +26,7 @@ from noema.llm.frames import keyed_text, map_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pre-tokens and machine states that one Python worker remembers before it starts afresh.
-MEMO, STATES = 300_000, 200_000
+MEMO, STATES = 250_000, 250_000
 
 
 class Transducer:
@@ -38,6 +38,9 @@ class Transducer:
         self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
         self.apart: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.spelled: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -45,7 +48,6 @@ class Transducer:
         self.states: list[tuple[tuple[bytes, tuple[int, ...]], ...]] = [((b"", ()),)]
         self.numbers = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
 
     def by_merging(self, piece: bytes) -> list[int]:
         """Ids by repeated merges of the lowest-ranked pair, the definition that the machine is tested against."""
@@ -144,13 +146,28 @@ class Transducer:
         for piece in pieces:
             ids = memo.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece.encode())
-                memo = self.memo
-                memo[piece] = ids
+                ids = memo[piece] = self.encode_piece(piece.encode())
             out.append(ids)
         return out
 
 
+    def spell(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        """Of each pre-token: how many ids, the ids with commas between, and the bytes that the ids stand for.
+
+        What was asked for lately is remembered in two generations: once the
+        younger is full, it becomes the older, and what is used again moves on.
+        """
+        if len(self.spelled) > MEMO:
+            self.older, self.spelled = self.spelled, {}
+        known, older = self.spelled, self.older
+        for piece in set(pieces).difference(known):
+            if (entry := older.get(piece)) is None:
+                ids = self.encode_piece(piece.encode())
+                entry = (len(ids), ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids]))
+            known[piece] = entry
+        return list(map(known.__getitem__, pieces))
+
+
 class Utf8Stream:
     """Decodes chunks of bytes that may cut characters: a state machine keeps the open bytes of a character between chunks."""
 
@@ -230,18 +247,19 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
         machine, split = _machine(ranks), _pattern(pattern)
         counts, id_hashes, text_hashes, back = [], [], [], []
         for text in batch.column(1).to_pylist():
-            ids = list(chain.from_iterable(machine.encode(split.findall(text or ""))))
-            counts.append(len(ids))
-            id_hashes.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            digest = hashlib.sha256()
-            parts = []
-            for part in decode_stream(machine, ids):
+            seen = machine.spell(split.findall(text or ""))
+            counts.append(sum(n for n, _, _ in seen))
+            id_hashes.append(hashlib.sha256(",".join([ids for _, ids, _ in seen]).encode()).hexdigest())
+            stream, digest, parts = Utf8Stream(), hashlib.sha256(), []
+            for k in range(0, len(seen) + 1, 65_536):
+                part = stream.feed(b"".join([data for _, _, data in seen[k : k + 65_536]]))
+                part += stream.close() if k + 65_536 > len(seen) else ""
                 digest.update(part.encode())
                 if keep_text:
                     parts.append(part)
             text_hashes.append(digest.hexdigest())
             back.append("".join(parts))
-        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
         return pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * keep_text, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["text"] * keep_text)
 
     return map_batches(keyed_text(docs, id_col, text_col), run, SCHEMA + ", text string" * keep_text)

@@ -20,7 +20,7 @@ from noema.llm.frames import keyed_text, map_batches, offsets_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Distinct pre-tokens whose counts one Python worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -52,6 +52,7 @@ class WordBpe:
         specials = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and how many special strings stand in it (each is one token)."""
@@ -106,9 +107,11 @@ class WordBpe:
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         split = [self.pre_tokens(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({w for words, _ in split for w in words if w not in self.memo})
+        if len(self.memo) > MEMO:  # what is used again moves on from the older generation
+            self.older, self.memo = self.memo, {}
+        wanted = set().union(*(words for words, _ in split)).difference(self.memo)
+        self.memo.update((w, self.older[w]) for w in wanted if w in self.older)
+        new = [w for w in wanted if w not in self.older]
         for k in range(0, len(new), 100_000):
             self.memo.update(zip(new[k : k + 100_000], self.merge_counts(new[k : k + 100_000]).tolist(), strict=True))
         get = self.memo.__getitem__
