@@ -112,11 +112,13 @@ class Transducer:
         if here is None:
             raise ValueError("no token ends here: the ranks lack single bytes")
         live = [(read, before) for read, before in grown if read in self.prefixes] + [(b"", here)]
-        common = 0
-        shortest = min(len(before) for _, before in live)
-        while common < shortest - 1 and len({before[common] for _, before in live}) == 1:
+        befores = [before for _, before in live]
+        common, last, column = 0, min(map(len, befores)) - 1, ()
+        for column in zip(*befores, strict=False):
+            if common == last or column.count(column[0]) < len(column):
+                break
             common += 1
-        if common and len({before[common] for _, before in live}) > 1:
+        if common and column.count(column[0]) < len(column):
             common -= 1  # the token before the first difference is still needed for pair checks
         out = live[0][1][:common]
         key = tuple((read, before[common:]) for read, before in live)
