@@ -4,10 +4,10 @@ The token that ends a prefix of a pre-token is unique: it is the token t such
 that the last token before it and t stay apart when merged together. So the
 encodings of all prefixes form a chain of last tokens, and a deterministic
 machine can read bytes from left to right. Its state holds the starts from
-which a longer token may still come, and for each the tokens that are not yet
-certain; a token is written out as soon as all starts agree on it, which is
-after at most the longest token's bytes. States and transitions are made on
-first use.
+which a longer token may still come, and the token that ends at each; a
+transition gives the token that ends at the byte read. Once a single start is
+left, all tokens up to it are certain and are written out, following the chain
+back. States and transitions are made on first use.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from noema.llm.frames import keyed_text, map_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pre-tokens and machine states that one Python worker remembers before it starts afresh.
-MEMO, STATES = 250_000, 250_000
+MEMO, STATES = 250_000, 500_000
+#: Bytes whose tokens wait at least before they are written out; they are once the machine is in a state with a single start.
+PENDING = 64
 
 
 class Transducer:
@@ -35,8 +37,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        #: Of the byte strings that begin tokens: the number of a string and a byte give the longer string's number; the token that a string is, or -1; whether longer tokens begin with it.
+        self.longer: dict[int, int] = {}
+        self.token_at, self.open = [-1], [True]
+        for piece, token in ranks.items():
+            node = 0
+            for byte in piece:
+                below = self.longer.get(node << 8 | byte)
+                if below is None:
+                    below = self.longer[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.open.append(False)
+                    self.open[node] = True
+                node = below
+            self.token_at[node] = token
+        self.apart: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.spelled: dict[str, tuple[int, str, bytes]] = {}
@@ -44,10 +60,10 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        #: A state is a tuple of live starts, the latest last: (bytes read since the start, tokens before the start that are not written yet).
-        self.states: list[tuple[tuple[bytes, tuple[int, ...]], ...]] = [((b"", ()),)]
+        #: A state is a tuple of live starts, the latest last: (number of the bytes read since the start, the token that ends at the start or -1).
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
         self.numbers = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, int, bool]] = {}
 
     def by_merging(self, piece: bytes) -> list[int]:
         """Ids by repeated merges of the lowest-ranked pair, the definition that the machine is tested against."""
@@ -77,7 +93,7 @@ class Transducer:
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether the bytes of two tokens, merged together, give these two tokens: no merge across the border comes before both its parts have grown on."""
-        key = (left, right)
+        key = left << 20 | right
         if (known := self.apart.get(key)) is None:
             if len(self.apart) > 1_000_000:
                 self.apart.clear()
@@ -96,48 +112,55 @@ class Transducer:
             self.apart[key] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition of a state by one byte: next state, and the tokens that became certain.
-
-        The first token of every pending list is the last certain one (kept
-        for the next pair check), so what is written lags by that token.
-        """
-        grown = [(read + bytes((byte,)), before) for read, before in self.states[state]]
-        here = None
-        for read, before in grown:
-            token = self.ranks.get(read)
-            if token is not None and (not before or self.stays_apart(before[-1], token)):
-                here = (*before, token)
-                break
-        if here is None:
+    def step(self, state: int, byte: int) -> tuple[int, int, bool]:
+        """The transition of a state by one byte: next state, the token that ends here, and whether all tokens up to here are certain."""
+        here, live, apart = -1, [], self.apart
+        for read, last in self.states[state]:
+            grown = self.longer.get(read << 8 | byte)
+            if grown is None:
+                continue
+            if here < 0 and (token := self.token_at[grown]) >= 0:
+                if last < 0:
+                    here = token
+                else:
+                    known = apart.get(last << 20 | token)
+                    if self.stays_apart(last, token) if known is None else known:
+                        here = token
+            if self.open[grown]:
+                live.append((grown, last))
+        if here < 0:
             raise ValueError("no token ends here: the ranks lack single bytes")
-        live = [(read, before) for read, before in grown if read in self.prefixes] + [(b"", here)]
-        befores = [before for _, before in live]
-        common, last, column = 0, min(map(len, befores)) - 1, ()
-        for column in zip(*befores, strict=False):
-            if common == last or column.count(column[0]) < len(column):
-                break
-            common += 1
-        if common and column.count(column[0]) < len(column):
-            common -= 1  # the token before the first difference is still needed for pair checks
-        out = live[0][1][:common]
-        key = tuple((read, before[common:]) for read, before in live)
+        live.append((0, here))
+        key = tuple(live)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, out)
+        move = self.moves[state << 8 | byte] = (number, here, len(live) == 1)
         return move
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if len(self.states) > STATES:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        out: list[int] = []
+        state, moves, ends = 0, self.moves, []
         for byte in piece:
-            state, done = moves.get(state << 8 | byte) or self.step(state, byte)
-            if done:
-                out += done
-        return (*out, *self.states[state][-1][1])
+            state, token, certain = moves.get(state << 8 | byte) or self.step(state, byte)
+            ends.append(token)
+            if certain and len(ends) >= PENDING:
+                out += self.trace(ends)
+                ends.clear()
+        return (*out, *self.trace(ends))
+
+    def trace(self, ends: list[int]) -> list[int]:
+        """Tokens of a stretch, from the token that ends at each of its bytes."""
+        out, at, size = [], len(ends), self.sizes
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, pieces: Iterable[str]) -> list[tuple[int, ...]]:
         """Ids of each pre-token."""
