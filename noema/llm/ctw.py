@@ -33,17 +33,31 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def gram_keys(texts: list[bytes], depth: int) -> np.ndarray:
     """A key for every byte of the texts and for the edge that ends each: the byte before it in the highest place, then the one before that and so on to ``depth``, the byte itself in the lowest."""
-    data = np.frombuffer(b"".join(bytes((EDGE,)) * depth + t + bytes((EDGE,)) for t in texts), np.uint8).astype(np.uint64)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1 + depth
-    inside = np.ones(len(data), bool)
-    starts = np.cumsum(size) - size
-    for k in range(depth):
-        inside[starts + k] = False
-    at = np.flatnonzero(inside)
-    key = data[at]
+    data = np.frombuffer(b"".join(bytes((EDGE,)) * depth + t for t in texts) + bytes((EDGE,)) * depth, np.uint8).astype(np.uint64)
+    n = len(data) - depth
+    key = data[depth:].copy()
     for k in range(1, depth + 1):
-        key |= data[at - k] << np.uint64(8 * (depth + 1 - k))
-    return key
+        key |= data[depth - k : depth - k + n] << np.uint64(8 * (depth + 1 - k))
+    # of the edges between two texts only the first is one
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + depth
+    keep = np.ones(n, bool)
+    ends = np.cumsum(size) - depth
+    for k in range(1, depth):
+        keep[ends + k] = False
+    return key[keep]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted different keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 class Level(NamedTuple):

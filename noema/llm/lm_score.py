@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.ctw import Tree, gram_keys, merge, shorter
+from noema.llm.ctw import Tree, counted, distinct, gram_keys, merge, shorter
 from noema.llm.frames import block_count, crc_remainder, cut, keyed_text
 from noema.llm.words import SPACES, chunks, mix, texts_of, word_table, words
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Bytes of context; characters of text for a shard; different keys that a task gathers before it sends them.
-DEPTH, SHARD_CHARS, GATHER = 6, 8_000_000, 3_000_000
+DEPTH, SHARD_CHARS, GATHER = 6, 8_000_000, 1_000_000
 _INSIDE = word_table(separators=SPACES)
 GRAMS, WORDS = 0, 1
 _ROWS = "shard int, block int, kind int, keys binary, counts binary"
@@ -100,7 +100,7 @@ def count_table(docs: DataFrame, depth: int, shards: int) -> DataFrame:
             texts = texts_of(batch.column(0))
             for a, b in chunks(texts):
                 for parts, keys in zip(held, _keys(texts[a:b], depth), strict=True):
-                    parts.append(np.unique(keys, return_counts=True))
+                    parts.append(counted(keys))
                 if sum(len(p[0]) for p in held[0]) > 2 * GATHER:
                     for kind, parts in enumerate(held):
                         held[kind] = [merge([p[0] for p in parts], [p[1] for p in parts])]
@@ -163,7 +163,7 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
     table = cut(count_table(named.where(~F.col("held_out")), depth, shards))
     tree, n_words, n_distinct = top_tree(table, depth, shards)
     n_train = int(size[1])
-    total, distinct = n_words + n_train, n_distinct + (n_train > 0)
+    total, vocabulary = n_words + n_train, n_distinct + (n_train > 0)
     top = docs.sparkSession.sparkContext.broadcast(tree)
     blocks = block_count(named)
     dealt = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
@@ -177,12 +177,12 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
                 parts = held.setdefault(block, [[], []])
                 for a, b in chunks(own):
                     for part, keys in zip(parts, _keys(own[a:b], depth), strict=True):
-                        part.append(np.unique(keys))
-                        if len(part) > 12:
-                            part[:] = [np.unique(np.concatenate(part))]
+                        part.append(distinct(keys))
+                        if len(part) > 6:
+                            part[:] = [distinct(np.concatenate(part))]
         for block in sorted(held):
             for kind, part in enumerate(held.pop(block)):
-                keys = np.unique(np.concatenate(part))
+                keys = distinct(np.concatenate(part))
                 if len(keys):
                     yield _rows(block, kind, keys, None, depth, shards)
 
@@ -193,7 +193,7 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
                 asked = [(r["block"], unsqueeze(r["keys"], True)) for r in rows if r["kind"] == kind and r["block"] is not None]
                 if not asked:
                     continue
-                wanted = np.unique(np.concatenate([a[1] for a in asked]))
+                wanted = distinct(np.concatenate([a[1] for a in asked]))
                 if kind == GRAMS:
                     values = Tree(keys, counts, depth, 2).log_probability(wanted, top.value).astype(np.float32)
                 else:
@@ -205,14 +205,21 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = texts_of(left.column("text").combine_chunks()) if left.num_rows else []
-        uniques: list[list[np.ndarray]] = [[], []]
+        seen = []  # of each chunk: its different grams, which of them each byte has, its words
         for a, b in chunks(texts):
-            for part, keys in zip(uniques, _keys(texts[a:b], depth), strict=True):
-                part.append(np.unique(keys))
+            grams = gram_keys(texts[a:b], depth)
+            order = np.argsort(grams)
+            ordered = grams[order]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            place = np.empty(len(grams), np.int32)
+            place[order] = np.cumsum(new, dtype=np.int32) - 1
+            tokens = words(texts[a:b], _INSIDE, lower=True)
+            seen.append((ordered[new], place, tokens.hashes(), tokens.first))
+        uniques = [[x[0] for x in seen], [x[2] for x in seen]]
         found = {(r["kind"], r["shard"]): r["found"] for r in right.to_pylist()}
         tables = []
         for kind, parts in enumerate(uniques):
-            keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            keys = distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
             order, edges = _dealt(keys, kind, depth, shards)
             values = np.zeros(len(keys), np.float64)
             for s in np.flatnonzero(np.diff(edges)).tolist():
@@ -220,20 +227,17 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
                 values[order[edges[s] : edges[s + 1]]] = np.frombuffer(data, np.float32) if kind == GRAMS else unsqueeze(data, False)
             tables.append((keys, values))
         scores, base, n_tokens, n_known = [], [], [], []
-        floor = total + 0.1 * (distinct + 1)
-        for a, b in chunks(texts):
+        floor = total + 0.1 * (vocabulary + 1)
+        for (a, b), (asked, place, hashes, first) in zip(chunks(texts), seen, strict=True):
             part = texts[a:b]
-            grams = gram_keys(part, depth)
-            asked, at = np.unique(grams, return_inverse=True)
-            logs = tables[0][1][np.searchsorted(tables[0][0], asked)][at]
+            logs = tables[0][1][np.searchsorted(tables[0][0], asked)][place]
             sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
             scores.append(np.add.reduceat(logs, np.cumsum(sizes) - sizes) / math.log(10))
-            tokens = words(part, _INSIDE, lower=True)
-            counts = tables[1][1][np.searchsorted(tables[1][0], tokens.hashes())]
-            owner = tokens.owner()
+            counts = tables[1][1][np.searchsorted(tables[1][0], hashes)]
+            owner = np.repeat(np.arange(len(part)), np.diff(first))
             n = len(part)
             base.append(np.bincount(owner, np.log10((counts + 0.1) / floor), n) + math.log10((n_train + 0.1) / floor))
-            n_tokens.append(np.diff(tokens.first) + 1)
+            n_tokens.append(np.diff(first) + 1)
             n_known.append(np.bincount(owner, counts > 0, n).astype(np.int64) + (n_train > 0))
         join = lambda x, t: pa.array(np.concatenate(x or [np.zeros(0)]).astype(t))
         return pa.table([left.column("doc_id"), left.column("held_out"), join(n_tokens, np.int64), join(n_known, np.int64), pa.array(np.full(left.num_rows, total)), join(base, np.float64), join(scores, np.float64)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
