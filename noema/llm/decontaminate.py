@@ -11,13 +11,14 @@ whole length.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.frames import keyed_text, map_batches
+from noema.llm.frames import filter_rows, keyed_text, map_batches
 from noema.llm.words import chunks, grams, texts_of, word_table, words
 
 LETTERS = word_table(letters=b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
@@ -137,6 +138,32 @@ def _scan(docs: DataFrame, index, whole: bool) -> DataFrame:
     return map_batches(docs, run, SCHEMA if whole else "doc_id long, digest binary, n_words long, hit binary, items array<string>")
 
 
+def _indexes(benchmark: DataFrame, window: int, k: int, part_chars: int) -> Iterator:
+    """Broadcast indexes of the benchmark's parts, each of about ``part_chars`` characters."""
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-int(size) // part_chars))
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1].encode() for r in rows], window, k))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents, all columns, without a word that is hit."""
+    for index in _indexes(benchmark, window, k, part_chars):
+
+        def keep(batch: pa.RecordBatch, index=index) -> np.ndarray:
+            texts, out = texts_of(batch.column("text")), np.ones(batch.num_rows, bool)
+            for a, b in chunks(texts):
+                tokens = words(texts[a:b], LETTERS, lower=True)
+                hit = index.value.hits(tokens.hashes(), tokens.first, tokens.owner())[0]
+                out[a:b] = np.diff(np.concatenate(([0], np.cumsum(hit)))[tokens.first]) == 0
+            return out
+
+        docs = filter_rows(docs, keep)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_chars: int = PART_CHARS) -> DataFrame:
     """Words of each document inside a window that it shares with a benchmark item, and the items.
 
@@ -151,15 +178,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     read.
     """
     docs = keyed_text(docs, "doc_id", "text")
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // part_chars))
-    spark = docs.sparkSession
-    found = []
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1].encode() for r in rows], window, k))
-        found.append(_scan(docs, index, parts == 1))
+    indexes = list(_indexes(benchmark, window, k, part_chars))
+    parts = len(indexes)
+    found = [_scan(docs, index, parts == 1) for index in indexes]
     if parts == 1:
         return found[0]
     merged = found[0]

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text that one block of rows holds on average.
 BLOCK_CHARS = 16_000_000
@@ -20,7 +21,7 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function of one batch; None stands for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,6 +32,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], helper: str = "") -> DataFrame:
+    """Rows for which ``fn`` of a batch is true, with all columns (but for ``helper``) as they are; no shuffle."""
+    kept = [c for c in docs.columns if c != helper]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.select(kept).filter(pa.array(fn(batch)))
+
+    return map_batches(docs, run, docs.select(*kept).schema)
+
+
 def block_count(df: DataFrame, text_col: str = "text", chars: int = BLOCK_CHARS) -> int:
     """How many blocks hold the rows at about ``chars`` characters each; one number reaches the driver."""
     total = df.agg(F.coalesce(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 16), F.lit(0))).first()[0]

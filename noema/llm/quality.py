@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.frames import crc_remainder, map_batches
+from noema.llm.frames import crc_remainder, filter_rows, map_batches
 from noema.llm.words import SPACES, chunks, texts_of, word_table, words
 
 #: Bits of the hash space of words.
@@ -199,6 +199,22 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     return fit(Rows(first, np.concatenate(index or [np.zeros(0, np.int32)]), np.concatenate(value or [np.zeros(0, np.float32)])), np.array([r[1] for r in found], np.float32))
 
 
+def _scores(model: Model, texts: list[bytes], declared: np.ndarray) -> np.ndarray:
+    raw = np.concatenate([model.raw(features(texts[a:b], declared[a:b])) for a, b in chunks(texts)])
+    return 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that score ``threshold`` or more; columns and their nulls stay as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    size = F.coalesce(docs["n_chars"].cast("long"), F.lit(-1)) if "n_chars" in docs.columns else F.lit(-1).cast("long")
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        return _scores(sent.value, texts_of(batch.column("text")), batch.column("__declared").to_numpy(zero_copy_only=False)) >= threshold
+
+    return filter_rows(docs.withColumn("__declared", size), keep, "__declared")
+
+
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of every whole text: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
@@ -210,8 +226,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = THRE
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, declared = texts_of(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-        raw = np.concatenate([sent.value.raw(features(texts[a:b], declared[a:b])) for a, b in chunks(texts)])
-        p = 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
+        p = _scores(sent.value, texts, declared)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = map_batches(_inputs(docs), run, "doc_id long, score double, predicted int")

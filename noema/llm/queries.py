@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noema.llm import byte_bpe, decontaminate, html_text, lm_score, quality, simhash, substring_dedup, token_counts
+from noema.llm import byte_bpe, decontaminate, html_text, license_scan, lm_score, media, quality, simhash, substring_dedup, token_counts
 from noema.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_paths(read(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -45,14 +49,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_html_text": op7_html_text,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}

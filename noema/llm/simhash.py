@@ -170,6 +170,13 @@ def links(distinct: DataFrame, threshold: int = 4, crowd: int = CROWD, blocks: i
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _roots(prints: DataFrame, threshold: int, crowd: int, blocks: int | None) -> DataFrame:
+    """fp, root (a fingerprint that names the component), low (smallest doc_id of the fingerprint)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    star = components(links(distinct, threshold, crowd, blocks))
+    return distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 4, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
     """Each document's fingerprint and the smallest doc_id that can be reached over links of ``threshold`` or fewer differing bits.
 
@@ -179,13 +186,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = 4, crowd: int
     are; an empty table gives no rows; other columns are not read.
     """
     prints = cut(fingerprint_table(docs, k))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    star = components(links(distinct, threshold, crowd, blocks))
-    rooted = distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(prints, threshold, crowd, blocks)
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, k: int = 4, threshold: int = 4, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
+    """One document of each component, all columns: that of the smallest doc_id (null last), of equal ids that of the smallest hash of its text."""
+    named = F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(texts_of(batch.column(2)), k).view(np.int64))], ["doc_id", "name", "fp"])
+
+    prints = cut(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("name"), F.col("text").cast("string").alias("text")), run, "doc_id long, name long, fp long"))
+    rooted = _roots(prints, threshold, crowd, blocks)
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
+    chosen = first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("__id"), F.col("first.name").alias("__name"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__name": named})
+    return keyed.join(chosen, ["__name", "__id"], "left_semi").dropDuplicates(["__name", "__id"]).select(*docs.columns)
+
+
 def brute_force(texts: list[str | None], k: int = 4, threshold: int = 4) -> tuple[list[int], list[int]]:
     """The definition: fingerprints, and for each text the first text that it is linked to over any number of links."""
     fps = []

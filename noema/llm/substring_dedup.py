@@ -276,6 +276,35 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     return map_batches(joined, run, SCHEMA + ", text string" * keep_text)
 
 
+def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The documents, all columns, without repeated windows: a text that loses words is the others joined by one space (and n_chars its length, where there is that column); other texts stay as they are."""
+    name = {"__hash": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__low": F.coalesce(F.expr("cast(doc_id as int)"), F.lit(0))}
+    named = docs.withColumns(name)
+    spans = repeated_spans(named.select(F.col("__hash").alias("hash"), F.col("__low").alias("low"), F.col("text").cast("string").alias("text")), window, anchor).groupBy(F.col("hash").alias("__hash"), F.col("low").alias("__low")).agg(F.collect_list("begin").alias("__begins"), F.collect_list("end").alias("__ends"))
+    schema = docs.schema
+    sized = "n_chars" in docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        begins, ends = batch.column("__begins"), batch.column("__ends")
+        texts = batch.column("text").to_pylist()
+        sizes = batch.column("n_chars").to_pylist() if sized else []
+        for k, text in enumerate(texts):
+            if text is not None and begins[k].is_valid:
+                parts = text.encode().split()
+                change = np.zeros(len(parts) + 1, np.int64)
+                np.add.at(change, begins[k].values.to_numpy(), 1)
+                np.add.at(change, ends[k].values.to_numpy(), -1)
+                texts[k] = b" ".join([parts[j] for j in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]).decode()
+                if sized:
+                    sizes[k] = len(texts[k])
+        new = {"text": texts, "n_chars": sizes}
+        columns = [pa.array(new[f], batch.column(f).type) if f == "text" or sized and f == "n_chars" else batch.column(f) for f in schema.names]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    joined = named.join(spans, ["__hash", "__low"], "left").select(*docs.columns, "__begins", "__ends")
+    return map_batches(joined, run, schema)
+
+
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
     """The definition: number of words, of removed words, digest of the kept words."""
     split = [(t or "").encode().split() for t in texts]
