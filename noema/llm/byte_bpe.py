@@ -26,7 +26,7 @@ from noema.llm.frames import keyed_text, map_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pre-tokens and machine states that one Python worker remembers before it starts afresh.
-MEMO, STATES = 250_000, 500_000
+MEMO, STATES = 120_000, 150_000
 #: Bytes whose tokens wait at least before they are written out; they are once the machine is in a state with a single start.
 PENDING = 64
 
@@ -95,7 +95,7 @@ class Transducer:
         """Whether the bytes of two tokens, merged together, give these two tokens: no merge across the border comes before both its parts have grown on."""
         key = left << 20 | right
         if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
             a, b, i, j, known = self.growth(left, -1), self.growth(right, 0), 0, 0, True
             while True:

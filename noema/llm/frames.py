@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Characters of text that one block of rows holds on average.
 BLOCK_CHARS = 16_000_000
+#: Bytes of a batch that a function gets at a time.
+PIECE_BYTES = 12_000_000
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,12 +24,14 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; None stands for no rows."""
+    """``mapInArrow`` for a function of a piece of a batch; None stands for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            step = max(1, batch.num_rows // (batch.nbytes // PIECE_BYTES + 1))
+            for k in range(0, batch.num_rows, step):
+                if (out := fn(batch.slice(k, step))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
