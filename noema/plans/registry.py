@@ -1,20 +1,274 @@
-"""The registered queries of the knowledge-graph engine."""
+"""The registered queries of the knowledge-graph engine, each with the DuckDB text that it is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from noema.functions import scalars
+from noema.operators import catalogue, merge, search, traverse, vectors
+from noema.plans import graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+NOW = "1998-08-02 00:00:00"
+
+
+def query(oracle: str | None, on_graph: bool = True) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            _ORACLES[fn.__name__] = graph.oracle(oracle) if on_graph else oracle
+        return fn
+
+    return register
+
+
+@query(" SELECT scope, type, status, count(*) AS n FROM concepts GROUP BY ALL")
+def inventory_counts(spark, sf_dir):
+    return catalogue.counts(graph.load(spark, sf_dir)[0])
+
+
+@query(" SELECT store, scope, type, status, count(*) AS n FROM concepts GROUP BY GROUPING SETS ((store), (store, scope), (store, type), (store, status))")
+def store_stats(spark, sf_dir):
+    return catalogue.stats(graph.load(spark, sf_dir)[0])
+
+
+@query(" SELECT id, type, title FROM concepts c WHERE status <> 'tombstone' AND scope = 'catalog' AND type = 'Part' AND curated AND (contains(lower(title), 'a') OR contains(lower(coalesce(description, '')), 'a'))")
+def faceted_filter(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return catalogue.faceted(c, e, scope="catalog", types=["Part"], curated=True, text="A").select("id", "type", "title")
+
+
+@query(" SELECT id, title FROM concepts WHERE status <> 'tombstone' AND scope = 'geo' AND id IN (SELECT to_id FROM edges WHERE kind = 'member' AND from_id = 'region:1')")
+def cluster_facet(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return catalogue.faceted(c, e, scope="geo", cluster="region:1").select("id", "title")
+
+
+@query(" SELECT scope, type, count(*) AS n FROM concepts WHERE status <> 'tombstone' AND id NOT IN (SELECT to_id FROM edges WHERE kind = 'member') GROUP BY ALL")
+def orphan_facet(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return catalogue.faceted(c, e, orphan=True).groupBy("scope", "type").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT id, title FROM concepts WHERE scope = 'geo' AND status <> 'tombstone' AND type = 'Nation'")
+def scope_scan(spark, sf_dir):
+    return catalogue.in_scope(graph.load(spark, sf_dir)[0], "geo", "Nation").select("id", "title")
+
+
+@query(", p AS (SELECT id, title FROM concepts WHERE scope = 'catalog' AND status <> 'tombstone' AND id > 'part:2' ORDER BY id LIMIT 51), k AS (SELECT *, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS a FROM p) SELECT id, title, CASE WHEN a > 50 THEN max(CASE WHEN n = 50 THEN id END) OVER () END AS next_cursor FROM k QUALIFY n <= 50")
+def keyset_page(spark, sf_dir):
+    c, _ = graph.load(spark, sf_dir)
+    return catalogue.page(catalogue.in_scope(c, "catalog"), 50, "part:2").select("id", "title", "next_cursor")
+
+
+@query(", p AS (SELECT id FROM concepts WHERE scope IN ('geo', 'catalog') AND status <> 'tombstone'), i AS (SELECT * FROM edges WHERE from_store = to_store AND from_id IN (SELECT id FROM p) AND to_id IN (SELECT id FROM p)), d AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM i UNION ALL SELECT to_id FROM i) GROUP BY id) SELECT p.id, coalesce(n, 0) AS degree FROM p LEFT JOIN d USING (id)")
+def map_degrees(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return catalogue.graph_map(c.where("scope in ('geo', 'catalog') and status <> 'tombstone'"), e).select("id", "degree")
+
+
+@query(" SELECT from_id, to_id, kind FROM edges WHERE from_id IN ('part:1', 'part:2', 'nation:3') OR to_id IN ('part:1', 'part:2', 'nation:3')")
+def neighbourhood_edges(spark, sf_dir):
+    _, e = graph.load(spark, sf_dir)
+    ids = spark.createDataFrame([("part:1",), ("part:2",), ("nation:3",)], "id string")
+    return catalogue.neighbourhood(e, ids).select("from_id", "to_id", "kind")
+
+
+@query(" SELECT to_id, count(*) AS n FROM edges WHERE to_store = 'shared' AND from_store <> 'shared' AND to_id IN (SELECT id FROM concepts WHERE scope = 'geo') GROUP BY to_id")
+def bridge_edges(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return catalogue.bridges_into(e, "shared", c.where("scope = 'geo'")).groupBy("to_id").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT DISTINCT to_store, to_id FROM edges WHERE from_store <> to_store")
+def foreign_targets(spark, sf_dir):
+    return catalogue.foreign_targets(graph.load(spark, sf_dir)[1])
+
+
+@query(" SELECT least(from_id, to_id) AS low, greatest(from_id, to_id) AS high, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds FROM edges WHERE kind <> 'depends_on' GROUP BY ALL")
+def kinds_between(spark, sf_dir):
+    return catalogue.kinds_between(graph.load(spark, sf_dir)[1].where("kind <> 'depends_on'")).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(", d AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM edges WHERE kind <> 'member' UNION ALL SELECT to_id FROM edges WHERE kind <> 'member') GROUP BY id) SELECT c.id, coalesce(n, 0) AS semantic_degree FROM concepts c LEFT JOIN d ON c.id = d.id WHERE status <> 'tombstone' AND type <> 'Cluster' AND coalesce(n, 0) < 2")
+def loose_concepts(spark, sf_dir):
+    return catalogue.loose(*graph.load(spark, sf_dir), threshold=2)
+
+
+@query(" SELECT from_id, to_id, kind, confidence FROM edges WHERE generated ORDER BY confidence DESC NULLS LAST, from_id, to_id, kind LIMIT 100")
+def unverified_queue(spark, sf_dir):
+    return catalogue.unverified(graph.load(spark, sf_dir)[1], 100).select("from_id", "to_id", "kind", "confidence")
+
+
+@query(" SELECT id, title, (SELECT count(*) FROM edges WHERE kind = 'member' AND from_id = c.id) AS members FROM concepts c WHERE type = 'Cluster' AND status <> 'tombstone'")
+def cluster_overview(spark, sf_dir):
+    return catalogue.member_counts(*graph.load(spark, sf_dir))
+
+
+@query(" SELECT kind, c.id IS NOT NULL AS resolved, count(*) AS n FROM edges e LEFT JOIN concepts c ON c.id = e.to_id AND c.store = e.to_store AND c.status <> 'tombstone' GROUP BY ALL")
+def edge_resolution(spark, sf_dir):
+    return catalogue.resolution(*graph.load(spark, sf_dir))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_id") % 11 == 0, "error").when(F.col("event_id") % 7 == 0, "cache_hit").otherwise("ok")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("task"), F.col("user_id").alias("run"), status.alias("status"), (status == "cache_hit").alias("cache_hit"), F.col("value").alias("cost"), "ts", "props")
+
+
+_CALLS = "WITH calls AS (SELECT event_type AS task, user_id AS run, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 7 = 0 THEN 'cache_hit' ELSE 'ok' END AS status, value AS cost FROM events) "
+
+
+@query(_CALLS + "SELECT task, count(*) AS calls, count(*) FILTER (status = 'cache_hit') AS cache_hits, count(*) FILTER (status NOT IN ('ok', 'cache_hit')) AS failures, round(coalesce(sum(cost), 0), 3) AS cost FROM calls GROUP BY task", on_graph=False)
+def model_usage(spark, sf_dir):
+    return catalogue.usage(_calls(spark, sf_dir)).withColumn("cost", F.round("cost", 3))
+
+
+@query(_CALLS + "SELECT run, count(*) AS calls, round(coalesce(sum(cost), 0), 3) AS cost FROM calls WHERE status = 'ok' GROUP BY run", on_graph=False)
+def run_spend(spark, sf_dir):
+    return catalogue.spent(_calls(spark, sf_dir)).withColumn("cost", F.round("cost", 3))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1", on_graph=False)
+def journal_json(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+_BOTH = ", steps AS (SELECT from_id AS id, to_id AS other FROM edges UNION SELECT to_id, from_id FROM edges), walk(id, hops) AS (SELECT 'nation:3', 0 UNION SELECT s.other, w.hops + 1 FROM walk w JOIN steps s ON s.id = w.id WHERE w.hops < 2), reached AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id)"
+
+
+@query(_BOTH + " SELECT id, hops FROM reached")
+def reach_two_hops(spark, sf_dir):
+    start = spark.createDataFrame([("nation:3",)], "id string")
+    return traverse.reach(graph.load(spark, sf_dir)[1], start, 2, None)
+
+
+@query(_BOTH + ", found AS (SELECT r.id, r.hops, c.type, c.store, c.status, c.updated_at FROM reached r JOIN concepts c ON c.id = r.id), price AS (SELECT from_id, to_id, min(CASE WHEN kind = 'member' THEN 0 ELSE 1 END) AS price FROM edges WHERE from_id IN (SELECT id FROM found) AND to_id IN (SELECT id FROM found) GROUP BY ALL), path(origin, id, cost) AS (SELECT id, id, 0 FROM found WHERE store = 'personal' UNION SELECT p.origin, e.to_id, p.cost + e.price FROM path p JOIN price e ON e.from_id = p.id WHERE p.cost + e.price <= 2), dense AS (SELECT id, count(DISTINCT origin) AS density FROM path WHERE origin <> id GROUP BY id), shown AS (SELECT f.*, coalesce(density, 0) AS density FROM found f LEFT JOIN dense d ON d.id = f.id WHERE status <> 'tombstone') SELECT id, type, store, hops, density, round(0.5 / (1 + hops) + 0.3 * CASE WHEN max(density) OVER () > 0 THEN density::DOUBLE / max(density) OVER () ELSE 0 END + 0.2 * coalesce(power(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '" + NOW + "') - epoch_us(updated_at)) / 86400e6) / 90.0), 0.0), 9) AS score FROM shown")
+def traverse_ranked(spark, sf_dir):
+    start = spark.createDataFrame([("nation:3",)], "id string")
+    return traverse.traverse(*graph.load(spark, sf_dir), start, NOW, 2, None)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+_KNN = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), pairs AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.vector, b.vector) AS similarity FROM v a JOIN v b ON a.id <> b.id), knn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM pairs QUALIFY rank <= 8) "
+
+
+@query(_KNN + "SELECT id, other, rank, round(similarity, 9) AS similarity FROM knn", on_graph=False)
+def vector_neighbours(spark, sf_dir):
+    return vectors.neighbours(_vectors(spark, sf_dir), 8).select("id", "other", "rank", F.round("similarity", 9).alias("similarity"))
+
+
+@query("WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM embeddings, q ORDER BY similarity DESC, id LIMIT 20) SELECT id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.2", on_graph=False)
+def vector_search(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return vectors.search(v, v.where("id = 1").first()["vector"], 20, 0.2).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_KNN + "SELECT id, other, CASE WHEN similarity >= 0.4 THEN 'edge' ELSE 'candidate' END AS band FROM knn WHERE similarity >= 0.3", on_graph=False)
+def proximity_bands(spark, sf_dir):
+    return vectors.bands(vectors.neighbours(_vectors(spark, sf_dir), 8), 0.3, 0.4).select("id", "other", "band")
+
+
+_COMPONENTS = _KNN.replace("WITH v", "WITH RECURSIVE v") + ", links AS (SELECT id AS x, other AS y FROM knn WHERE similarity >= 0.35 UNION SELECT other, id FROM knn WHERE similarity >= 0.35), walk(node, seen) AS (SELECT x, x FROM links UNION SELECT w.node, l.y FROM walk w JOIN links l ON l.x = w.seen), groups AS (SELECT node, min(seen) AS component FROM walk GROUP BY node) "
+
+
+@query(_COMPONENTS + "SELECT node, component FROM groups", on_graph=False)
+def knn_components(spark, sf_dir):
+    return vectors.components(vectors.neighbours(_vectors(spark, sf_dir), 8, 0.35))
+
+
+@query(_COMPONENTS + ", cells AS (SELECT component, unnest(vector) AS value, generate_subscripts(vector, 1) AS place FROM groups JOIN v ON v.id = node) SELECT component, place - 1 AS place, round(avg(value), 6) AS mean, count(*) AS size FROM cells GROUP BY ALL", on_graph=False)
+def cluster_centroids(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    found = vectors.centroids(v, vectors.components(vectors.neighbours(v, 8, 0.35)))
+    return found.select("component", F.posexplode("vector").alias("place", "mean"), "size").withColumn("mean", F.round("mean", 6))
+
+
+@query(_COMPONENTS + ", ends AS (SELECT id AS node, other AS peer, similarity FROM knn WHERE similarity >= 0.35 UNION ALL SELECT other, id, similarity FROM knn WHERE similarity >= 0.35) SELECT e.node, g.component, round(avg(similarity), 9) AS similarity FROM ends e JOIN groups g ON g.node = e.node JOIN groups h ON h.node = e.peer AND h.component = g.component GROUP BY ALL", on_graph=False)
+def member_similarity(spark, sf_dir):
+    pairs = vectors.neighbours(_vectors(spark, sf_dir), 8, 0.35)
+    return vectors.mean_similarity(vectors.components(pairs), pairs).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_COMPONENTS + ", chunks AS (SELECT node, component, (row_number() OVER (PARTITION BY component ORDER BY node) - 1) // 25 AS chunk FROM groups) SELECT node, min(node) OVER (PARTITION BY component, chunk) AS component FROM chunks", on_graph=False)
+def component_chunks(spark, sf_dir):
+    return vectors.split_large(vectors.components(vectors.neighbours(_vectors(spark, sf_dir), 8, 0.35)), 25)
+
+
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
+_SIMILAR = ", t AS (SELECT id, " + _TRIGRAMS.format("title") + " AS a, " + _TRIGRAMS.format("'red widgets'") + " AS b FROM concepts WHERE status <> 'tombstone'), s AS (SELECT id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM t WHERE len(list_concat(a, b)) > 0), g AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= 0.3 QUALIFY rank <= 20)"
+_WORDS = ", w AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM concepts WHERE status <> 'tombstone'), f AS (SELECT id, len(list_filter(words, lambda w: w = 'hot')) AS hits, row_number() OVER (ORDER BY len(list_filter(words, lambda w: w = 'hot'))::DOUBLE / len(words) DESC, id) AS rank FROM w WHERE list_contains(words, 'hot') QUALIFY rank <= 20)"
+
+
+@query(_SIMILAR + " SELECT id, rank, round(similarity, 9) AS similarity FROM g")
+def trigram_search(spark, sf_dir):
+    return search.by_trigrams(graph.load(spark, sf_dir)[0], "red widgets").withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_WORDS + " SELECT id, hits, rank FROM f")
+def full_text_search(spark, sf_dir):
+    return search.full_text(graph.load(spark, sf_dir)[0], "hot")
+
+
+@query(_SIMILAR + _WORDS.replace("'hot'", "'red'") + " SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM f UNION ALL SELECT id, rank FROM g) GROUP BY id ORDER BY score DESC, id LIMIT 20")
+def fused_search(spark, sf_dir):
+    concepts, _ = graph.load(spark, sf_dir)
+    return search.fused([search.full_text(concepts, "red"), search.by_trigrams(concepts, "red widgets")])
+
+
+@query("SELECT p_partkey, sha256(coalesce(p_name, '') || chr(30) || coalesce(p_type, '') || chr(30) || '') AS content_hash FROM part", on_graph=False)
+def content_hashes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalars.content_hash(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("content_hash"))
+
+
+@query("SELECT o_orderkey, 'order:' || o_orderkey || ',part:' || (o_custkey % 7) AS refs FROM orders", on_graph=False)
+def body_references(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    body = F.concat(F.lit("see [[ order:"), F.col("o_orderkey").cast("string"), F.lit(" ]], [[Not an id]] and [[part:"), (F.col("o_custkey") % 7).cast("string"), F.lit("]] [[order:"), F.col("o_orderkey").cast("string"), F.lit("]]"))
+    return orders.select("o_orderkey", F.array_join(scalars.references(body), ",").alias("refs"))
+
+
+@query("SELECT p_partkey, trim(p_name) || chr(10) || chr(10) || trim(p_type) AS text FROM part", on_graph=False)
+def embedding_texts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalars.embedding_text(F.col("p_name"), F.col("p_type")).alias("text"))
+
+
+@query("WITH d AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_type || '!' ELSE p_type END AS t, p_type, p_partkey % 5 = 0 AS c, p_partkey % 2 = 0 AS v, p_partkey % 4 <> 0 AS here FROM part) SELECT 'part:' || k AS id, CASE WHEN NOT here THEN 'created' WHEN t = p_type THEN 'unchanged' WHEN c THEN 'conflict' ELSE 'updated' END AS outcome, CASE WHEN here AND t <> p_type AND c THEN 'description' ELSE '' END AS held_back, here AND t <> p_type AND NOT c AND v AS verification_reset FROM d", on_graph=False)
+def upsert_outcomes(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id")
+    nothing = F.lit(None).cast("string").alias("body")
+    old = part.where("p_partkey % 4 <> 0").select(key, F.col("p_name").alias("title"), F.col("p_type").alias("description"), nothing, (F.col("p_partkey") % 5 == 0).alias("curated"), (F.col("p_partkey") % 2 == 0).alias("verified"))
+    new = part.select(key, F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type")).alias("description"), nothing)
+    return merge.upsert(old, new).select("id", "outcome", F.array_join("held_back", ",").alias("held_back"), "verification_reset")
+
+
+@query(", cur AS (SELECT from_id, to_id, kind, confidence > 0.5 AS curated FROM edges WHERE kind = 'implements' AND confidence < 0.9), want AS (SELECT from_id, to_id, kind FROM edges WHERE kind = 'implements' AND confidence > 0.2 AND confidence <> 0.33) SELECT coalesce(c.from_id, w.from_id) AS from_id, coalesce(c.to_id, w.to_id) AS to_id, coalesce(c.kind, w.kind) AS kind, CASE WHEN c.kind IS NULL THEN 'add' WHEN w.kind IS NOT NULL OR c.curated THEN 'keep' ELSE 'remove' END AS action FROM cur c FULL JOIN want w ON c.from_id = w.from_id AND c.to_id = w.to_id AND c.kind = w.kind")
+def edge_reconcile(spark, sf_dir):
+    _, e = graph.load(spark, sf_dir)
+    e = e.where("kind = 'implements'")
+    return merge.reconcile(e.where("confidence < 0.9").withColumn("curated", F.col("confidence") > 0.5), e.where("confidence > 0.2"), e.where("confidence = 0.33"))
+
+
+@query(" SELECT from_store, e.to_id, coalesce(CASE WHEN c.store = from_store OR from_store = 'personal' THEN c.store END, from_store) AS to_store, max(CASE WHEN c.id IS NOT NULL AND (c.store = from_store OR from_store = 'personal') THEN 1 ELSE 0 END) = 1 AS resolved FROM edges e LEFT JOIN concepts c ON c.id = e.to_id AND c.status <> 'tombstone' GROUP BY ALL")
+def reference_targets(spark, sf_dir):
+    c, e = graph.load(spark, sf_dir)
+    return merge.resolve_targets(e.select("from_store", "to_id").distinct(), c, ["shared", "personal"])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Flagship: the ranked traversal of two hops around a nation."""
+    return traverse_ranked(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return _QUERIES
 
 
