@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: Characters of text that one block of rows holds on average.
 BLOCK_CHARS = 16_000_000
 #: Bytes of a batch that a function gets at a time.
-PIECE_BYTES = 12_000_000
+PIECE_BYTES = 6_000_000
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,6 +32,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             for k in range(0, batch.num_rows, step):
                 if (out := fn(batch.slice(k, step))) is not None:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers live on for other tasks
 
     return df.mapInArrow(run, schema)
 

@@ -89,7 +89,7 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _key_counts(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
+def _key_counts(docs: DataFrame, shards: int, window: int, anchor: int, least: int) -> DataFrame:
     """For each shard, the number of its segments and the keys that many of them have: total long, key long, count long."""
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -110,7 +110,7 @@ def _key_counts(docs: DataFrame, shards: int, window: int, anchor: int) -> DataF
             counts = np.concatenate([counts, *(np.frombuffer(b, np.int32) for b in batch.column(2).to_pylist())])
             keys, at = np.unique(keys, return_inverse=True)
             counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-        many = np.flatnonzero(counts > HOT)
+        many = np.flatnonzero(counts > least)
         yield pa.RecordBatch.from_arrays([pa.array([counts.sum()], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64())], ["total", "key", "count"])
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(many), np.int64)), pa.array(keys[many].view(np.int64)), pa.array(counts[many])], ["total", "key", "count"])
 
@@ -137,7 +137,7 @@ def _send(docs: DataFrame, shards: int, window: int, anchor: int, hot) -> DataFr
                 start2 = _ragged(start[crowded], n)
                 doc, place, start = np.concatenate([doc[calm], np.repeat(doc[crowded], n)]), np.concatenate([place[calm], place2]), np.concatenate([start[calm], start2])
                 count, key = np.concatenate([count[calm], np.ones(len(place2), np.int64)]), np.concatenate([key[calm], mix(checks[place2] ^ np.uint64(1))])
-            whole = _sums(checks[_ragged(place, count)], count) ^ key
+            whole = mix(_sums(checks[_ragged(place, count)], count) + key * np.uint64(0x9E3779B97F4A7C15))
             _, first, at, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             often = np.where(first[at] == np.arange(len(at)), np.minimum(times[at], 2), 0).astype(np.uint8)
             sent = often > 0
@@ -186,7 +186,7 @@ def _search(rows: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.n
     sent, n, times, at_check, at_symbol = sent[stay], n[stay], times[stay], at_check[stay], at_symbol[stay]
     if len(sent):
         check = mix(checks[_ragged(at_check, n)].astype(np.uint64) ^ (np.repeat(key[sent], n) << np.uint64(1)))
-        whole = _sums(check, n) ^ key[sent]
+        whole = mix(_sums(check, n) + key[sent] * np.uint64(0x9E3779B97F4A7C15))
         _, first, at = np.unique(whole, return_index=True, return_inverse=True)
         total = np.bincount(at, times)
         copy = total[at] > 1
@@ -216,15 +216,15 @@ def _search(rows: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_from: int = HOT) -> DataFrame:
     """Word ranges covered by repeated windows: hash long, low int (both name the document), begin int, end int. ``docs``: hash, low, text."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, int(size) // (80 * SHARD))  # a segment starts about every 80 characters
-    counted = cut(_key_counts(docs, shards, window, anchor))
+    counted = cut(_key_counts(docs, shards, window, anchor, hot_from))
     total = counted.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    keys = [r[0] for r in counted.where((F.col("count") > max(HOT, total // HOT_LIST)) & F.col("key").isNotNull()).select("key").collect()]
+    keys = [r[0] for r in counted.where((F.col("count") > max(hot_from, total // HOT_LIST)) & F.col("key").isNotNull()).select("key").collect()]
     hot = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     return _send(docs, shards, window, anchor, hot).repartition(shards, "shard").mapInArrow(run, "hash long, low int, begin int, end int")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False, hot_from: int = HOT) -> DataFrame:
     """Removes from every text the words covered by a window of ``window`` words that also starts anywhere else.
 
     Returns doc_id, n_words, n_removed, kept_sha256, and the kept words joined by one space
@@ -250,7 +250,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     others; an empty table gives none; other columns are not read.
     """
     named = keyed_text(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"), F.coalesce(F.expr("cast(doc_id as int)"), F.lit(0)).alias("low"))
-    spans = repeated_spans(named, window, anchor).groupBy("hash", "low").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    spans = repeated_spans(named, window, anchor, hot_from).groupBy("hash", "low").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, gone, digests, kept_texts = [], [], [], []
