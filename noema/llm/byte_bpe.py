@@ -26,7 +26,7 @@ from noema.llm.frames import keyed_text, map_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pre-tokens and machine states that one Python worker remembers before it starts afresh.
-MEMO, STATES = 120_000, 150_000
+MEMO, STATES = 160_000, 220_000
 #: Bytes whose tokens wait at least before they are written out; they are once the machine is in a state with a single start.
 PENDING = 64
 
