@@ -100,7 +100,3 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         held += len(text) + 1
     if begin < len(texts):
         yield begin, len(texts)
-
-
-def hexes(digests: list[bytes]) -> list[str]:
-    return [d.hex() for d in digests]
