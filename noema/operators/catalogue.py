@@ -126,3 +126,29 @@ def usage(calls: DataFrame) -> DataFrame:
 def spent(calls: DataFrame) -> DataFrame:
     """Cost of successful calls by run."""
     return calls.where("status = 'ok'").groupBy("run").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+
+
+def detail(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """What surrounds each concept (store, id), over both stores: store, id, role (outgoing, incoming, cluster), other_store, other, kind. One row an edge, so that a hub is no long list; membership also names the cluster."""
+    out = edges.select(F.col("from_store").alias("store"), F.col("from_id").alias("id"), F.lit("outgoing").alias("role"), F.col("to_store").alias("other_store"), F.col("to_id").alias("other"), "kind")
+    into = edges.select(F.col("to_store").alias("store"), F.col("to_id").alias("id"), F.explode(F.when(F.col("kind") == "member", F.array(F.lit("incoming"), F.lit("cluster"))).otherwise(F.array(F.lit("incoming")))).alias("role"), F.col("from_store").alias("other_store"), F.col("from_id").alias("other"), "kind")
+    return out.unionAll(into).join(ids.select("store", "id").distinct(), ["store", "id"], "left_semi")
+
+
+def curation_queue(concepts: DataFrame, edges: DataFrame, limit: int, kinds: Sequence[str] = ()) -> DataFrame:
+    """The edges to be looked at with the titles of both ends (null where there is no concept)."""
+    queue = unverified(edges, limit, kinds)
+    for end in ("from", "to"):
+        queue = queue.join(concepts.select(F.col("store").alias(f"{end}_store"), F.col("id").alias(f"{end}_id"), F.col("title").alias(f"{end}_title")), [f"{end}_store", f"{end}_id"], "left")
+    return queue
+
+
+def cluster_detail(concepts: DataFrame, edges: DataFrame, cluster: str) -> DataFrame:
+    """Members and related clusters of a cluster: role (member, related), id, title, weight."""
+    ends = edges.where((F.col("from_id") == cluster) & F.col("kind").isin("member", "related")).select(F.col("kind").alias("role"), F.col("to_id").alias("id"), "weight")
+    return ends.join(concepts.select("id", "title"), "id", "left").select("role", "id", "title", "weight")
+
+
+def boundary_violations(edges: DataFrame) -> DataFrame:
+    """Edges that leave a store other than the personal one, by stores: from_store, to_store, n."""
+    return edges.where("from_store <> to_store and from_store <> 'personal'").groupBy("from_store", "to_store").agg(F.count("*").alias("n"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from noema.functions.scalars import trigram_similarity, trigrams
+from noema.operators import vectors as V
 
 
 def full_text(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Living concepts whose title and description have all words of the query: id, hits, rank. More hits, in relation to all words, come first."""
+    """Living concepts whose title, description and body (if there is one) have all words of the query: id, hits, rank. More hits, in relation to all words, come first."""
     wanted = sorted({w for w in query.lower().split() if w})
-    words = F.filter(F.split(F.lower(F.concat_ws(" ", "title", "description")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = concepts.where("status <> 'tombstone'").withColumn("words", words)
     for word in wanted:
         rows = rows.where(F.array_contains("words", word))
@@ -42,3 +43,22 @@ def fused(lists: list[DataFrame], limit: int = 20, k: int = 60) -> DataFrame:
 def lexical(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Full text and trigrams fused; a blank query finds nothing."""
     return fused([full_text(concepts, query, limit), by_trigrams(concepts, query, limit)], limit)
+
+
+def hybrid(concepts: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20) -> DataFrame:
+    """Lexical and vector search fused by their ranks: id, score."""
+    found = lexical(concepts, query, limit)
+    words = found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+    near = V.search(vectors.join(concepts.where("status <> 'tombstone'").select("id"), "id", "left_semi"), vector, limit)
+    return fused([words, near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))], limit)
+
+
+def staged(concepts: DataFrame, vectors: DataFrame, centroids: DataFrame, query: str, vector: list[float] | None, limit: int = 20, granularity: str | None = None, least: float = 0.7) -> DataFrame:
+    """Clusters if the query lies near enough to a centroid (id, vector), else concepts: stage, id, score. Without a vector the search is lexical; ``granularity`` (cluster, concept) forces a stage."""
+    if vector is None:
+        return lexical(concepts, query, limit).select(F.lit("lexical").alias("stage"), "id", "score")
+    if granularity != "concept":
+        near = V.search(centroids, vector, limit, None if granularity == "cluster" else least)
+        if granularity == "cluster" or not near.isEmpty():
+            return near.select(F.lit("cluster").alias("stage"), "id", F.round("similarity", 9).alias("score"))
+    return hybrid(concepts, vectors, query, vector, limit).select(F.lit("concept").alias("stage"), "id", "score")

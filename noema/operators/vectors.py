@@ -33,11 +33,19 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFr
     Vectors are dealt out in blocks; each pair of blocks is one task that keeps its best
     ``k``, so no task holds more than two blocks and ``k`` rows a block and vector are shuffled.
     """
-    blocks = -(-vectors.count() // BLOCK) or 1
-    numbered = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = numbered.select("id", "vector", F.col("block").alias("a"), every.alias("b"))
-    right = numbered.select("id", "vector", every.alias("a"), F.col("block").alias("b"))
+    return nearest(vectors, vectors, k, least)
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """Exact ``k`` nearest ``targets`` of every query, itself left out, in blocks as for ``neighbours``: id, other, similarity, rank."""
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        blocks = -(-rows.count() // BLOCK) or 1
+        return rows.select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), blocks
+
+    (ours, m_blocks), (theirs, n_blocks) = dealt(queries), dealt(targets)
+    left = ours.select("id", "vector", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    right = theirs.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1))).alias("a"), F.col("block").alias("b"))
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         names, others = x.column("id").to_pylist(), np.array(y.column("id").to_pylist(), object)
@@ -53,10 +61,10 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFr
                     keep = np.argpartition(-row, min(k + 1, len(row)) - 1)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
                     tied = np.flatnonzero(row >= row[keep].min()) if len(row) > k + 1 else keep
                     rows += [(name, others[j], float(row[j])) for j in tied if others[j] != name]
-        return pa.table({"id": pa.array([r[0] for r in rows], x.schema.field("id").type), "other": pa.array([r[1] for r in rows], x.schema.field("id").type), "similarity": pa.array([r[2] for r in rows], pa.float64())})
+        return pa.table({"id": pa.array([r[0] for r in rows], x.schema.field("id").type), "other": pa.array([r[1] for r in rows], y.schema.field("id").type), "similarity": pa.array([r[2] for r in rows], pa.float64())})
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, f"id {kind}, other {kind}, similarity double")
+    kind, others = (df.schema["id"].dataType.simpleString() for df in (queries, targets))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, f"id {kind}, other {others}, similarity double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 

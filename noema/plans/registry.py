@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import scalars
 from noema.operators import catalogue, merge, search, traverse, vectors
-from noema.plans import graph
+from noema.plans import graph, runs
+from noema.plans.registration import ORACLES, QUERIES, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
 NOW = "1998-08-02 00:00:00"
 
 
-def query(oracle: str | None, on_graph: bool = True) -> Callable[[Query], Query]:
-    def register(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
-        if oracle is not None:
-            _ORACLES[fn.__name__] = graph.oracle(oracle) if on_graph else oracle
-        return fn
-
-    return register
-
-
 @query(" SELECT scope, type, status, count(*) AS n FROM concepts GROUP BY ALL")
 def inventory_counts(spark, sf_dir):
     return catalogue.counts(graph.load(spark, sf_dir)[0])
@@ -263,14 +249,17 @@ def reference_targets(spark, sf_dir):
     return merge.resolve_targets(e.select("from_store", "to_id").distinct(), c, ["shared", "personal"])
 
 
+assert runs.REGISTERED  # its queries register on import
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the ranked traversal of two hops around a nation."""
     return traverse_ranked(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
