@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder is set only where the session has none (local tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "noema-checkpoints"))
-    return df.checkpoint(eager=True)
+    """A table written to the folder of ``spark.checkpoint.dir``, read back; a folder is chosen only where the session has none (local tests).
+
+    Unlike a checkpoint, what is read back has the size of its files: in loops of joins, estimates that
+    are carried along square each round and would stop the driver.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "noema-checkpoints")
+    path = f"{root.rstrip('/')}/noema/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
