@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noema.functions.markup import issue_links, issue_markdown, storage_markdown
+
 PAGE = "id string, type string, title string, space struct<key:string,name:string>, excerpt string, body struct<storage:struct<value:string>>, version struct<number:int,when:string>, metadata variant, links struct<webui:string>"
 ISSUE = "key string, id string, self string, references array<string>, fields struct<summary:string,description:string,labels:array<string>,updated:string,status:struct<name:string>,project:struct<key:string>,issuetype:struct<name:string>,priority:struct<name:string>,parent:struct<key:string>,subtasks:array<struct<key:string>>,issuelinks:array<struct<type:struct<name:string,inward:string,outward:string>,inwardIssue:struct<key:string>,outwardIssue:struct<key:string>>>>"
 _REF = "struct<target:string,kind:string>"
@@ -21,7 +23,7 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
         F.col("id").alias("external_id"),
         "title",
         F.col("excerpt").alias("description"),
-        F.col("body.storage.value").alias("body"),
+        storage_markdown("body.storage.value").alias("body"),
         F.coalesce(names, F.array().cast("array<string>")).alias("tags"),
         F.try_to_timestamp("version.when").alias("updated_at"),
         F.col("links.webui").alias("url"),
@@ -29,26 +31,35 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def issues(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of issues, one JSON file each. References: listed ones, the parent (part_of), subtasks (parent_of) and links under their own names."""
+def issues(spark: SparkSession, path: str, prefix: str = "issue", web: str = "") -> DataFrame:
+    """Documents of issues, one JSON file each, with Markdown bodies.
+
+    References: issues linked in the text, listed ones, subtasks (member: the issue holds them), the
+    parent (related, since an edge starts at its issue) and links: a blocking issue on the inward side
+    is depended on, all others are related.
+    """
     raw = spark.read.schema(ISSUE).option("multiLine", True).json(path)
-    ref = lambda target, kind: F.struct(target.alias("target"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"))
+    key = lambda k: F.concat(F.lit(prefix + ":"), k)
+    ref = lambda target, kind: F.struct(target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
     empty = F.array().cast(f"array<{_REF}>")
-    links = F.transform("fields.issuelinks", lambda x: ref(F.coalesce(x["outwardIssue"]["key"], x["inwardIssue"]["key"]), F.when(x["outwardIssue"].isNotNull(), x["type"]["outward"]).otherwise(x["type"]["inward"])))
+    blocks = lambda x: F.coalesce(F.lower(F.trim(x["type"]["name"])) == "blocks", F.lit(False))
+    end = lambda x: F.when(blocks(x), x["inwardIssue"]["key"]).otherwise(F.coalesce(x["inwardIssue"]["key"], x["outwardIssue"]["key"]))
+    links = F.transform(F.filter("fields.issuelinks", lambda x: end(x).isNotNull()), lambda x: ref(key(end(x)), F.when(blocks(x), "depends_on").otherwise("related")))
     parts = [
-        F.transform("references", lambda x: ref(x, "references")),
-        F.when(F.col("fields.parent").isNotNull(), F.array(ref(F.col("fields.parent.key"), "part_of"))),
-        F.transform("fields.subtasks", lambda x: ref(x["key"], "parent_of")),
+        F.transform(issue_links(F.col("fields.description"), prefix), lambda x: ref(x, "references")),
+        F.transform("fields.subtasks", lambda x: ref(key(x["key"]), "member")),
+        F.when(F.col("fields.parent.key").isNotNull(), F.array(ref(key(F.col("fields.parent.key")), "related"))),
         links,
+        F.transform("references", lambda x: ref(x, "references")),
     ]
     return raw.select(
         F.col("key").alias("external_id"),
         F.col("fields.summary").alias("title"),
-        F.concat_ws(" · ", "fields.issuetype.name", "fields.status.name", "fields.priority.name").alias("description"),
-        F.col("fields.description").alias("body"),
+        F.lit(None).cast("string").alias("description"),
+        F.nullif(issue_markdown(F.col("fields.description"), web), F.lit("")).alias("body"),
         F.coalesce("fields.labels", F.array().cast("array<string>")).alias("tags"),
         F.try_to_timestamp("fields.updated").alias("updated_at"),
-        F.col("self").alias("url"),
+        F.concat(F.lit(web.rstrip("/") + "/browse/"), "key").alias("url"),
         F.array_distinct(F.concat(*(F.coalesce(p.cast(f"array<{_REF}>"), empty) for p in parts))).alias("references"),
     )
 

@@ -77,7 +77,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "1.json").write_text(json.dumps(issue))
     row = readers.issues(spark, str(tmp_path / "i")).first()
-    assert [(x["target"], x["kind"]) for x in row["references"]] == [("page:1", "references"), ("K-0", "part_of")] and row["description"] == "Open"
+    assert [(x["target"], x["kind"]) for x in row["references"]] == [("issue:K-0", "related"), ("page:1", "references")] and row["body"] == "d" and row["description"] is None
 
 
 def test_streaming_ingest_twice(spark, tmp_path):
