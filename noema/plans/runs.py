@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noema.operators import catalogue, clusters, curation, models, relations, search
+from noema.functions import markup, scalars
+from noema.operators import catalogue, clusters, curation, merge, models, relations, search
 from noema.plans import graph
 from noema.plans.registration import query
 
@@ -187,3 +188,26 @@ def staged_search(spark, sf_dir):
     concepts, _ = graph.load(spark, sf_dir)
     v = _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("part:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return search.staged(concepts, v, v.limit(0), "red", v.where("id = 'part:1'").first()["vector"])
+
+
+@query("SELECT o_orderkey, '## Order ' || o_orderkey || chr(10) || '- **' || o_orderpriority || '** [AB-' || o_custkey || '](http://w/browse/AB-' || o_custkey || ')' AS text, 'issue:AB-' || o_custkey AS links FROM orders", on_graph=False)
+def issue_markup(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("h2. Order "), F.col("o_orderkey").cast("string"), F.lit("\n* *"), "o_orderpriority", F.lit("* [AB-"), F.col("o_custkey").cast("string"), F.lit("]"))
+    return orders.select("o_orderkey", markup.issue_markdown(text, "http://w").alias("text"), F.array_join(markup.issue_links(text, "issue"), ",").alias("links"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'created' WHEN p_partkey % 3 = 0 AND p_partkey % 5 = 0 THEN 'conflict' WHEN p_partkey % 3 = 0 OR p_partkey % 17 = 0 THEN CASE WHEN p_partkey % 17 = 0 AND p_partkey % 5 = 0 THEN 'conflict' ELSE 'updated' END ELSE 'unchanged' END AS outcome, CASE WHEN p_partkey % 3 = 0 AND (p_partkey % 4 = 0 OR p_partkey % 5 <> 0) THEN p_name || '!' ELSE p_name END AS title, CASE WHEN p_partkey % 17 = 0 AND p_partkey % 4 <> 0 AND p_partkey % 5 = 0 THEN 'tombstone' ELSE 'active' END AS status, CASE WHEN p_partkey % 4 = 0 THEN 'new' WHEN p_partkey % 3 = 0 OR p_partkey % 17 = 0 THEN 'old,new' ELSE 'old' END AS tags FROM part", on_graph=False)
+def merged_concepts(spark, sf_dir):
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    null = F.lit(None).cast("string")
+    fields = [_named("part", "p_partkey").alias("id"), F.lit("shared").alias("store"), F.lit("catalog").alias("scope"), F.lit("Part").alias("type"), F.col("p_type").alias("description"), null.alias("body"), null.alias("resource"), F.lit("erp").alias("source_name")]
+    old = part.where(k % 4 != 0).select(*fields, F.col("p_name").alias("title"), F.array(F.lit("old")).alias("tags"), F.when(k % 17 == 0, "tombstone").otherwise("active").alias("status"), (k % 5 == 0).alias("curated"), (k % 2 == 0).alias("verified"), scalars.content_hash(F.col("p_name"), F.col("p_type"), null).alias("content_hash"), F.to_timestamp(F.lit("2020-01-01")).alias("updated_at"))
+    new = part.select(*fields, F.when(k % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("title"), F.array(F.lit("new")).alias("tags"), F.lit("active").alias("status"))
+    return merge.merged(old, new, "2021-01-01").select("id", "outcome", "title", "status", F.array_join("tags", ",").alias("tags"))
+
+
+@query(None)
+def page_markdown(spark, sf_dir):
+    """All pages as Markdown; the conversion is tested on small texts."""
+    return _table(spark, sf_dir, "pages").select("page_id", markup.storage_markdown("html").alias("text"))
