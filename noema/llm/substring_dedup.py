@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noema.llm.fm_index import FmIndex, repeated_windows
@@ -241,6 +241,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return _send(docs, shards, window, anchor, hot).repartition(shards, "shard").mapInArrow(run, "hash long, low int, begin int, end int")
 
 
+def _low(doc_id: Column | str) -> Column:
+    """The low 32 bits of a long id as an int, of any id; null gives 0."""
+    return F.coalesce(F.shiftright(F.shiftleft(doc_id, 32), 32).cast("int"), F.lit(0))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False, hot_from: int = HOT) -> DataFrame:
     """Removes from every text the words covered by a window of ``window`` words that also starts anywhere else.
 
@@ -249,7 +254,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     rows that repeat are each other's copies and each give a row; null doc_ids are rows like
     others; an empty table gives none; other columns are not read.
     """
-    named = keyed_text(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"), F.coalesce(F.expr("cast(doc_id as int)"), F.lit(0)).alias("low"))
+    named = keyed_text(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"), _low("doc_id").alias("low"))
     spans = repeated_spans(named, window, anchor, hot_from).groupBy("hash", "low").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -278,7 +283,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
 
 def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents, all columns, without repeated windows: a text that loses words is the others joined by one space (and n_chars its length, where there is that column); other texts stay as they are."""
-    name = {"__hash": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__low": F.coalesce(F.expr("cast(doc_id as int)"), F.lit(0))}
+    name = {"__hash": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__low": _low(F.col("doc_id").cast("long"))}
     named = docs.withColumns(name)
     spans = repeated_spans(named.select(F.col("__hash").alias("hash"), F.col("__low").alias("low"), F.col("text").cast("string").alias("text")), window, anchor).groupBy(F.col("hash").alias("__hash"), F.col("low").alias("__low")).agg(F.collect_list("begin").alias("__begins"), F.collect_list("end").alias("__ends"))
     schema = docs.schema
