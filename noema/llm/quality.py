@@ -181,10 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     """Fits on at most ``sample`` rows of each label whose crc32(doc_id as text) mod ``folds`` is not 0.
 
     Rows without a label of 0 or 1 are left out; labels that repeat count once, and a
-    doc_id with both labels is left out.
+    doc_id with both labels is left out. What the bound does to the share of the labels is
+    undone: the bias moves by the log of how much scarcer a label is in the sample.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     known = known.where(crc_remainder("doc_id", folds) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+    there = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
+    scarcer = [max(1.0, there.get(label, 0) / sample) for label in (0, 1)]
     picked = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)).select("doc_id", "quality")
     chosen = _inputs(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # 2 * sample rows at most
 
@@ -196,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     index = [np.frombuffer(r[2], np.int32) for r in found]
     value = [np.frombuffer(r[3], np.float32) for r in found]
     first = np.concatenate(([0], np.cumsum([len(i) for i in index]))).astype(np.int64)
-    return fit(Rows(first, np.concatenate(index or [np.zeros(0, np.int32)]), np.concatenate(value or [np.zeros(0, np.float32)])), np.array([r[1] for r in found], np.float32))
+    model = fit(Rows(first, np.concatenate(index or [np.zeros(0, np.int32)]), np.concatenate(value or [np.zeros(0, np.float32)])), np.array([r[1] for r in found], np.float32))
+    return model._replace(bias=model.bias + float(np.log(scarcer[1] / scarcer[0])))
 
 
 def _scores(model: Model, texts: list[bytes], declared: np.ndarray) -> np.ndarray:
