@@ -1,4 +1,4 @@
-"""A compressed FM-index in numpy: Burrows-Wheeler transform of 4-bit symbols in a wavelet matrix of packed bits, with backward search for many patterns at a time."""
+"""A compressed FM-index in numpy: Burrows-Wheeler transform of small numbers in a wavelet matrix of packed bits, with backward search for many patterns at a time."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import numpy as np
 
 #: Symbols to which suffixes are sorted; no pattern may be longer.
 DEPTH = 64
-#: Symbols of a pattern that a table answers at once.
+#: Bits of a symbol.
+BITS = 12
+#: Symbols of a pattern that the sorted suffixes answer at once.
 HEAD = 4
 
 
@@ -26,19 +28,23 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a text of symbols below 16, sorted by their first DEPTH symbols, and the first HEAD symbols of each sorted suffix as a number."""
-    n = len(text)
-    key = np.zeros(n + DEPTH, np.uint64)
-    key[:n] = text
-    for have in (1, 2, 4, 8):
-        key[:-have] = key[:-have] << np.uint64(4 * have) | key[have:]
-    key = key[:n]
-    order = np.argsort(key)
-    ordered = key[order]
-    heads = (ordered >> np.uint64(64 - 4 * HEAD)).astype(np.int64)
+def heads_of(text: np.ndarray) -> np.ndarray:
+    """The HEAD symbols from each place on as one number."""
+    key = np.zeros(len(text) + HEAD, np.uint64)
+    key[: len(text)] = text
+    have = 1
+    while have < HEAD:
+        key[:-have] = key[:-have] << np.uint64(BITS * have) | key[have:]
+        have *= 2
+    return key[: len(text)]
+
+
+def suffix_order(heads: np.ndarray) -> np.ndarray:
+    """Suffixes sorted by their first DEPTH symbols."""
+    n, have = len(heads), HEAD
+    order = np.argsort(heads)
+    ordered = heads[order]
     new = np.concatenate(([False], ordered[1:] != ordered[:-1]))
-    have = 16
     while have < DEPTH and not new[1:].all():
         rank = np.zeros(n + have, np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
@@ -47,36 +53,41 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ordered = key[order]
         new = np.concatenate(([False], ordered[1:] != ordered[:-1]))
         have *= 2
-    return order, heads
+    return order
 
 
 class FmIndex:
-    """Of a text of symbols below 16 that ends with 0; patterns hold no 0, which stands between stretches."""
+    """Of a text of symbols below 2**BITS that ends with 0; patterns hold no 0, which stands between stretches."""
 
     def __init__(self, text: np.ndarray):
         self.size = len(text)
-        order, heads = suffix_order(text)
-        column = text[order - 1].astype(np.uint8)
+        heads = heads_of(text)
+        order = suffix_order(heads)
+        column = text[order - 1]
         self.levels: list[Bits] = []
         self.zeros: list[int] = []
-        base = np.zeros(16, np.int64)
-        symbols = np.arange(16)
-        for bit in (3, 2, 1, 0):
-            ones = column >> bit & 1
+        symbols = np.arange(1 << BITS)
+        base = np.zeros(len(symbols), np.int64)
+        for bit in range(BITS - 1, -1, -1):
+            ones = (column >> bit & 1).astype(np.uint8)
             self.levels.append(Bits(ones))
             self.zeros.append(int(len(ones) - ones.sum()))
             up = self.levels[-1].ones(base)
             base = np.where(symbols >> bit & 1, self.zeros[-1] + up, base - up)
             column = np.concatenate([column[ones == 0], column[ones == 1]])
         #: What is added to a symbol's place in the last level to give the row of the suffix that it begins.
-        self.shift = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=16))[:-1])) - base
-        self.heads = np.searchsorted(heads, np.arange(16**HEAD + 1)).astype(np.int32)
+        self.shift = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << BITS))[:-1])) - base
+        self.heads = heads[order]
+
+    def begin(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the suffixes that begin with HEAD symbols each."""
+        return np.searchsorted(self.heads, heads), np.searchsorted(self.heads, heads, "right")
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that begin with a symbol followed by what rows ``low`` to ``high`` begin with: one step of backward search."""
         both = np.concatenate([low, high])
         twice = np.concatenate([symbol, symbol])
-        for bit, level, zeros in zip((3, 2, 1, 0), self.levels, self.zeros, strict=True):
+        for bit, level, zeros in zip(range(BITS - 1, -1, -1), self.levels, self.zeros, strict=True):
             up = level.ones(both)
             both = np.where(twice >> bit & 1, zeros + up, both - up)
         both = both + self.shift[twice]
@@ -97,18 +108,20 @@ def repeated_windows(index: FmIndex, text: np.ndarray, begin: np.ndarray, end: n
     long as it occurs twice. All windows inside a match are repeated; the
     search then goes on with the first window that the match does not cover.
     """
+    if not HEAD <= window < DEPTH - 2:
+        raise ValueError(f"windows of {window} symbols don't fit an index of depth {DEPTH}")
     marks = np.zeros(len(text) + 1, np.int32)
     stop = end.copy()  # right end of the match of each stretch
     live = np.flatnonzero(stop - begin >= window)
     place = np.zeros(len(begin), np.int64)
     low, high = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
 
+    heads = heads_of(text)
+
     def restart(who: np.ndarray) -> None:
         at = stop[who] - HEAD
-        head = np.zeros(len(who), np.int64)
-        for k in range(HEAD):
-            head = head << 4 | text[at + k]
-        place[who], low[who], high[who] = at, index.heads[head], index.heads[head + 1]
+        place[who] = at
+        low[who], high[who] = index.begin(heads[at])
 
     restart(live)
     while len(live):

@@ -3,12 +3,13 @@
 A window is a run of consecutive words. Equal windows have the same smallest
 8-gram hash, so consecutive windows with the same one form a segment, and
 segments go to the shard of that hash: whatever repeats, repeats within one
-shard, and the work grows with the text. Words travel as 4-bit symbols, with
-a 32-bit hash for each window. A shard leaves out segments whose hash no other
-segment has, builds an FM-index of the rest, and streams them through backward
-search; matching statistics give the stretches that occur twice, and the
-window hashes confirm them. A hash with very many segments is dealt out window
-by window. Equal segments of one batch are sent once.
+shard, and the work grows with the text. Words travel as 12-bit symbols. A shard
+builds an FM-index of its segments (but those whose hash no other segment has),
+streams them through backward search, and takes the stretches whose matching
+statistics say that they occur twice. What the index reports, and nothing else, is
+confirmed by a 16-bit check of each window, which tells words with the same symbol
+apart. A hash with very many segments is dealt out window by window; equal
+segments of one batch are sent once.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ WINDOW, ANCHOR = 35, 8
 #: Segments of a shard, and of one hash from which it is dealt out by window (more for large inputs, so that the list of such hashes stays below HOT_LIST).
 SHARD, HOT, HOT_LIST = 50_000, 5_000, 100_000
 _INSIDE = word_table(separators=SPACES)
-_PACKED = "shard int, keys binary, docs binary, starts binary, counts binary, often binary, symbols binary, checks binary"
+_COLUMNS = ["docs", "starts", "refs", "keys", "counts", "twice", "symbols", "checks"]
+_PACKED = "shard int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 _PIECE = np.dtype([("hash", "<i8"), ("low", "<i4")])
 
 
@@ -78,15 +80,18 @@ def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _pack(symbols: np.ndarray) -> bytes:
-    even = np.append(symbols, 0) if len(symbols) % 2 else symbols
-    return (even[::2] << 4 | even[1::2]).astype(np.uint8).tobytes()
+    """Symbols of 12 bits, two in three bytes."""
+    pairs = (np.append(symbols, 0) if len(symbols) % 2 else symbols).reshape(-1, 2)
+    out = np.empty((len(pairs), 3), np.uint8)
+    out[:, 0], out[:, 1], out[:, 2] = pairs[:, 0] >> 4, (pairs[:, 0] & 15) << 4 | pairs[:, 1] >> 8, pairs[:, 1] & 255
+    return out.tobytes()
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    both = np.frombuffer(data, np.uint8)
-    out = np.empty(2 * len(both), np.uint8)
-    out[::2], out[1::2] = both >> 4, both & 15
-    return out[:n]
+    three = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.uint16)
+    out = np.empty((len(three), 2), np.uint16)
+    out[:, 0], out[:, 1] = three[:, 0] << 4 | three[:, 1] >> 4, (three[:, 1] & 15) << 8 | three[:, 2]
+    return out.ravel()[:n]
 
 
 def _key_counts(docs: DataFrame, shards: int, window: int, anchor: int, least: int) -> DataFrame:
@@ -118,7 +123,7 @@ def _key_counts(docs: DataFrame, shards: int, window: int, anchor: int, least: i
 
 
 def _send(docs: DataFrame, shards: int, window: int, anchor: int, hot) -> DataFrame:
-    """Segments packed by batch and shard. What is known to repeat within the batch has number of windows and place only (in ``often`` 0)."""
+    """Segments packed by batch and shard: for each one its document, first word and the number (``refs``) of its text, each text once with its key, number of windows, whether it is there twice or more, symbols, and checks of its windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = texts_of(batch.column(2))
@@ -139,81 +144,94 @@ def _send(docs: DataFrame, shards: int, window: int, anchor: int, hot) -> DataFr
                 count, key = np.concatenate([count[calm], np.ones(len(place2), np.int64)]), np.concatenate([key[calm], mix(checks[place2] ^ np.uint64(1))])
             whole = mix(_sums(checks[_ragged(place, count)], count) + key * np.uint64(0x9E3779B97F4A7C15))
             _, first, at, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            often = np.where(first[at] == np.arange(len(at)), np.minimum(times[at], 2), 0).astype(np.uint8)
-            sent = often > 0
-            long = count[sent] + window - 1
-            symbols = (h >> np.uint64(56)) % np.uint64(15) + np.uint64(1)
-            parts.append((key, names[a + doc], start.astype(np.int32), count.astype(np.uint8), often, np.where(sent, count + window - 1, 0), symbols[_ragged(place[sent], long)].astype(np.uint8), np.where(sent, count, 0), checks[_ragged(place[sent], count[sent])].astype(np.uint32)))
+            place, count, key = place[first], count[first], key[first]
+            symbols = ((h >> np.uint64(52)) % np.uint64(4095)).astype(np.uint16) + np.uint16(1)
+            parts.append((at, names[a + doc], start.astype(np.int32), key, count.astype(np.uint8), times > 1, symbols[_ragged(place, count + window - 1)], checks[_ragged(place, count)].astype(np.uint16)))
         if not parts:
             return None
-        key, name, start, count, often, long, symbols, n_checks, checks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        before = np.cumsum([0, *(len(p[3]) for p in parts)])
+        at = np.concatenate([p[0] + n for p, n in zip(parts, before, strict=False)])
+        name, start, key, count, twice, symbols, checks = (np.concatenate(x) for x in list(zip(*parts, strict=True))[1:])
         shard = (key % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
-        symbols = symbols[_ragged((np.cumsum(long) - long)[order], long[order])]
-        checks = checks[_ragged((np.cumsum(n_checks) - n_checks)[order], n_checks[order])]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
-        to_symbols, to_checks = np.concatenate(([0], np.cumsum(long[order]))), np.concatenate(([0], np.cumsum(n_checks[order])))
+        pieces = np.argsort(shard[at], kind="stable")
+        piece_edges = np.searchsorted(shard[at[pieces]], np.arange(shards + 1))
+        n = count.astype(np.int64)
+        symbols = symbols[_ragged((np.cumsum(n + window - 1) - (n + window - 1))[order], n[order] + window - 1)]
+        checks = checks[_ragged((np.cumsum(n) - n)[order], n[order])]
+        to_check = np.concatenate(([0], np.cumsum(n[order])))
+        to_symbol = to_check + (window - 1) * np.arange(len(n) + 1)
         some = [int(s) for s in np.flatnonzero(np.diff(edges))]
-        cuts = [slice(edges[s], edges[s + 1]) for s in some]
-        columns = [[x[order][c].tobytes() for c in cuts] for x in (key, name, start, count, often)]
-        columns.append([_pack(symbols[to_symbols[c.start] : to_symbols[c.stop]]) for c in cuts])
-        columns.append([checks[to_checks[c.start] : to_checks[c.stop]].tobytes() for c in cuts])
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "keys", "docs", "starts", "counts", "often", "symbols", "checks"])
+        cuts, own = [slice(edges[s], edges[s + 1]) for s in some], [pieces[piece_edges[s] : piece_edges[s + 1]] for s in some]
+        columns = [[name[p].tobytes() for p in own], [start[p].tobytes() for p in own], [(number[at[p]] - c.start).astype(np.int32).tobytes() for p, c in zip(own, cuts, strict=True)]]
+        columns += [[x[order[c]].tobytes() for c in cuts] for x in (key, count, twice)]
+        columns.append([_pack(symbols[to_symbol[c.start] : to_symbol[c.stop]]) for c in cuts])
+        columns.append([checks[to_check[c.start] : to_check[c.stop]].tobytes() for c in cuts])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["shard", *_COLUMNS])
 
     return map_batches(docs.select("hash", "low", "text"), run, _PACKED)
 
 
 def _search(rows: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of documents and word ranges (begin, end) that repeated windows of one shard cover."""
-    key, name = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.uint64), ("docs", _PIECE)))
-    start, count, often = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("starts", np.int32), ("counts", np.uint8), ("often", np.uint8)))
-    count = count.astype(np.int64)
-    sent = np.flatnonzero(often)
-    # windows that repeat within their batch, however often
-    spans = [(name[often == 0], start[often == 0].astype(np.int64), start[often == 0] + count[often == 0] + window - 1)]
-    n = count[sent]
-    checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
-    lengths = [int((np.frombuffer(r["counts"], np.uint8).astype(np.int64) + window - 1)[np.frombuffer(r["often"], np.uint8) > 0].sum()) for r in rows]
-    symbols = np.concatenate([_unpack(r["symbols"], m) for r, m in zip(rows, lengths, strict=True)])
-    _, by_key, sharing = np.unique(key[sent], return_inverse=True, return_counts=True)
-    times = often[sent].astype(np.int64)
-    stay = (sharing[by_key] > 1) | (times > 1)
-    # where no other segment has the key, a window can only repeat within its segment
-    order = np.argsort(own := mix(checks.astype(np.uint64) ^ (np.repeat(key[sent], n) << np.uint64(1))))
-    again = own[order[1:]] == own[order[:-1]]
-    stay[np.repeat(np.arange(len(n)), n)[order[1:][again]]] = True
+    read = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
+    name, start, ref, key, n = read("docs", _PIECE), read("starts", np.int32), read("refs", np.int32).astype(np.int64), read("keys", np.uint64), read("counts", np.uint8).astype(np.int64)
+    texts = np.cumsum([0, *(len(r["counts"]) for r in rows)])
+    ref += np.repeat(texts[:-1], [len(r["refs"]) // 4 for r in rows])
+    times = read("twice", np.bool_).astype(np.int64) + 1
+    checks = read("checks", np.uint16).astype(np.uint64)
+    symbols = np.concatenate([_unpack(r["symbols"], int(n[a:b].sum() + (window - 1) * (b - a))) for r, a, b in zip(rows, texts, texts[1:], strict=False)])
     at_check, at_symbol = np.cumsum(n) - n, np.cumsum(n + window - 1) - (n + window - 1)
-    sent, n, times, at_check, at_symbol = sent[stay], n[stay], times[stay], at_check[stay], at_symbol[stay]
-    if len(sent):
-        check = mix(checks[_ragged(at_check, n)].astype(np.uint64) ^ (np.repeat(key[sent], n) << np.uint64(1)))
-        whole = mix(_sums(check, n) + key[sent] * np.uint64(0x9E3779B97F4A7C15))
-        _, first, at = np.unique(whole, return_index=True, return_inverse=True)
-        total = np.bincount(at, times)
-        copy = total[at] > 1
-        only = np.flatnonzero(first[at] == np.arange(len(at)))  # one of each
-        # a text of one segment after the other, each ended by 0
-        long = n[only] + window - 1
-        begin = np.cumsum(long + 1) - (long + 1)
-        text = np.zeros(int((long + 1).sum()), np.uint8)
-        text[_ragged(begin, long)] = symbols[_ragged(at_symbol[only], long)]
-        lone = ~copy[only]
-        marked = repeated_windows(FmIndex(text), text, begin[lone], (begin + long)[lone], window) if lone.any() else np.zeros(len(text), bool)
-        # windows found by their symbols are confirmed by their hashes
-        begins_check = np.cumsum(n) - n
-        mine = check[_ragged(begins_check[only], n[only])]
-        _, slot, many = np.unique(mine, return_inverse=True, return_counts=True)
-        found = marked[_ragged(begin, n[only])] & (many[slot] > 1)
-        full = np.zeros(int(n.sum()), bool)
-        full[_ragged(begins_check[only], n[only])] = found
-        full |= np.repeat(copy, n)
-        segment = np.repeat(np.arange(len(n)), n)
-        word = _ragged(start[sent].astype(np.int64), n)
-        hit = np.flatnonzero(full)
-        if len(hit):
-            new = np.concatenate(([True], (np.diff(hit) > 1) | (segment[hit[1:]] != segment[hit[:-1]])))
-            last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hit) - 1]))
-            spans.append((name[sent[segment[hit[new]]]], word[hit[new]], word[hit[last]] + window))
-    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+    check = mix(checks ^ (np.repeat(key, n) << np.uint64(16)))
+    # texts of batches that are the same one
+    whole = mix(_sums(check, n) + key + mix(_sums(symbols.astype(np.uint64), n + window - 1)))
+    _, first, same = np.unique(whole, return_index=True, return_inverse=True)
+    total = np.minimum(np.bincount(same, times).astype(np.int64), 2)
+    # what no other text has the key of can only repeat within itself
+    _, by_key, sharing = np.unique(key[first], return_inverse=True, return_counts=True)
+    stay = (sharing[by_key] > 1) | (total > 1)
+    order = np.argsort(check)
+    again = check[order[1:]] == check[order[:-1]]
+    stay[same[np.repeat(np.arange(len(n)), n)[order[1:][again]]]] = True
+    only = np.flatnonzero(stay)
+    if not len(only):
+        return np.zeros(0, _PIECE), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text_of, m = first[only], n[first[only]]
+    # all texts, each ended by 0; what is there more than once is in the index twice
+    long, copies = m + window - 1, total[only] > 1
+    begin = np.cumsum(long + 1) - (long + 1)
+    size = int((long + 1).sum())
+    text = np.zeros(size + int((long + 1)[copies].sum()), np.uint16)
+    text[_ragged(begin, long)] = symbols[_ragged(at_symbol[text_of], long)]
+    text[size:] = text[_ragged(begin[copies], long[copies] + 1)]
+    marked = repeated_windows(FmIndex(text), text, begin, begin + long, window)[_ragged(begin, m)]
+    found = _confirmed(marked, check[_ragged(at_check[text_of], m)], np.repeat(total[only], m))
+    # runs of found windows in each text, and these in every place that has the text
+    owner = np.repeat(np.arange(len(only)), m)
+    hit = np.flatnonzero(found)
+    new = np.concatenate(([True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])))[: len(hit)]
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hit) - 1])) if len(hit) else np.zeros(0, np.int64)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+    run_begin, run_end, run_owner = inside[hit[new]], inside[hit[last]] + window, owner[hit[new]]
+    slot = np.full(len(first), -1)
+    slot[only] = np.arange(len(only))
+    runs_from = np.searchsorted(run_owner, np.arange(len(only) + 1))
+    mine = slot[same[ref]]
+    piece = np.flatnonzero(mine >= 0)
+    runs = np.diff(runs_from)[mine[piece]]
+    each, run = np.repeat(piece, runs), _ragged(runs_from[mine[piece]], runs)
+    return name[each], start[each] + run_begin[run], start[each] + run_end[run]
+
+
+def _confirmed(marked: np.ndarray, check: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Windows that the index reports and whose checks are equal to those of another reported one: two words of 4095 have the same symbol."""
+    found = marked.copy()
+    _, slot = np.unique(check[marked], return_inverse=True)
+    found[marked] = np.bincount(slot, times[marked])[slot] > 1
+    return found
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_from: int = HOT) -> DataFrame:
