@@ -1,195 +1,176 @@
 """Benchmark decontamination by winnowing.
 
-Of every six consecutive hashes of five words, the smallest is kept as a
-fingerprint. Five and six make ten words: any ten words that a document
-shares with a benchmark item have the same fingerprint on both sides. Equal
-fingerprints are joined, and each hit is extended word by word, so that what
-counts as hit is exact. Items of fewer words are found by hashes of their
-whole length.
+Of every six consecutive hashes of five words, the smallest is the fingerprint of
+the ten words that they span: any ten words that a document shares with a benchmark
+item have the same fingerprint on both sides. Fingerprints of documents and of
+items are joined; the hits are extended to whole windows, whose hashes are joined
+again, so that what counts as hit is exact. An item of fewer words is one window
+with a fingerprint of a shorter run.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.frames import filter_rows, keyed_text, map_batches
-from noema.llm.words import chunks, grams, texts_of, word_table, words
+from noema.llm.frames import cut, document_name, keyed_text, map_batches
+from noema.llm.words import chunks, grams, mix, smallest, texts_of, word_table, words
 
 LETTERS = word_table(letters=b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-#: Characters of benchmark text that one pass over the documents holds; a larger benchmark takes several passes.
-PART_CHARS = 24_000_000
-
-
-def winnow(h: np.ndarray, owner: np.ndarray, k: int, span: int) -> np.ndarray:
-    """Places of the k-grams that are smallest (the last of equals) among the ``span`` k-grams of some run of k + span - 1 words of one text."""
-    g = grams(h, k)
-    width = k + span - 1
-    if len(h) < width:
-        return np.zeros(0, np.int64)
-    n = len(h) - width + 1
-    best, place = g[:n].copy(), np.zeros(n, np.int64)
-    for step in range(1, span):
-        other = g[step : step + n]
-        lower = other <= best
-        best[lower] = other[lower]
-        place[lower] = step
-    whole = owner[:n] == owner[width - 1 :]
-    return np.unique((place + np.arange(n))[whole])
-
-
-class Index:
-    """Fingerprints of one part of the benchmark."""
-
-    def __init__(self, ids: list, texts: list[bytes], window: int, k: int):
-        self.ids, self.window, self.k, self.span = np.array([str(i) for i in ids], object), window, k, window - k + 1
-        tokens = words(texts, LETTERS, lower=True)
-        self.h, self.first = tokens.hashes(), tokens.first
-        owner = tokens.owner()
-        at = winnow(self.h, owner, k, self.span)
-        keys = grams(self.h, k)[at] if len(at) else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.of = keys[order], at[order], owner[at[order]] if len(at) else at
-        lengths = np.diff(self.first)
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for m in np.unique(lengths[(lengths > 0) & (lengths < window)]).tolist():
-            items = np.flatnonzero(lengths == m)
-            whole = np.array([grams(self.h[self.first[i] : self.first[i] + m], m)[0] for i in items], np.uint64)
-            order = np.argsort(whole, kind="stable")
-            self.short[m] = (whole[order], items[order])
-
-    def hits(self, h: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words that are hit, and pairs of a text and an item as two arrays."""
-        change, docs, items = np.zeros(len(h) + 1, np.int64), [], []
-        at = winnow(h, owner, self.k, self.span)
-        if len(at) and len(self.keys):
-            keys = grams(h, self.k)[at]
-            low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-            found = np.flatnonzero(high > low)
-            for block in np.array_split(found, max(1, int((high - low)[found].sum()) // 1_000_000 + 1)) if len(found) else []:
-                count = (high - low)[block]
-                p = np.repeat(at[block], count)
-                slot = np.repeat(low[block] - np.cumsum(count) + count, count) + np.arange(len(p))
-                q, item, doc = self.at[slot], self.of[slot], owner[p]
-                same = np.ones(len(p), bool)
-                for j in range(self.k):
-                    same &= h[p + j] == self.h[q + j]
-                left, right, go = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), same.copy()
-                for j in range(1, self.span):
-                    go &= (p - j >= first[doc]) & (q - j >= self.first[item])
-                    go[go] = h[p[go] - j] == self.h[q[go] - j]
-                    left += go
-                go = same.copy()
-                for j in range(self.k, self.window):
-                    go &= (p + j < first[doc + 1]) & (q + j < self.first[item + 1])
-                    go[go] = h[p[go] + j] == self.h[q[go] + j]
-                    right += go
-                long = same & (left + right + self.k >= self.window)
-                np.add.at(change, (p - left)[long], 1)
-                np.add.at(change, (p + self.k + right)[long], -1)
-                docs.append(doc[long])
-                items.append(item[long])
-        for m, (keys, which) in self.short.items():
-            g = grams(h, m)
-            low, high = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
-            p = np.flatnonzero((high > low) & (owner[: len(g)] == owner[m - 1 :])) if len(g) else np.zeros(0, np.int64)
-            np.add.at(change, p, 1)
-            np.add.at(change, p + m, -1)
-            count = (high - low)[p]
-            docs.append(np.repeat(owner[p], count))
-            items.append(which[np.repeat(low[p] - np.cumsum(count) + count, count) + np.arange(count.sum())])
-        none = [np.zeros(0, np.int64)]
-        pairs = np.unique(np.stack([np.concatenate(docs or none), np.concatenate(items or none)]), axis=1)
-        return np.cumsum(change[:-1]) > 0, pairs[0], pairs[1]
-
-
-def _scan(docs: DataFrame, index, whole: bool) -> DataFrame:
-    """Hits of one part of the benchmark. ``whole``: the result as it is to be; else rows to merge with those of other parts."""
+#: Bytes of a table that is broadcast; a larger one is joined by a shuffle, where each of its keys is dealt to so many tasks.
+BROADCAST, SALTS = 32 << 20, 32
+
+
+def _windows(h: np.ndarray, owner: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, fingerprint and hash of each run of ``size`` words of one text."""
+    if len(h) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(owner[: len(h) - size + 1] == owner[size - 1 :])
+    low = smallest(grams(h, k), size - k + 1)
+    return at, mix(low[at] + np.uint64(size)), mix(grams(h, size)[at] ^ np.uint64(size))
+
+
+def _shape(size: int, window: int, k: int) -> int:
+    """Words of a fingerprint of windows of so many words."""
+    return k if size == window else (size + 1) // 2
+
+
+def _item_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """The benchmark's windows: fp long, win long, size int, items array<string> (of those with an id)."""
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("string").alias("text")).where("text is not null")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        part: Index = index.value
+        names = np.array(batch.column(0).to_pylist(), object)
         texts, out = texts_of(batch.column(1)), []
-        for begin, end in chunks(texts):
-            tokens = words(texts[begin:end], LETTERS, lower=True)
-            h, first, owner = tokens.hashes(), tokens.first, tokens.owner()
-            hit, docs_hit, items = part.hits(h, first, owner)
-            sums = np.concatenate(([0], np.cumsum(hit)))
-            edges = np.searchsorted(docs_hit, np.arange(end - begin + 1))
-            for k in range(end - begin):
-                names = sorted(set(part.ids[items[edges[k] : edges[k + 1]]]))
-                n = int(first[k + 1] - first[k])
-                if whole:
-                    hits = int(sums[first[k + 1]] - sums[first[k]])
-                    out.append((n, hits, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hits > 0))
-                else:
-                    out.append((n, np.packbits(hit[first[k] : first[k + 1]]).tobytes(), names))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if whole else [pa.int64(), pa.binary(), pa.list_(pa.string())]
-        names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"] if whole else ["n_words", "hit", "items"]
-        columns = [pa.array([row[j] for row in out], kind) for j, kind in enumerate(kinds)]
-        keys = [batch.column(0)] if whole else [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts])]
-        return pa.RecordBatch.from_arrays([*keys, *columns], [*["doc_id", "digest"][: len(keys)], *names])
-
-    return map_batches(docs, run, SCHEMA if whole else "doc_id long, digest binary, n_words long, hit binary, items array<string>")
-
-
-def _indexes(benchmark: DataFrame, window: int, k: int, part_chars: int) -> Iterator:
-    """Broadcast indexes of the benchmark's parts, each of about ``part_chars`` characters."""
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // part_chars))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1].encode() for r in rows], window, k))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_chars: int = PART_CHARS) -> DataFrame:
-    """The documents, all columns, without a word that is hit."""
-    for index in _indexes(benchmark, window, k, part_chars):
-
-        def keep(batch: pa.RecordBatch, index=index) -> np.ndarray:
-            texts, out = texts_of(batch.column("text")), np.ones(batch.num_rows, bool)
-            for a, b in chunks(texts):
-                tokens = words(texts[a:b], LETTERS, lower=True)
-                hit = index.value.hits(tokens.hashes(), tokens.first, tokens.owner())[0]
-                out[a:b] = np.diff(np.concatenate(([0], np.cumsum(hit)))[tokens.first]) == 0
-            return out
-
-        docs = filter_rows(docs, keep)
-    return docs
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_chars: int = PART_CHARS) -> DataFrame:
+        for a, b in chunks(texts):
+            tokens = words(texts[a:b], LETTERS, lower=True)
+            h, owner, lengths = tokens.hashes(), tokens.owner(), np.diff(tokens.first)
+            for size in np.unique(np.minimum(lengths, window)).tolist():
+                if size:
+                    at, fp, win = _windows(h, owner, size, _shape(size, window, k))
+                    own = np.flatnonzero(np.minimum(lengths[owner[at]], window) == size)
+                    out.append((fp[own], win[own], np.full(len(own), size), a + owner[at[own]]))
+        fp, win, size, of = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(win.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(names[of.astype(np.int64)].tolist(), pa.string())], ["fp", "win", "size", "item"])
+
+    return map_batches(items, run, "fp long, win long, size int, item string").groupBy("fp", "win").agg(F.first("size").alias("size"), F.collect_set("item").alias("items"))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str, size: int, broadcast: int) -> DataFrame:
+    """Join with a table of ``size`` bytes: a broadcast if they are few, else a shuffle in which the rows of one key spread over SALTS tasks."""
+    if size <= broadcast:
+        return left.join(F.broadcast(right), keys, how)
+    spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("hash", "low"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"], how).drop("salt")
+
+
+def _bytes(df: DataFrame, row: str) -> int:
+    return int(df.agg(F.coalesce(F.sum(F.expr(row)), F.lit(0))).first()[0])
+
+
+def _document_windows(docs: DataFrame, sizes: Sequence[int], window: int, k: int) -> DataFrame:
+    """Fingerprints of documents, one row for each run of windows that share one: hash long, low int, fp long. ``docs``: hash, low, text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, lows = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        texts, docs_of, prints = texts_of(batch.column(2)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in chunks(texts):
+            tokens = words(texts[a:b], LETTERS, lower=True)
+            h, owner = tokens.hashes(), tokens.owner()
+            for size in sizes:
+                at, fp, _ = _windows(h, owner, size, _shape(size, window, k))
+                new = np.ones(len(at), bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+                docs_of.append(a + owner[at[new]])
+                prints.append(fp[new])
+        of = np.concatenate(docs_of)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[of]), pa.array(lows[of]), pa.array(np.concatenate(prints).view(np.int64))], ["hash", "low", "fp"])
+
+    return map_batches(docs, run, "hash long, low int, fp long")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast: int = BROADCAST) -> DataFrame:
+    """Windows of documents that are windows of items: hash long, low int, start int, size int, items array<string>. ``docs``: hash, low, text."""
+    items = cut(_item_windows(benchmark, window, k))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
+    prints = items.select("fp").distinct()
+    found = _met(_document_windows(docs.select("hash", "low", "text"), sizes, window, k), prints, ["fp"], "left_semi", 16 * prints.count(), broadcast)
+    matched = cut(found.groupBy("hash", "low").agg(F.collect_set("fp").alias("fps")))
+    some = docs.select("hash", "low", "text")
+    near = F.broadcast(matched) if _bytes(matched, "24 + 8 * size(fps)") <= broadcast else matched
+
+    def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out, texts = [], texts_of(batch.column(2))
+        for row, text in enumerate(texts):
+            tokens = words([text], LETTERS, lower=True)
+            h, owner = tokens.hashes(), tokens.owner()
+            wanted = batch.column(3)[row].values.to_numpy().view(np.uint64)
+            for size in sizes:
+                at, fp, win = _windows(h, owner, size, _shape(size, window, k))
+                own = np.flatnonzero(np.isin(fp, wanted))
+                out.append((np.full(len(own), row), at[own], np.full(len(own), size), fp[own], win[own]))
+        of, at, size, fp, win = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.uint64)] * 5
+        names = [batch.column(c).to_numpy(zero_copy_only=False)[of.astype(np.int64)] for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(win.view(np.int64))], ["hash", "low", "start", "size", "fp", "win"])
+
+    extended = map_batches(some.join(near, ["hash", "low"]).select("hash", "low", "text", "fps"), extend, "hash long, low int, start int, size int, fp long, win long")
+    return _met(extended, items.drop("size"), ["fp", "win"], "inner", _bytes(items, "48 + octet_length(array_join(items, ','))"), broadcast).drop("fp", "win")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast: int = BROADCAST) -> DataFrame:
+    """The documents, all columns, without a word that is hit.
+
+    A null or wordless text stays, as do all texts with an empty benchmark; repeated rows stay or
+    go together; an empty table gives none; columns may have any names.
+    """
+    hash_, low = document_name(docs)
+    found = cut(hits(docs.select(hash_.alias("hash"), low.alias("low"), F.col("text").cast("string").alias("text")), benchmark, window, k, broadcast).select(F.col("hash").alias("hit_hash"), F.col("low").alias("hit_low")).distinct())
+    near = F.broadcast(found) if 24 * found.count() <= broadcast else found
+    return docs.join(near, (hash_ == near["hit_hash"]) & (low == near["hit_low"]), "left_anti")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast: int = BROADCAST) -> DataFrame:
     """Words of each document inside a window that it shares with a benchmark item, and the items.
 
-    A window is ``window`` consecutive words of an item; an item of fewer (but
-    some) words is one window. The benchmark is read in parts of about
-    ``part_chars`` characters, each sent to all executors and held against
-    every document; one part needs no shuffle, several are merged by document.
+    A window is ``window`` consecutive words of an item; an item of fewer (but some) words is one
+    window. Tables of at most ``broadcast`` bytes go to every task, larger ones are joined by
+    shuffles; the driver gets numbers only.
 
-    A null or wordless text gives n_words 0 and no hit; a null or wordless item
-    has no window; repeated documents each give a row; items that share an id
-    count once; empty tables give no rows, or no hits; other columns are not
-    read.
+    A null or wordless text gives n_words 0 and no hit; a null or wordless item has no window; an
+    item without an id marks words as hit and adds nothing to the items; repeated documents each
+    give a row; items that share an id count once; empty tables give no rows, or no hits; other
+    columns are not read.
     """
     docs = keyed_text(docs, "doc_id", "text")
-    indexes = list(_indexes(benchmark, window, k, part_chars))
-    parts = len(indexes)
-    found = [_scan(docs, index, parts == 1) for index in indexes]
-    if parts == 1:
-        return found[0]
-    merged = found[0]
-    for other in found[1:]:
-        merged = merged.unionByName(other)
-    merged = merged.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / parts).cast("int").alias("copies"))
-    one = F.udf(lambda maps: int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in maps])).sum()) if maps else 0, "long")
-    merged = merged.withColumn("n_hit", one("hits")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return merged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    hash_, low = document_name(docs)
+    named = docs.select("doc_id", "text", hash_.alias("hash"), low.alias("low"))
+    spans = cut(hits(named, benchmark, window, k, broadcast).groupBy("hash", "low").agg(F.collect_list(F.struct("start", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
+    near = F.broadcast(spans) if _bytes(spans, "32 + 8 * size(spans) + octet_length(array_join(items, ','))") <= broadcast else spans
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n_words = texts_of(batch.column(1)), []
+        for a, b in chunks(texts):
+            n_words += np.diff(words(texts[a:b], LETTERS, lower=True).first).tolist()
+        n_hit, names = [0] * len(texts), [[]] * len(texts)
+        for k, row in enumerate(batch.column(2)):
+            if row.is_valid:
+                start, size = (row.values.field(c).to_numpy() for c in (0, 1))
+                change = np.zeros(n_words[k] + 1, np.int64)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + size, -1)
+                n_hit[k] = int((np.cumsum(change[:-1]) > 0).sum())
+                names[k] = sorted(batch.column(3)[k].as_py())
+        digests = [hashlib.sha256(",".join(n).encode()).hexdigest() for n in names]
+        columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(n) for n in names], pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return map_batches(named.join(near, ["hash", "low"], "left").select("doc_id", "text", "spans", "items"), run, SCHEMA)
 
 
 def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = 10) -> tuple[int, int, list[str]]:
@@ -202,7 +183,7 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], window
             for k in range(len(own) - len(part) + 1):
                 if own[k : k + len(part)] == part:
                     hit.update(range(k, k + len(part)))
-                    names.add(str(item))
+                    names |= set() if item is None else {str(item)}
     return len(own), len(hit), sorted(names)
 
 

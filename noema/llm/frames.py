@@ -23,6 +23,24 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def document_name(docs: DataFrame) -> tuple[Column, Column]:
+    """What names a document: a hash of its id and text, and the low 32 bits of its id (0 for null)."""
+    doc_id = docs["doc_id"].cast("long")
+    return F.xxhash64(doc_id, docs["text"].cast("string")), F.coalesce(F.shiftright(F.shiftleft(doc_id, 32), 32).cast("int"), F.lit(0))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function of a piece of a batch; None stands for no rows."""
 
@@ -66,11 +84,14 @@ def ordered_rows(table: pa.Table) -> tuple[list[int | None], list[str | None]]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder is set only where the session has none (local tests)."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``; only a local session may do without that setting and gets a temporary folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "noema-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "noema-checkpoints"))
     return df.checkpoint(eager=True)
 
 

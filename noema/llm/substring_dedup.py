@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noema.llm.fm_index import FmIndex, repeated_windows
-from noema.llm.frames import cut, keyed_text, map_batches
-from noema.llm.words import SPACES, chunks, grams, mix, powers, texts_of, word_table, words
+from noema.llm.frames import cut, document_name, free_names, keyed_text, map_batches
+from noema.llm.words import SPACES, chunks, grams, mix, powers, smallest, texts_of, word_table, words
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 WINDOW, ANCHOR = 35, 8
@@ -36,15 +36,6 @@ _PACKED = "shard int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 _PIECE = np.dtype([("hash", "<i8"), ("low", "<i4")])
 
 
-def _smallest(h: np.ndarray, span: int) -> np.ndarray:
-    """The smallest of every ``span`` consecutive entries."""
-    have = 1
-    while have * 2 <= span:
-        h = np.minimum(h[:-have], h[have:])
-        have *= 2
-    return np.minimum(h[: len(h) - (span - have)], h[span - have :]) if span > have else h
-
-
 def _segments(texts: list[bytes], window: int, anchor: int, most: int = 255) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the text of each segment, its first word (in all words and in its text), its number of windows (``most`` at the most), and its key."""
     tokens = words(texts, _INSIDE)
@@ -52,7 +43,7 @@ def _segments(texts: list[bytes], window: int, anchor: int, most: int = 255) ->
     none = np.zeros(0, np.int64)
     if len(h) < window:
         return h, none, none, none, none, none.astype(np.uint64)
-    low = _smallest(grams(h, anchor), window - anchor + 1)
+    low = smallest(grams(h, anchor), window - anchor + 1)
     at = np.flatnonzero(owner[: len(low)] == owner[window - 1 :])
     if not len(at):
         return h, none, none, none, none, none.astype(np.uint64)
@@ -259,11 +250,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return _send(docs, shards, window, anchor, hot).repartition(shards, "shard").mapInArrow(run, "hash long, low int, begin int, end int")
 
 
-def _low(doc_id: Column | str) -> Column:
-    """The low 32 bits of a long id as an int, of any id; null gives 0."""
-    return F.coalesce(F.shiftright(F.shiftleft(doc_id, 32), 32).cast("int"), F.lit(0))
-
-
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False, hot_from: int = HOT) -> DataFrame:
     """Removes from every text the words covered by a window of ``window`` words that also starts anywhere else.
 
@@ -272,7 +258,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     rows that repeat are each other's copies and each give a row; null doc_ids are rows like
     others; an empty table gives none; other columns are not read.
     """
-    named = keyed_text(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"), _low("doc_id").alias("low"))
+    docs = keyed_text(docs, "doc_id", "text")
+    hash_, low = document_name(docs)
+    named = docs.select("doc_id", "text", hash_.alias("hash"), low.alias("low"))
     spans = repeated_spans(named, window, anchor, hot_from).groupBy("hash", "low").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -300,15 +288,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
 
 
 def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The documents, all columns, without repeated windows: a text that loses words is the others joined by one space (and n_chars its length, where there is that column); other texts stay as they are."""
-    name = {"__hash": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__low": _low(F.col("doc_id").cast("long"))}
-    named = docs.withColumns(name)
-    spans = repeated_spans(named.select(F.col("__hash").alias("hash"), F.col("__low").alias("low"), F.col("text").cast("string").alias("text")), window, anchor).groupBy(F.col("hash").alias("__hash"), F.col("low").alias("__low")).agg(F.collect_list("begin").alias("__begins"), F.collect_list("end").alias("__ends"))
+    """The documents, all columns, without repeated windows: a text that loses words is the others joined by one space (and n_chars its length, where there is that column); other texts stay as they are.
+
+    A null text stays null; repeated rows are each other's copies and each give a row; an
+    empty table gives none; columns may have any names.
+    """
+    hash_, low, begins_, ends_ = free_names(docs, "hash", "low", "begins", "ends")
+    named = docs.withColumns(dict(zip((hash_, low), document_name(docs), strict=True)))
+    spans = repeated_spans(named.select(F.col(hash_).alias("hash"), F.col(low).alias("low"), F.col("text").cast("string").alias("text")), window, anchor).groupBy(F.col("hash").alias(hash_), F.col("low").alias(low)).agg(F.collect_list("begin").alias(begins_), F.collect_list("end").alias(ends_))
     schema = docs.schema
     sized = "n_chars" in docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        begins, ends = batch.column("__begins"), batch.column("__ends")
+        begins, ends = batch.column(begins_), batch.column(ends_)
         texts = batch.column("text").to_pylist()
         sizes = batch.column("n_chars").to_pylist() if sized else []
         for k, text in enumerate(texts):
@@ -324,7 +316,7 @@ def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         columns = [pa.array(new[f], batch.column(f).type) if f == "text" or sized and f == "n_chars" else batch.column(f) for f in schema.names]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = named.join(spans, ["__hash", "__low"], "left").select(*docs.columns, "__begins", "__ends")
+    joined = named.join(spans, [hash_, low], "left").select(*docs.columns, begins_, ends_)
     return map_batches(joined, run, schema)
 
 

@@ -85,6 +85,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1])
 
 
+def smallest(h: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of every ``span`` consecutive entries."""
+    have = 1
+    while have * 2 <= span:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    return np.minimum(h[: len(h) - (span - have)], h[span - have :]) if span > have else h
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

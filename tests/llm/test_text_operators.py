@@ -90,19 +90,19 @@ def test_utf8_stream_over_any_cut():
         assert stream.feed(data[:k]) + stream.feed(data[k:]) + stream.close() == "aé日😀z"
 
 
-@pytest.mark.parametrize("part_chars", [10**9, 300])
-def test_decontamination(spark, docs, nothing, part_chars):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+def test_decontamination(spark, docs, nothing, broadcast):
     clean = [t for t in TEXTS if t and len(t.split()) == 60]
-    items = [(1, " ".join(clean[0].split()[5:25])), (2, clean[1].upper()), (3, "w7 w9"), (4, None), (5, ""), (6, "never there at all in any of these texts my friend"), (1, "other text of the same id"), (7, "x x x")]
+    items = [(1, " ".join(clean[0].split()[5:25])), (2, clean[1].upper()), (3, "w7 w9"), (4, None), (5, ""), (6, "never there at all in any of these texts my friend"), (1, "other text of the same id"), (7, "x x x"), (None, " ".join(clean[2].split()[:12]))]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for k, r in by_id(decontaminate.contamination(docs, table, part_chars=part_chars)).items():
+    for k, r in by_id(decontaminate.contamination(docs, table, broadcast=broadcast)).items():
         n, hit, names = decontaminate.brute_force(TEXTS[3 if k is None else k], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(names), hit > 0), k
         assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
-    assert decontaminate.contamination(docs, table, part_chars=part_chars).count() == len(TEXTS) + 1
+    assert decontaminate.contamination(docs, table, broadcast=broadcast).count() == len(TEXTS) + 1
     assert decontaminate.contamination(nothing, table).count() == 0
     assert decontaminate.contamination(docs, table.limit(0)).where("contaminated").count() == 0
-    left = {r["doc_id"] for r in decontaminate.clean(docs, table, part_chars=part_chars).collect()}
+    left = {r["doc_id"] for r in decontaminate.clean(docs, table, broadcast=broadcast).collect()}
     assert left == {None if k == 3 else k for k, t in enumerate(TEXTS) if not decontaminate.brute_force(t, items)[1]}
 
 
