@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.frames import crc_remainder, filter_rows, map_batches
+from noema.llm.frames import crc_remainder, filter_rows, free_names, map_batches
 from noema.llm.words import SPACES, chunks, texts_of, word_table, words
 
 #: Bits of the hash space of words.
@@ -181,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     """Fits on at most ``sample`` rows of each label whose crc32(doc_id as text) mod ``folds`` is not 0.
 
     Rows without a label of 0 or 1 are left out; labels that repeat count once, and a
-    doc_id with both labels is left out. What the bound does to the share of the labels is
+    doc_id with both labels is left out. Of documents with one id, that with the smallest text
+    (a null one first) is learned from. What the bound does to the share of the labels is
     undone: the bias moves by the log of how much scarcer a label is in the sample.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
@@ -189,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     there = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     scarcer = [max(1.0, there.get(label, 0) / sample) for label in (0, 1)]
     picked = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)).select("doc_id", "quality")
-    chosen = _inputs(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # 2 * sample rows at most
+    # 2 * sample rows at most
+    chosen = _inputs(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "declared")).alias("row")).select("doc_id", "quality", "row.*")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features([t], np.array([d])) for t, d in zip(texts_of(batch.column("text")), batch.column("declared").to_pylist(), strict=True)]
@@ -209,14 +211,19 @@ def _scores(model: Model, texts: list[bytes], declared: np.ndarray) -> np.ndarra
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that score ``threshold`` or more; columns and their nulls stay as they are."""
+    """The documents, all columns, that score ``threshold`` or more.
+
+    A null text counts as empty and is scored by its statistics; repeated rows stay or go
+    together; an empty table gives none; columns may have any names and keep their nulls.
+    """
+    [declared] = free_names(docs, "declared")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     size = F.coalesce(docs["n_chars"].cast("long"), F.lit(-1)) if "n_chars" in docs.columns else F.lit(-1).cast("long")
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
-        return _scores(sent.value, texts_of(batch.column("text")), batch.column("__declared").to_numpy(zero_copy_only=False)) >= threshold
+        return _scores(sent.value, texts_of(batch.column("text")), batch.column(declared).to_numpy(zero_copy_only=False)) >= threshold
 
-    return filter_rows(docs.withColumn("__declared", size), keep, "__declared")
+    return filter_rows(docs.withColumn(declared, size), keep, declared)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.frames import cut, keyed_text, map_batches
+from noema.llm.frames import cut, free_names, keyed_text, map_batches
 from noema.llm.graph import components, forest
 from noema.llm.words import chunks, mix, texts_of
 
@@ -35,6 +35,8 @@ SEED = 42
 CROWD, SHARE = 4096, 65_536
 #: Pairs that are compared at a time.
 PAIRS = 2_000_000
+#: Fingerprints that a task of the comparison gets on average.
+TASK_ROWS = 1_500_000
 #: Near copies: 64-bit words of a fingerprint and blocks drawn from it; bits that may differ in the first two words and in all (mean of pairs at Jaccard 0.8 plus three and four deviations).
 WIDE, DRAWN, CLOSE_TWO, CLOSE_ALL = 8, 96, 32, 110
 #: Characters of text of a chunk whose pairs one task confirms, and texts that are looked up by a broadcast of their names at most.
@@ -60,6 +62,11 @@ class Cover:
         self.parts = [(low, min(width, 64 - low)) for low in range(0, 64, width)]
         self.share = threshold // blocks
 
+    def copies(self) -> int:
+        """Anchors that a fingerprint goes to in all, rounded up from the mean of some random ones."""
+        some = np.random.default_rng(SEED).integers(0, 1 << 63, 200, np.uint64)
+        return -(-sum(len(self.near(some, b)[0]) for b in range(len(self.parts))) // len(some))
+
     def home(self, fp: np.ndarray, block: int) -> np.ndarray:
         """The nearest anchor's number in a block, the block's number in the highest bits."""
         low, width = self.parts[block]
@@ -179,7 +186,7 @@ def links(distinct: DataFrame, threshold: int = 4, crowd: int = CROWD, blocks: i
             for k in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], ["a", "b"])
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 45 // 1_500_000)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * cover.copies() // TASK_ROWS)
     dealt = map_batches(distinct.select("fp"), deal, "key long, part long, fp long, lives boolean").repartition(tasks, "key", "part")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -303,7 +310,7 @@ def candidates(nodes: DataFrame, crowd: int = CROWD, blocks: int = 3) -> DataFra
             for k in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], ["a", "b"])
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * DRAWN // 1_500_000)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * DRAWN // TASK_ROWS)
     dealt = map_batches(nodes.select("node", "wide"), deal, "key long, part int, node long, one long, two long, lives boolean").repartition(tasks, "key", "part")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -373,10 +380,13 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8, crowd: int
     Documents are linked if the Jaccard of their sets of ``k``-word shingles (the whole text,
     if it has fewer words) is ``least`` or more; groups are components of links. Every link is
     exact; a pair is missed if it neither meets at an anchor nor shares a component of
-    candidates. Null, empty and wordless texts are each other's copies.
+    candidates. Null, empty and wordless texts are each other's copies; of rows with equal id and
+    text one stays, whose other columns are those of any of them; an empty table gives none; columns
+    may have any names.
     """
     named = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__name": named})
+    id_, name = free_names(docs, "id", "name")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), name: named})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         wide, digest = wide_fingerprints(texts_of(batch.column(2)), k)
@@ -386,13 +396,13 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8, crowd: int
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"), F.min("wide").alias("wide")))
     star = cut(components(candidates(nodes, crowd, blocks)))
     star = star.unionAll(star.select(F.col("root").alias("node"), "root").distinct())
-    members = cut(nodes.join(star, "node").select("node", "root", "wide", F.coalesce("first.doc_id", F.lit(-1)).alias("__id"), F.col("first.name").alias("__name")))
+    members = cut(nodes.join(star, "node").select("node", "root", "wide", F.coalesce("first.doc_id", F.lit(-1)).alias(id_), F.col("first.name").alias(name)))
     few = F.broadcast(members) if members.count() <= SENT else members
-    texts = keyed.select("__id", "__name", F.col("text").cast("string").alias("text")).join(few, ["__name", "__id"]).where("text is not null").dropDuplicates(["node"])
+    texts = keyed.select(id_, name, F.col("text").cast("string").alias("text")).join(few, [name, id_]).where("text is not null").dropDuplicates(["node"])
     linked = components(_confirmed(cut(texts.select("node", "root", "wide", "text")), k, least, chars))
     rooted = nodes.join(linked, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("__id"), F.col("first.name").alias("__name"))
-    return keyed.join(chosen, ["__name", "__id"], "left_semi").dropDuplicates(["__name", "__id"]).select(*docs.columns)
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias(id_), F.col("first.name").alias(name))
+    return keyed.join(chosen, [name, id_], "left_semi").dropDuplicates([name, id_]).select(*docs.columns)
 
 
 def brute_force(texts: list[str | None], k: int = 4, threshold: int = 4) -> tuple[list[int], list[int]]:
