@@ -11,9 +11,11 @@ from pyspark.sql import Window as W
 from noema.operators.common import both_ends
 
 
-def faceted(concepts: DataFrame, edges: DataFrame, *, scope: str | None = None, types: Sequence[str] = (), status: Sequence[str] = (), source: str | None = None, curated: bool | None = None, text: str | None = None, cluster: str | None = None, orphan: bool | None = None, tombstones: bool = False) -> DataFrame:
-    """Concepts under up to ten facets, all of which must hold. ``text`` is a literal part of title or description, in any case; orphans are in no cluster."""
+def faceted(concepts: DataFrame, edges: DataFrame, *, scope: str | None = None, types: Sequence[str] = (), status: Sequence[str] = (), source: str | None = None, curated: bool | None = None, unverified_only: bool = False, text: str | None = None, cluster: str | None = None, orphan: bool | None = None, tombstones: bool = False) -> DataFrame:
+    """Concepts under up to ten facets, all of which must hold. ``text`` is a literal part of title or description, in any case; orphans are in no cluster; unverified ones are generated (``generated_by``) and neither curated nor verified."""
     out = concepts if tombstones else concepts.where("status <> 'tombstone'")
+    if unverified_only:
+        out = out.where("generated_by is not null and not curated and verified_at is null")
     for name, value in (("scope", scope), ("source_name", source), ("curated", curated)):
         if value is not None:
             out = out.where(F.col(name) == value)
@@ -99,11 +101,11 @@ def stats(concepts: DataFrame) -> DataFrame:
 
 
 def unverified(edges: DataFrame, limit: int, kinds: Sequence[str] = ()) -> DataFrame:
-    """Generated edges to be looked at: highest confidence first, unknown last."""
-    out = edges.where("generated")
+    """Generated edges that nobody has curated or verified: highest confidence first (unknown last), then the newest."""
+    out = edges.where("generated and not curated and verified_at is null")
     if kinds:
         out = out.where(F.col("kind").isin(*kinds))
-    return out.orderBy(F.desc_nulls_last("confidence"), "from_id", "to_id", "kind").limit(limit)
+    return out.orderBy(F.desc_nulls_last("confidence"), F.desc_nulls_last("created_at"), "from_store", "from_id", "to_store", "to_id", "kind").limit(limit)
 
 
 def member_counts(concepts: DataFrame, edges: DataFrame) -> DataFrame:

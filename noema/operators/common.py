@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A table written to the folder of ``spark.checkpoint.dir``, read back; a folder is chosen only where the session has none (local tests).
+    """A table written to the folder of ``spark.checkpoint.dir``, read back; only a local session may do without that setting.
 
     Unlike a checkpoint, what is read back has the size of its files: in loops of joins, estimates that
     are carried along square each round and would stop the driver.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "noema-checkpoints")
-    path = f"{root.rstrip('/')}/noema/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(root or os.path.join(tempfile.gettempdir(), 'noema-checkpoints')).rstrip('/')}/noema/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

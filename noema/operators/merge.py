@@ -11,25 +11,6 @@ from noema.functions.scalars import content_hash
 CONTENT = ("title", "description", "body", "tags")
 
 
-def upsert(existing: DataFrame, drafts: DataFrame, mirrored: bool = False) -> DataFrame:
-    """What becomes of each draft: id, outcome (created, unchanged, updated, conflict), content_hash, held_back, verification_reset.
-
-    ``existing``: id, title, description, body, curated, verified (boolean). ``drafts``: id, title,
-    description, body; of several of one id the first by content hash counts. A changed draft of a
-    curated concept is held back as a conflict unless the source is mirrored; an update takes back
-    a verification. One equi-join on id; nothing is collected.
-    """
-    new = drafts.select("id", *(F.col(c).alias(f"new_{c}") for c in CONTENT[:3])).withColumn("new_hash", content_hash(F.col("new_title"), F.col("new_description"), F.col("new_body")))
-    new = new.groupBy("id").agg(F.min_by(F.struct(*(f"new_{c}" for c in CONTENT[:3]), "new_hash"), "new_hash").alias("n")).select("id", "n.*")
-    old = existing.select("id", *CONTENT[:3], "curated", "verified", content_hash(F.col("title"), F.col("description"), F.col("body")).alias("old_hash"))
-    rows = new.join(old, "id", "left")
-    changed = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"new_{c}")), F.lit(c)) for c in CONTENT[:3])))
-    outcome = F.when(F.col("old_hash").isNull(), "created").when(F.col("old_hash") == F.col("new_hash"), "unchanged").when(F.col("curated") & F.lit(not mirrored), "conflict").otherwise("updated")
-    rows = rows.withColumn("outcome", outcome)
-    held = F.when(F.col("outcome") == "conflict", changed).otherwise(F.array().cast("array<string>"))
-    return rows.select("id", "outcome", F.when(F.col("outcome") == "conflict", F.col("old_hash")).otherwise(F.col("new_hash")).alias("content_hash"), held.alias("held_back"), ((F.col("outcome") == "updated") & F.coalesce("verified", F.lit(False))).alias("verification_reset"))
-
-
 def reconcile(current: DataFrame, wanted: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Edges to add, keep and remove so that ``current`` becomes ``wanted``: from_id, to_id, kind, action. Generated edges that were rejected are not added; curated edges are not removed."""
     key = ["from_id", "to_id", "kind"]
@@ -57,15 +38,6 @@ def cursor_filter(documents: DataFrame, since: str | None) -> DataFrame:
     return documents if since is None else documents.where(F.col("updated_at").isNull() | (F.col("updated_at") > F.to_timestamp(F.lit(since))))
 
 
-def stability(candidates: DataFrame, seen_now: DataFrame, runs: int = 2) -> DataFrame:
-    """Candidates of memberships after another run: concept_id, cluster_id, seen, excluded, accepted. A pair seen now counts one more; one not seen starts again; ``runs`` in a row make a member."""
-    key = ["concept_id", "cluster_id"]
-    both = candidates.join(seen_now.select(*key).distinct().withColumn("now", F.lit(1)), key, "full_outer")
-    seen = F.when(F.col("now").isNotNull(), F.coalesce("seen", F.lit(0)) + 1).otherwise(0)
-    rows = both.select(*key, seen.alias("seen"), F.coalesce("excluded", F.lit(False)).alias("excluded"))
-    return rows.withColumn("accepted", (F.col("seen") >= runs) & ~F.col("excluded"))
-
-
 def merged(existing: DataFrame, drafts: DataFrame, now: str, mirrored: bool = False) -> DataFrame:
     """Concepts after a merge of drafts: every column of ``existing``, and outcome (created, unchanged, updated, conflict; null for concepts without a draft), held_back, verification_reset.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,9 +13,14 @@ from noema.functions.scalars import trigram_similarity, trigrams
 from noema.operators import vectors as V
 
 
+def query_words(query: str) -> list[str]:
+    """Different words of a query, cut as those of texts: runs of letters and digits."""
+    return sorted({"".join(run) for letters, run in groupby(query.lower(), lambda c: unicodedata.category(c)[0] in "LN") if letters})
+
+
 def full_text(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Living concepts whose title, description and body (if there is one) have all words of the query: id, hits, rank. More hits, in relation to all words, come first."""
-    wanted = sorted({w for w in query.lower().split() if w})
+    wanted = query_words(query)
     words = F.filter(F.split(F.lower(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = concepts.where("status <> 'tombstone'").withColumn("words", words)
     for word in wanted:

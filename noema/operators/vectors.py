@@ -33,11 +33,12 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFr
     Vectors are dealt out in blocks; each pair of blocks is one task that keeps its best
     ``k``, so no task holds more than two blocks and ``k`` rows a block and vector are shuffled.
     """
-    return nearest(vectors, vectors, k, least)
+    return nearest(vectors, vectors, k, least, others=True)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """Exact ``k`` nearest ``targets`` of every query, itself left out, in blocks as for ``neighbours``: id, other, similarity, rank."""
+def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
+    """Exact ``k`` nearest ``targets`` of every query, in blocks as for ``neighbours``: id, other, similarity, rank. With ``others``, a target with the query's id is the query itself and left out."""
+    apart = others
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
         blocks = -(-rows.count() // BLOCK) or 1
@@ -60,7 +61,7 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None
                     name = names[begin + r]
                     keep = np.argpartition(-row, min(k + 1, len(row)) - 1)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
                     tied = np.flatnonzero(row >= row[keep].min()) if len(row) > k + 1 else keep
-                    rows += [(name, others[j], float(row[j])) for j in tied if others[j] != name]
+                    rows += [(name, others[j], float(row[j])) for j in tied if not apart or others[j] != name]
         return pa.table({"id": pa.array([r[0] for r in rows], x.schema.field("id").type), "other": pa.array([r[1] for r in rows], y.schema.field("id").type), "similarity": pa.array([r[2] for r in rows], pa.float64())})
 
     kind, others = (df.schema["id"].dataType.simpleString() for df in (queries, targets))

@@ -15,12 +15,12 @@ UNION ALL SELECT concat('customer:', c_custkey), 'personal', 'sales', 'Customer'
 UNION ALL SELECT concat('order:', o_orderkey), 'personal', 'sales', 'Order', concat('order ', o_orderkey), o_orderpriority, 'active', CAST(o_orderdate AS TIMESTAMP), FALSE, 'crm' FROM {orders}
 """
 EDGES = """
-SELECT 'shared' AS from_store, concat('region:', n_regionkey) AS from_id, 'shared' AS to_store, concat('nation:', n_nationkey) AS to_id, 'member' AS kind, CAST(1 AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS confidence, FALSE AS generated FROM {nation}
-UNION ALL SELECT 'shared', concat('supplier:', s_suppkey), 'shared', concat('nation:', s_nationkey), 'related', CAST(1 AS DOUBLE), CAST(s_suppkey % 100 AS DOUBLE) / 100, TRUE FROM {supplier}
-UNION ALL SELECT 'personal', concat('customer:', c_custkey), 'shared', concat('nation:', CASE WHEN c_custkey % 13 = 0 THEN 1000 + c_nationkey ELSE c_nationkey END), 'references', CAST(1 AS DOUBLE), NULL, FALSE FROM {customer}
-UNION ALL SELECT 'personal', concat('order:', o_orderkey), 'personal', concat('customer:', o_custkey), 'references', CAST(1 AS DOUBLE), NULL, FALSE FROM {orders}
-UNION ALL SELECT 'personal', concat('order:', l_orderkey), 'shared', concat('part:', l_partkey), 'depends_on', CAST(count(*) AS DOUBLE), CAST((l_orderkey + l_partkey) % 100 AS DOUBLE) / 100, TRUE FROM {lineitem} GROUP BY l_orderkey, l_partkey
-UNION ALL SELECT 'shared', concat('part:', l_partkey), 'shared', concat('supplier:', l_suppkey), 'implements', CAST(count(*) AS DOUBLE), CAST((l_suppkey + l_partkey) % 100 AS DOUBLE) / 100, TRUE FROM {lineitem} GROUP BY l_partkey, l_suppkey
+SELECT 'shared' AS from_store, concat('region:', n_regionkey) AS from_id, 'shared' AS to_store, concat('nation:', n_nationkey) AS to_id, 'member' AS kind, CAST(1 AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS confidence, FALSE AS generated, CAST(NULL AS VARCHAR(99)) AS generated_by, TRUE AS curated, CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP '1992-01-01 00:00:00' AS created_at FROM {nation}
+UNION ALL SELECT 'shared', concat('supplier:', s_suppkey), 'shared', concat('nation:', s_nationkey), 'related', CAST(1 AS DOUBLE), CAST(s_suppkey % 100 AS DOUBLE) / 100, TRUE, 'clustering', s_suppkey % 4 = 0, CASE WHEN s_suppkey % 6 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' END, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' ELSE TIMESTAMP '1997-01-01 00:00:00' END FROM {supplier}
+UNION ALL SELECT 'personal', concat('customer:', c_custkey), 'shared', concat('nation:', CASE WHEN c_custkey % 13 = 0 THEN 1000 + c_nationkey ELSE c_nationkey END), 'references', CAST(1 AS DOUBLE), NULL, FALSE, 'source_ref', FALSE, NULL, TIMESTAMP '1993-01-01 00:00:00' FROM {customer}
+UNION ALL SELECT 'personal', concat('order:', o_orderkey), 'personal', concat('customer:', o_custkey), 'references', CAST(1 AS DOUBLE), NULL, FALSE, 'body_ref', FALSE, NULL, CAST(o_orderdate AS TIMESTAMP) FROM {orders}
+UNION ALL SELECT 'personal', concat('order:', l_orderkey), 'shared', concat('part:', l_partkey), 'depends_on', CAST(count(*) AS DOUBLE), CAST((l_orderkey + l_partkey) % 100 AS DOUBLE) / 100, TRUE, 'relations', l_partkey % 10 = 0, NULL, CAST(max(l_shipdate) AS TIMESTAMP) FROM {lineitem} GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT 'shared', concat('part:', l_partkey), 'shared', concat('supplier:', l_suppkey), 'implements', CAST(count(*) AS DOUBLE), CAST((l_suppkey + l_partkey) % 100 AS DOUBLE) / 100, TRUE, 'relations', l_partkey % 7 = 0, NULL, CAST(max(l_shipdate) AS TIMESTAMP) FROM {lineitem} GROUP BY l_partkey, l_suppkey
 """
 
 

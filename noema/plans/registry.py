@@ -86,7 +86,7 @@ def loose_concepts(spark, sf_dir):
     return catalogue.loose(*graph.load(spark, sf_dir), threshold=2)
 
 
-@query(" SELECT from_id, to_id, kind, confidence FROM edges WHERE generated ORDER BY confidence DESC NULLS LAST, from_id, to_id, kind LIMIT 100")
+@query(" SELECT from_id, to_id, kind, confidence FROM edges WHERE generated AND NOT curated AND verified_at IS NULL ORDER BY confidence DESC NULLS LAST, created_at DESC NULLS LAST, from_store, from_id, to_store, to_id, kind LIMIT 100")
 def unverified_queue(spark, sf_dir):
     return catalogue.unverified(graph.load(spark, sf_dir)[1], 100).select("from_id", "to_id", "kind", "confidence")
 
@@ -124,19 +124,67 @@ def journal_json(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-_BOTH = ", steps AS (SELECT from_id AS id, to_id AS other FROM edges UNION SELECT to_id, from_id FROM edges), walk(id, hops) AS (SELECT 'nation:3', 0 UNION SELECT s.other, w.hops + 1 FROM walk w JOIN steps s ON s.id = w.id WHERE w.hops < 2), reached AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id)"
+_TWINS = ", twice AS (SELECT store, id, type, status, updated_at FROM concepts UNION ALL SELECT 'personal', id, 'Note', 'active', NULL FROM concepts WHERE type = 'Nation'), links AS (SELECT from_store, from_id, to_store, to_id, kind FROM edges UNION ALL SELECT 'personal', id, 'shared', 'region:1', 'references' FROM concepts WHERE type = 'Nation')"
 
 
-@query(_BOTH + " SELECT id, hops FROM reached")
+def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with a personal note for every nation, of the same id."""
+    concepts, edges = graph.load(spark, sf_dir)
+    columns = ("store", "id", "type", "status", "updated_at")
+    notes = concepts.where("type = 'Nation'").select(F.lit("personal").alias("store"), "id", F.lit("Note").alias("type"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("updated_at"))
+    ends = notes.select(F.col("store").alias("from_store"), F.col("id").alias("from_id"), F.lit("shared").alias("to_store"), F.lit("region:1").alias("to_id"), F.lit("references").alias("kind"))
+    return concepts.select(*columns).unionAll(notes), edges.select(*traverse.KEY).unionAll(ends)
+
+
+def _start(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("shared", "nation:3")], "store string, id string")
+
+
+def _touching(nodes: str) -> str:
+    return f"SELECT * FROM links l WHERE EXISTS (SELECT 1 FROM {nodes} n WHERE n.store = l.from_store AND n.id = l.from_id) OR EXISTS (SELECT 1 FROM {nodes} n WHERE n.store = l.to_store AND n.id = l.to_id)"
+
+
+def _met(hop: int, most: int | None) -> str:
+    """Nodes first met in a hop, in the order of stores, starts, kinds and ends."""
+    place = "from_store || chr(1) || from_id || chr(1) || kind || chr(1) || to_id || chr(1)"
+    ends = f"SELECT from_store AS store, from_id AS id, {place} || '0' AS place FROM t{hop} UNION ALL SELECT to_store, to_id, {place} || '1' FROM t{hop}"
+    left = "" if most is None else f" WHERE n <= {most} - (SELECT count(*) FROM s{hop - 1})"
+    return f", t{hop} AS ({_touching(f's{hop - 1}')}), m{hop} AS (SELECT store, id, row_number() OVER (ORDER BY min(place)) AS n FROM ({ends}) e WHERE NOT EXISTS (SELECT 1 FROM s{hop - 1} s WHERE s.store = e.store AND s.id = e.id) GROUP BY store, id), s{hop} AS (SELECT * FROM s{hop - 1} UNION ALL SELECT store, id, {hop} FROM m{hop}{left})"
+
+
+def _reached(most: int | None) -> str:
+    return _TWINS + ", s0 AS (SELECT 'shared' AS store, 'nation:3' AS id, 0 AS hops)" + _met(1, most) + _met(2, most)
+
+
+@query(_reached(None) + " SELECT store, id, hops FROM s2")
 def reach_two_hops(spark, sf_dir):
-    start = spark.createDataFrame([("nation:3",)], "id string")
-    return traverse.reach(graph.load(spark, sf_dir)[1], start, 2, None)
+    return traverse.reach(_twins(spark, sf_dir)[1], _start(spark), 2, None)
+
+
+@query(_reached(300) + " SELECT store, id, hops FROM s2")
+def reach_limited(spark, sf_dir):
+    return traverse.reach(_twins(spark, sf_dir)[1], _start(spark), 2, 300)
+
+
+@query(_TWINS + ", s0 AS (SELECT 'shared' AS store, 'nation:3' AS id) SELECT from_store, from_id, to_store, to_id, kind FROM (" + _touching("s0") + ")")
+def neighbour_edges(spark, sf_dir):
+    return traverse.neighbours(_twins(spark, sf_dir)[1], _start(spark), None).edges
+
+
+@query(_reached(300).replace("FROM edges UNION ALL", "FROM edges WHERE kind IN ('references', 'member') UNION ALL") + " SELECT store, id, hops FROM s2")
+def reach_by_kinds(spark, sf_dir):
+    return traverse.reach(_twins(spark, sf_dir)[1], _start(spark), 2, 300, ["references", "member"])
+
+
+_RANKED = ", path(o_store, o_id, store, id, cost) AS (SELECT DISTINCT from_store, from_id, from_store, from_id, 0 FROM t2 WHERE from_store = 'personal' UNION SELECT p.o_store, p.o_id, e.to_store, e.to_id, p.cost + CASE WHEN e.kind = 'member' THEN 0 ELSE 1 END FROM path p JOIN t2 e ON e.from_store = p.store AND e.from_id = p.id WHERE p.cost + CASE WHEN e.kind = 'member' THEN 0 ELSE 1 END <= 2), dense AS (SELECT store, id, count(DISTINCT o_store || o_id) AS density FROM path WHERE o_store <> store OR o_id <> id GROUP BY ALL), shown AS (SELECT s.store, s.id, s.hops, c.type, c.updated_at, coalesce(density, 0) AS density FROM s2 s JOIN twice c ON c.store = s.store AND c.id = s.id AND c.status <> 'tombstone' LEFT JOIN dense d ON d.store = s.store AND d.id = s.id) SELECT id, type, store, hops, density, round(0.5 / (1 + hops) + 0.3 * CASE WHEN max(density) OVER () > 0 THEN density::DOUBLE / max(density) OVER () ELSE 0 END + 0.2 * coalesce(power(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '" + NOW + "') - epoch_us(updated_at)) / 86400e6) / 90.0), 0.0), 9) AS score, (SELECT count(*) FROM m1) > 399 OR (SELECT count(*) FROM m2) > 400 - (SELECT count(*) FROM s1) AS truncated FROM shown"
+# where the first hop is cut, the second doesn't take place
+_RANKED = ", t3 AS (SELECT * FROM t2 WHERE (SELECT count(*) FROM m1) <= 399 UNION ALL SELECT * FROM t1 WHERE (SELECT count(*) FROM m1) > 399)" + _RANKED.replace("FROM t2 ", "FROM t3 ").replace("JOIN t2 ", "JOIN t3 ")
 
 
-@query(_BOTH + ", found AS (SELECT r.id, r.hops, c.type, c.store, c.status, c.updated_at FROM reached r JOIN concepts c ON c.id = r.id), price AS (SELECT from_id, to_id, min(CASE WHEN kind = 'member' THEN 0 ELSE 1 END) AS price FROM edges WHERE from_id IN (SELECT id FROM found) AND to_id IN (SELECT id FROM found) GROUP BY ALL), path(origin, id, cost) AS (SELECT id, id, 0 FROM found WHERE store = 'personal' UNION SELECT p.origin, e.to_id, p.cost + e.price FROM path p JOIN price e ON e.from_id = p.id WHERE p.cost + e.price <= 2), dense AS (SELECT id, count(DISTINCT origin) AS density FROM path WHERE origin <> id GROUP BY id), shown AS (SELECT f.*, coalesce(density, 0) AS density FROM found f LEFT JOIN dense d ON d.id = f.id WHERE status <> 'tombstone') SELECT id, type, store, hops, density, round(0.5 / (1 + hops) + 0.3 * CASE WHEN max(density) OVER () > 0 THEN density::DOUBLE / max(density) OVER () ELSE 0 END + 0.2 * coalesce(power(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '" + NOW + "') - epoch_us(updated_at)) / 86400e6) / 90.0), 0.0), 9) AS score FROM shown")
+@query(_reached(400) + _RANKED)
 def traverse_ranked(spark, sf_dir):
-    start = spark.createDataFrame([("nation:3",)], "id string")
-    return traverse.traverse(*graph.load(spark, sf_dir), start, NOW, 2, None)
+    found = traverse.traverse(*_twins(spark, sf_dir), _start(spark), NOW)
+    return found.nodes.withColumn("truncated", F.lit(found.truncated))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +278,11 @@ def embedding_texts(spark, sf_dir):
 def upsert_outcomes(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id")
-    nothing = F.lit(None).cast("string").alias("body")
-    old = part.where("p_partkey % 4 <> 0").select(key, F.col("p_name").alias("title"), F.col("p_type").alias("description"), nothing, (F.col("p_partkey") % 5 == 0).alias("curated"), (F.col("p_partkey") % 2 == 0).alias("verified"))
-    new = part.select(key, F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type")).alias("description"), nothing)
-    return merge.upsert(old, new).select("id", "outcome", F.array_join("held_back", ",").alias("held_back"), "verification_reset")
+    null = F.lit(None).cast("string")
+    rest = [key, F.lit("shared").alias("store"), F.lit("catalog").alias("scope"), F.lit("Part").alias("type"), F.col("p_name").alias("title"), null.alias("body"), null.alias("resource"), F.array().cast("array<string>").alias("tags"), F.lit("active").alias("status"), F.lit("erp").alias("source_name")]
+    new = part.select(*rest, F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type")).alias("description"))
+    old = part.where("p_partkey % 4 <> 0").select(*rest, F.col("p_type").alias("description"), (F.col("p_partkey") % 5 == 0).alias("curated"), (F.col("p_partkey") % 2 == 0).alias("verified"), scalars.content_hash(F.col("p_name"), F.col("p_type"), null).alias("content_hash"), F.to_timestamp(F.lit("2020-01-01")).alias("updated_at"))
+    return merge.merged(old, new, "2021-01-01").select("id", "outcome", F.array_join("held_back", ",").alias("held_back"), "verification_reset")
 
 
 @query(", cur AS (SELECT from_id, to_id, kind, confidence > 0.5 AS curated FROM edges WHERE kind = 'implements' AND confidence < 0.9), want AS (SELECT from_id, to_id, kind FROM edges WHERE kind = 'implements' AND confidence > 0.2 AND confidence <> 0.33) SELECT coalesce(c.from_id, w.from_id) AS from_id, coalesce(c.to_id, w.to_id) AS to_id, coalesce(c.kind, w.kind) AS kind, CASE WHEN c.kind IS NULL THEN 'add' WHEN w.kind IS NOT NULL OR c.curated THEN 'keep' ELSE 'remove' END AS action FROM cur c FULL JOIN want w ON c.from_id = w.from_id AND c.to_id = w.to_id AND c.kind = w.kind")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import markup, scalars
-from noema.operators import catalogue, clusters, curation, merge, models, relations, search
+from noema.operators import catalogue, clusters, curation, merge, models, relations, search, vectors
 from noema.plans import graph
 from noema.plans.registration import query
 
@@ -57,11 +57,11 @@ def relation_answers(spark, sf_dir):
     return relations.accepted(answers, ["implements"]).drop("kind", "weight")
 
 
-@query(", k AS (SELECT 'part:' || p_partkey AS id, p_partkey, 'KEY-' || (p_partkey % 97) AS token FROM part) SELECT a.id AS from_id, b.id AS to_id FROM k a JOIN k b ON a.token = b.token AND a.id <> b.id WHERE a.p_partkey % 50 = 0")
+@query(", k AS (SELECT 'part:' || p_partkey AS id, p_partkey, 'KEY-' || (p_partkey // 5) AS token FROM part) SELECT a.id AS from_id, b.id AS to_id FROM k a JOIN k b ON a.token = b.token AND a.id <> b.id")
 def text_match_edges(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
-    concepts = part.select(_named("part", "p_partkey").alias("id"), "p_partkey", F.col("p_type").alias("description"), F.concat(F.lit("see "), F.concat(F.lit("KEY-"), (F.col("p_partkey") % 97).cast("string")), F.lit(" twice")).alias("body"))
-    return relations.text_matches(concepts.where("p_partkey % 50 = 0"), concepts, [r"\bKEY-\d+\b"])
+    concepts = part.select(_named("part", "p_partkey").alias("id"), "p_partkey", F.col("p_type").alias("description"), F.concat(F.lit("see "), F.concat(F.lit("KEY-"), F.floor(F.col("p_partkey") / 5).cast("string")), F.lit(" twice")).alias("body"))
+    return relations.text_matches(concepts, concepts, [r"\bKEY-\d+\b"])
 
 
 @query(_SUPPLIERS + _TOP + ", s AS (SELECT 'part:' || p_partkey AS id, 'nation:' || (p_partkey % 25) AS a, 'nation:' || ((p_partkey + 3) % 25) AS b FROM part), c AS (SELECT id, a AS cluster_id FROM s UNION ALL SELECT id, b FROM s) SELECT DISTINCT least(id, concept_id) AS low, greatest(id, concept_id) AS high FROM c JOIN t USING (cluster_id)")
@@ -70,12 +70,12 @@ def suggested_pairs(spark, sf_dir):
     return relations.suggested_pairs(part.select(_named("part", "p_partkey").alias("id"), F.array(name(0), name(3), name(5)).alias("cluster_ids")), _suppliers(spark, sf_dir))
 
 
-@query(_VEC + "c AS (SELECT id % 30 AS cluster_id, vector FROM v WHERE id < 30), s AS (SELECT v.id, cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY list_cosine_similarity(v.vector, c.vector) DESC, cluster_id) AS rank FROM v, c WHERE v.id >= 100 QUALIFY rank <= 5) SELECT id, cluster_id, rank FROM s UNION ALL SELECT id, cluster_id, cluster_id + 1 FROM (SELECT -1 AS id), c WHERE cluster_id < 5", on_graph=False)
+@query(_VEC + "c AS (SELECT label AS cluster_id, list_transform(generate_series(1, 64), lambda k: avg_k[k]) AS vector FROM (SELECT label, list(m ORDER BY place) AS avg_k FROM (SELECT label, place, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY label, place) GROUP BY label)), s AS (SELECT v.id, cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY list_cosine_similarity(v.vector, c.vector) DESC, cluster_id) AS rank FROM v, c QUALIFY rank <= 5) SELECT id, cluster_id, rank FROM s UNION ALL SELECT -1, cluster_id, row_number() OVER (ORDER BY cluster_id) FROM c QUALIFY row_number() OVER (ORDER BY cluster_id) <= 5", on_graph=False)
 def nearest_clusters(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    centers = v.where("id < 30").select(F.col("id").alias("cluster_id"), "vector")
-    loose = v.where("id >= 100").select("id").unionAll(spark.range(1).select((F.col("id") - 1).alias("id")))
-    return relations.nearest_clusters(loose, v, centers, 5)
+    table = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+    centers = vectors.centroids(table.select("id", "vector"), table.select(F.col("id").alias("node"), F.col("label").alias("component"))).select(F.col("component").alias("cluster_id"), "vector")
+    loose = table.select("id").unionAll(spark.range(1).select((F.col("id") - 1).alias("id")))
+    return relations.nearest_clusters(loose, table.select("id", "vector"), centers, 5)
 
 
 @query("WITH w AS (SELECT p_brand AS cluster_id, unnest(regexp_split_to_array(p_name, '\\s+')) AS word FROM part), n AS (SELECT cluster_id, lower(trim(word, '.,;:()[]')) AS word, count(*) AS n FROM w GROUP BY 1, 2 HAVING length(word) > 3), t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS rank FROM n QUALIFY rank <= 3) SELECT cluster_id, string_agg(word, ' / ' ORDER BY rank) AS title FROM t GROUP BY 1", on_graph=False)
@@ -133,7 +133,7 @@ def concept_detail(spark, sf_dir):
     return catalogue.detail(e, concepts.where("scope = 'geo'")).select("id", "role", "other", "kind")
 
 
-@query(", q AS (SELECT * FROM edges WHERE generated ORDER BY confidence DESC NULLS LAST, from_id, to_id, kind LIMIT 50) SELECT from_id, to_id, kind, f.title AS from_title, t.title AS to_title FROM q LEFT JOIN concepts f ON f.id = from_id AND f.store = from_store LEFT JOIN concepts t ON t.id = to_id AND t.store = to_store")
+@query(", q AS (SELECT * FROM edges WHERE generated AND NOT curated AND verified_at IS NULL ORDER BY confidence DESC NULLS LAST, created_at DESC NULLS LAST, from_store, from_id, to_store, to_id, kind LIMIT 50) SELECT from_id, to_id, kind, f.title AS from_title, t.title AS to_title FROM q LEFT JOIN concepts f ON f.id = from_id AND f.store = from_store LEFT JOIN concepts t ON t.id = to_id AND t.store = to_store")
 def curation_queue(spark, sf_dir):
     return catalogue.curation_queue(*graph.load(spark, sf_dir), 50).select("from_id", "to_id", "kind", "from_title", "to_title")
 
@@ -143,9 +143,12 @@ def cluster_detail(spark, sf_dir):
     return catalogue.cluster_detail(*graph.load(spark, sf_dir), "region:2")
 
 
-@query(" SELECT from_store, to_store, count(*) AS n FROM edges WHERE from_store <> to_store AND from_store <> 'personal' GROUP BY ALL")
+@query(" SELECT 'shared' AS from_store, 'personal' AS to_store, count(*) AS n FROM edges WHERE from_store = 'personal' AND to_store = 'shared' AND kind = 'references'")
 def boundary_violations(spark, sf_dir):
-    return catalogue.boundary_violations(graph.load(spark, sf_dir)[1])
+    """All edges, and the references to shared concepts once more, turned round, which may not be."""
+    e = graph.load(spark, sf_dir)[1].select("from_store", "from_id", "to_store", "to_id", "kind")
+    turned = e.where("from_store <> to_store and kind = 'references'").select(F.col("to_store").alias("from_store"), F.col("to_id").alias("from_id"), F.col("from_store").alias("to_store"), F.col("from_id").alias("to_id"), "kind")
+    return catalogue.boundary_violations(e.unionAll(turned))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 4 = 0", on_graph=False)
@@ -182,12 +185,17 @@ def clustering_run(spark, sf_dir):
     return clusters.run(v, *none, "first", least=0.35).groups
 
 
-@query(None)
+_CENTERS = "WITH cells AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings), c AS (SELECT label AS id, list(m ORDER BY place) AS vector FROM (SELECT label, place, avg(x) AS m FROM cells GROUP BY ALL) GROUP BY label), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1) "
+
+
+@query(_CENTERS + "SELECT 'cluster' AS stage, 'cluster:' || id AS id, round(list_cosine_similarity(vector, q), 9) AS score FROM c, q WHERE list_cosine_similarity(vector, q) >= 0.1 ORDER BY list_cosine_similarity(vector, q) DESC, id LIMIT 20", on_graph=False)
 def staged_search(spark, sf_dir):
-    """Search for a customer's order in two stages; its parts have oracles of their own."""
+    """Search in two stages: the query lies near some centroids of the vectors' labels, so they answer."""
     concepts, _ = graph.load(spark, sf_dir)
-    v = _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("part:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return search.staged(concepts, v, v.limit(0), "red", v.where("id = 'part:1'").first()["vector"])
+    table = _table(spark, sf_dir, "embeddings")
+    v = table.select(_named("part", "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    centers = vectors.centroids(v, table.select(_named("part", "vec_id").alias("node"), _named("cluster", "label").alias("component"))).select(F.col("component").alias("id"), "vector")
+    return search.staged(concepts, v, centers, "red", v.where("id = 'part:1'").first()["vector"], least=0.1)
 
 
 @query("SELECT o_orderkey, '## Order ' || o_orderkey || chr(10) || '- **' || o_orderpriority || '** [AB-' || o_custkey || '](http://w/browse/AB-' || o_custkey || ')' AS text, 'issue:AB-' || o_custkey AS links FROM orders", on_graph=False)

@@ -59,11 +59,13 @@ class Service:
         following = rows[0]["next_cursor"] if rows else None
         return self._answer(clusters=[{k: v for k, v in r.items() if k != "next_cursor"} for r in rows], next_cursor=following)
 
-    def graph_traverse(self, start: str, now: str, hops: int = 1) -> dict:
-        if self.state.concepts.where(F.col("id") == start).isEmpty():
-            raise curation.CurationError(f"{start} doesn't exist")
-        one = self.state.spark.createDataFrame([(start,)], "id string")
-        return self._answer(hops=hops, nodes=self._rows(traverse.traverse(self.state.concepts, self.state.edges, one, now, hops)))
+    def graph_traverse(self, start: str, now: str, hops: int = 1, store: str = "personal") -> dict:
+        one = self.state.spark.createDataFrame([(store, start)], "store string, id string")
+        try:
+            found = traverse.traverse(self.state.concepts, self.state.edges, one, now, hops)
+        except LookupError as missing:
+            raise curation.CurationError(f"{start} doesn't exist in {store}") from missing
+        return self._answer(hops=hops, limited=found.truncated, nodes=self._rows(found.nodes), edges=self._rows(found.edges))
 
     def graph_search(self, query: str, limit: int = 20) -> dict:
         return self._answer(query=query, hits=self._rows(search.lexical(self.state.concepts, query, limit)))

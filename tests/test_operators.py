@@ -1,57 +1,73 @@
 """Operators on small literal rows."""
 
 import json
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from noema.functions import scalars
-from noema.operators import catalogue, merge, traverse, vectors
+from noema.operators import catalogue, search, traverse, vectors
 from noema.sources import readers
 from noema.streaming import ingest
 
 EDGE = "from_store string, from_id string, to_store string, to_id string, kind string, weight double, confidence double, generated boolean"
 
 
-def test_node_limit_keeps_smallest_ids(spark):
+def test_node_limit_keeps_what_is_met_first(spark):
     edges = spark.createDataFrame([("s", "a:0", "s", f"a:{k}", "related", 1.0, None, False) for k in range(1, 9)], EDGE)
-    start = spark.createDataFrame([("a:0",)], "id string")
-    got = sorted(r["id"] for r in traverse.reach(edges, start, 3, 4).collect())
-    assert got == ["a:0", "a:1", "a:2", "a:3"]
+    start = spark.createDataFrame([("s", "a:0")], "store string, id string")
+    found = traverse.expand(edges, start, 3, 4)
+    assert sorted(r["id"] for r in found.nodes.collect()) == ["a:0", "a:1", "a:2", "a:3"]
+    assert found.truncated and found.edges.count() == 8
+    whole = traverse.expand(edges, start, 3, 9)
+    assert not whole.truncated and whole.nodes.count() == 9
     assert traverse.reach(edges, start, 0).count() == 1
 
 
-def test_kind_filter_holds_while_expanding(spark):
-    edges = spark.createDataFrame([("s", "a:0", "s", "a:1", "x", 1.0, None, False), ("s", "a:1", "s", "a:2", "y", 1.0, None, False)], EDGE)
-    start = spark.createDataFrame([("a:0",)], "id string")
-    assert traverse.reach(edges, start, 2, kinds=["y"]).count() == 1
+def test_equal_ids_of_two_stores_are_two_nodes(spark):
+    edges = spark.createDataFrame([("x", "n:1", "x", "n:2", "related", 1.0, None, False), ("y", "n:2", "y", "n:3", "related", 1.0, None, False)], EDGE)
+    start = spark.createDataFrame([("x", "n:1")], "store string, id string")
+    for most in (None, 10):
+        assert sorted((r["store"], r["id"], r["hops"]) for r in traverse.reach(edges, start, 3, most).collect()) == [("x", "n:1", 0), ("x", "n:2", 1)]
+
+
+def test_filters_hold_while_expanding(spark):
+    edges = spark.createDataFrame([("s", "a:0", "s", "a:1", "x", 1.0, None, False), ("s", "a:1", "s", "a:2", "y", 1.0, None, False), ("t", "b:1", "s", "a:0", "y", 1.0, None, False)], EDGE)
+    start = spark.createDataFrame([("s", "a:0")], "store string, id string")
+    assert {r["id"] for r in traverse.reach(edges, start, 2, kinds=["y"]).collect()} == {"a:0", "b:1"}
+    assert {r["id"] for r in traverse.reach(edges, start, 2, stores=["u"]).collect()} == {"a:0", "a:1", "a:2"}
+    assert {r["id"] for r in traverse.reach(edges, start, 1, stores=["t"]).collect()} == {"a:0", "a:1", "b:1"}
 
 
 def test_density_counts_membership_as_free(spark):
-    edges = spark.createDataFrame([("p", "p:1", "s", "c:1", "references", 1.0, None, False), ("s", "c:1", "s", "n:1", "member", 1.0, None, False)], EDGE)
-    nodes = spark.createDataFrame([("p:1",), ("c:1",), ("n:1",)], "id string")
-    got = {r["id"]: r["density"] for r in traverse.density(edges, nodes, nodes.where("id = 'p:1'"), 1).collect()}
+    edges = spark.createDataFrame([("personal", "p:1", "s", "c:1", "references", 1.0, None, False), ("s", "c:1", "s", "n:1", "member", 1.0, None, False)], EDGE)
+    got = {r["id"]: r["density"] for r in traverse.density(edges, 1).collect()}
     assert got == {"c:1": 1, "n:1": 1}
 
 
-def test_page_cursor(spark):
-    df = spark.createDataFrame([(f"a:{k}",) for k in range(5)], "id string")
-    assert [tuple(r) for r in catalogue.page(df, 2, "a:0").collect()] == [("a:1", "a:2"), ("a:2", "a:2")]
-    assert [r["next_cursor"] for r in catalogue.page(df, 9).collect()] == [None] * 5
+def test_traverse_of_nothing(spark):
+    concepts = spark.createDataFrame([], "store string, id string, type string, status string, updated_at timestamp")
+    with pytest.raises(LookupError):
+        traverse.traverse(concepts, spark.createDataFrame([], EDGE), spark.createDataFrame([("s", "a")], "store string, id string"), "2026-01-01")
 
 
-def test_upsert_rules(spark):
-    old = spark.createDataFrame([("a", "t", "d", None, True, True), ("b", "t", "d", None, False, True)], "id string, title string, description string, body string, curated boolean, verified boolean")
-    new = spark.createDataFrame([("a", "t", "e", None), ("b", "u", "d", None), ("c", "x", None, None), ("c", "x", None, None)], "id string, title string, description string, body string")
-    got = {r["id"]: (r["outcome"], r["held_back"], r["verification_reset"]) for r in merge.upsert(old, new).collect()}
-    assert got == {"a": ("conflict", ["description"], False), "b": ("updated", [], True), "c": ("created", [], False)}
-    assert {r["id"]: r["outcome"] for r in merge.upsert(old, new, mirrored=True).collect()}["a"] == "updated"
+def test_unverified_leaves_out_what_was_looked_at(spark):
+    rows = [("s", "a:1", "s", f"b:{k}", "related", 1.0, 0.5, True, c, v, t) for k, (c, v, t) in enumerate([(False, None, "2020"), (True, None, "2020"), (False, "2021", "2020"), (False, None, "2022")])]
+    edges = spark.createDataFrame(rows, EDGE + ", curated boolean, verified string, created string").withColumns({"verified_at": F.to_timestamp("verified"), "created_at": F.to_timestamp("created")})
+    assert [r["to_id"] for r in catalogue.unverified(edges, 9).collect()] == ["b:3", "b:0"]
 
 
-def test_stability_and_exclusion(spark):
-    have = spark.createDataFrame([("x", "c", 1, False), ("y", "c", 1, True), ("z", "c", 1, False)], "concept_id string, cluster_id string, seen int, excluded boolean")
-    now = spark.createDataFrame([("x", "c"), ("y", "c"), ("w", "c")], "concept_id string, cluster_id string")
-    got = {r["concept_id"]: (r["seen"], r["accepted"]) for r in merge.stability(have, now).collect()}
-    assert got == {"x": (2, True), "y": (2, False), "z": (0, False), "w": (1, False)}
+def test_words_of_a_query_are_cut_as_those_of_texts(spark):
+    concepts = spark.createDataFrame([("a", "foo-bar thing", None, "active"), ("b", "foo", None, "active")], "id string, title string, description string, status string")
+    assert [r["id"] for r in search.full_text(concepts, "Foo-Bar").collect()] == ["a"]
+    assert search.full_text(concepts, " - ").isEmpty() and search.lexical(concepts, "  ").isEmpty()
+
+
+def test_page_cursor(spark):
+    df = spark.createDataFrame([(f"a:{k}",) for k in range(5)], "id string")
+    assert [tuple(r) for r in catalogue.page(df, 2, "a:0").collect()] == [("a:1", "a:2"), ("a:2", "a:2")]
+    assert [r["next_cursor"] for r in catalogue.page(df, 9).collect()] == [None] * 5
 
 
 def test_cosine_of_zero_vector(spark):
@@ -80,13 +96,25 @@ def test_readers(spark, tmp_path):
     assert [(x["target"], x["kind"]) for x in row["references"]] == [("issue:K-0", "related"), ("page:1", "references")] and row["body"] == "d" and row["description"] is None
 
 
-def test_streaming_ingest_twice(spark, tmp_path):
-    schema = "id string, title string, description string, body string"
+DRAFT = "id string, store string, scope string, type string, title string, description string, body string, resource string, tags array<string>, status string, source_name string, updated_at timestamp"
+
+
+def test_streaming_ingest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 2)
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
-    spark.createDataFrame([("a", "t", None, None)], schema).write.parquet(source)
-    run = lambda: ingest.ingest(spark.readStream.schema(schema).parquet(source), state, str(tmp_path / "check")).awaitTermination()
-    run()
-    spark.createDataFrame([("a", "u", None, None), ("b", "t", None, None)], schema).write.mode("append").parquet(source)
-    run()
-    assert {(r["id"], r["title"]) for r in ingest.current(spark, state).collect()} == {("a", "u"), ("b", "t")}
-    assert sorted(r["outcome"] for r in spark.read.parquet(state + "/journal").collect()) == ["created", "created", "updated"]
+
+    def draft(key, title, tags=("t",), status="active", day="2026-01-01"):
+        return (key, "shared", "s", "Page", title, None, None, None, list(tags), status, "wiki", datetime.fromisoformat(day))
+
+    def run(*rows):
+        spark.createDataFrame(rows, DRAFT).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(spark.readStream.schema(DRAFT).parquet(source), state, str(tmp_path / "check")).awaitTermination()
+
+    run(draft("a", "t"))
+    run(draft("a", "u", ("v",), day="2026-02-01"), draft("a", "u", ("v",), day="2026-02-01"), draft("b", "x"))
+    run(draft("b", "x"), draft("c", "gone", status="tombstone"))
+    got = {r["id"]: r for r in ingest.current(spark, state).collect()}
+    assert {k: (r["title"], r["tags"], r["status"]) for k, r in got.items()} == {"a": ("u", ["t", "v"], "active"), "b": ("x", ["t"], "active"), "c": ("gone", ["t"], "tombstone")}
+    assert got["a"]["updated_at"].month == 2
+    assert sorted((r["batch"], r["id"], r["outcome"]) for r in spark.read.parquet(state + "/journal").collect()) == [(0, "a", "created"), (1, "a", "updated"), (1, "b", "created"), (2, "b", "unchanged"), (2, "c", "created")]
+    assert spark.read.parquet(state + "/compact").select("batch").distinct().count() == 1
