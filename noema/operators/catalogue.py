@@ -154,3 +154,24 @@ def cluster_detail(concepts: DataFrame, edges: DataFrame, cluster: str) -> DataF
 def boundary_violations(edges: DataFrame) -> DataFrame:
     """Edges that leave a store other than the personal one, by stores: from_store, to_store, n."""
     return edges.where("from_store <> to_store and from_store <> 'personal'").groupBy("from_store", "to_store").agg(F.count("*").alias("n"))
+
+
+def overview(concepts: DataFrame, edges: DataFrame, scope: str | None = None, limit: int = 50, cursor: str | None = None) -> DataFrame:
+    """A page of a scope's living clusters with their number of members."""
+    return page(member_counts(concepts if scope is None else concepts.where(F.col("scope") == scope), edges), limit, cursor)
+
+
+def map_page(concepts: DataFrame, edges: DataFrame, store: str, limit: int = 200, cursor: str | None = None, kinds: Sequence[str] = (), **facets) -> tuple[DataFrame, DataFrame]:
+    """A page of a store's concepts under facets with their degree inside of the page, and the edges between them."""
+    shown = page(faceted(concepts.where(F.col("store") == store), edges, **facets), limit, cursor)
+    inside = induced(edges.where(F.col("from_store") == store), shown, kinds)
+    degree = both_ends(inside).groupBy("id").count()
+    return shown.join(degree, "id", "left").withColumn("degree", F.coalesce("count", F.lit(0))).drop("count"), inside
+
+
+def store_totals(concepts: DataFrame, edges: DataFrame, threshold: int = 1) -> DataFrame:
+    """For each store: living concepts, clusters, loose concepts and edges."""
+    living = concepts.where("status <> 'tombstone'").groupBy("store").agg(F.count("*").alias("concepts"), F.count_if(F.col("type") == "Cluster").alias("clusters"))
+    single = loose(concepts, edges, threshold).join(concepts.select("id", "store"), "id").groupBy("store").agg(F.count("*").alias("loose"))
+    links = edges.groupBy(F.col("from_store").alias("store")).agg(F.count("*").alias("edges"))
+    return living.join(single, "store", "left").join(links, "store", "left").select("store", "concepts", "clusters", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("loose", "edges")))

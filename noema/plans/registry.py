@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noema.functions import scalars
 from noema.operators import catalogue, merge, search, traverse, vectors
-from noema.plans import graph, runs
+from noema.plans import graph, runs, tables
 from noema.plans.registration import ORACLES, QUERIES, Query, query
 
 NOW = "1998-08-02 00:00:00"
@@ -298,7 +298,7 @@ def reference_targets(spark, sf_dir):
     return merge.resolve_targets(e.select("from_store", "to_id").distinct(), c, ["shared", "personal"])
 
 
-assert runs.REGISTERED  # its queries register on import
+assert runs.REGISTERED and tables.REGISTERED  # their queries register on import
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
