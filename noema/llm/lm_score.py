@@ -1,8 +1,9 @@
 """LM scoring: a context-tree weighting model learned from the corpus, and scores of every whole text.
 
-Counting, weighting and prediction are split by the two bytes before a byte:
-each shard holds the context trees below its byte pairs, only sums over the
-at most 256 one-byte contexts go to the driver. Documents are scored in
+Counting, weighting and prediction are split by the two bytes before a byte, and
+after frequent pairs by three: each shard holds the context trees below its byte
+pairs or triples. Only sums over the at most 256 one-byte contexts and over the
+at most HEAVY frequent pairs go to the driver. Documents are scored in
 blocks: a block asks each shard for the different grams that it holds and gets
 their probabilities back, so neither model nor corpus is ever in one place.
 Word counts for the base score travel the same way.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from noema.llm.words import SPACES, chunks, mix, texts_of, word_table, words
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Bytes of context; characters of text for a shard; different keys that a task gathers before it sends them.
 DEPTH, SHARD_CHARS, GATHER = 6, 8_000_000, 1_000_000
+#: A pair of bytes is split by the third if more than one in HEAVY bytes follow it.
+HEAVY = 256
 _INSIDE = word_table(separators=SPACES)
 GRAMS, WORDS = 0, 1
 _ROWS = "shard int, block int, kind int, keys binary, counts binary"
@@ -48,19 +52,55 @@ def _keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return gram_keys(texts, depth), words(texts, _INSIDE, lower=True).hashes()
 
 
-def _shard_of(keys: np.ndarray, kind: int, depth: int, shards: int) -> np.ndarray:
-    return ((mix(keys >> np.uint64(8 * (depth - 1))) if kind == GRAMS else keys) % np.uint64(shards)).astype(np.int64)
+class Deal(NamedTuple):
+    """How keys are dealt to shards; ``heavy``: sorted pairs of bytes that are split."""
 
+    depth: int
+    shards: int
+    heavy: np.ndarray
 
-def _dealt(keys: np.ndarray, kind: int, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of sorted keys by shard, and where each shard begins."""
-    shard = _shard_of(keys, kind, depth, shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    def is_heavy(self, grams: np.ndarray) -> np.ndarray:
+        return np.isin(grams >> np.uint64(8 * (self.depth - 1)), self.heavy)
 
+    def shard_of(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        if kind == WORDS:
+            return (keys % np.uint64(self.shards)).astype(np.int64)
+        context = np.where(self.is_heavy(keys), keys >> np.uint64(8 * (self.depth - 2)), keys >> np.uint64(8 * (self.depth - 1)))
+        return (mix(context) % np.uint64(self.shards)).astype(np.int64)
 
-def _rows(block: int | None, kind: int, keys: np.ndarray, counts: np.ndarray | None, depth: int, shards: int) -> pa.RecordBatch:
-    order, edges = _dealt(keys, kind, depth, shards)
+    def dealt(self, keys: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of sorted keys by shard, and where each shard begins."""
+        shard = self.shard_of(keys, kind)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(self.shards + 1))
+
+    def trees(self, grams: np.ndarray, counts: np.ndarray) -> list[tuple[bool, Tree]]:
+        """The trees of a shard: below pairs, and below triples (True)."""
+        heavy = self.is_heavy(grams)
+        return [(split, Tree(grams[part], counts[part], self.depth, 3 if split else 2)) for split, part in ((False, ~heavy), (True, heavy)) if part.any()]
+
+
+def frequent_pairs(docs: DataFrame, depth: int) -> np.ndarray:
+    """The pairs of bytes that are more than one in HEAVY contexts of ``docs`` (text), fewer than HEAVY of them; none where contexts are too short to be split."""
+    if depth < 4:
+        return np.zeros(0, np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in chunks(texts):
+                held += np.bincount((gram_keys(texts[a:b], 2) >> np.uint64(8)).astype(np.int64), minlength=1 << 16)
+        pairs = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(held[pairs])], ["pair", "n"])
+
+    found = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
+    total = sum(r["n"] for r in found)
+    return np.array(sorted(r["pair"] for r in found if r["n"] * HEAVY > total), np.uint64)
+
+
+def _rows(block: int | None, kind: int, keys: np.ndarray, counts: np.ndarray | None, deal: Deal) -> pa.RecordBatch:
+    order, edges = deal.dealt(keys, kind)
     some = [int(s) for s in np.flatnonzero(np.diff(edges))]
     parts = [order[edges[s] : edges[s + 1]] for s in some]
     n = len(some)
@@ -83,7 +123,7 @@ def _table(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     return merge([unsqueeze(r["keys"], True) for r in own], [unsqueeze(r["counts"], False).astype(np.int64) for r in own])
 
 
-def count_table(docs: DataFrame, depth: int, shards: int) -> DataFrame:
+def count_table(docs: DataFrame, deal: Deal) -> DataFrame:
     """Counts of grams and words over ``docs`` (text): one row for each shard and kind, or some for many keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +134,12 @@ def count_table(docs: DataFrame, depth: int, shards: int) -> DataFrame:
                 keys, counts = merge([p[0] for p in parts], [p[1] for p in parts])
                 parts.clear()
                 if len(keys):
-                    yield _rows(None, kind, keys, counts, depth, shards)
+                    yield _rows(None, kind, keys, counts, deal)
 
         for batch in batches:
             texts = texts_of(batch.column(0))
             for a, b in chunks(texts):
-                for parts, keys in zip(held, _keys(texts[a:b], depth), strict=True):
+                for parts, keys in zip(held, _keys(texts[a:b], deal.depth), strict=True):
                     parts.append(counted(keys))
                 if sum(len(p[0]) for p in held[0]) > 2 * GATHER:
                     for kind, parts in enumerate(held):
@@ -116,36 +156,52 @@ def count_table(docs: DataFrame, depth: int, shards: int) -> DataFrame:
                     part = slice(k, k + GATHER)
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None], pa.int32()), pa.array([kind], pa.int32()), pa.array([squeeze(keys[part], True)], pa.binary()), pa.array([squeeze(counts[part], False)], pa.binary())], ["shard", "block", "kind", "keys", "counts"])
 
-    return docs.select("text").mapInArrow(count, _ROWS).repartition(shards, "shard").mapInArrow(add, _ROWS)
+    return docs.select("text").mapInArrow(count, _ROWS).repartition(deal.shards, "shard").mapInArrow(add, _ROWS)
+
 
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new, at = np.unique(key, return_inverse=True)
+    return new, np.bincount(at, value, len(new))
 
-def top_tree(table: DataFrame, depth: int, shards: int) -> tuple[Tree, int, int]:
-    """The contexts of at most one byte, from sums over the shards (65,536 counts and 65,280 nodes at most), the number of words, and of different words."""
+
+def top_tree(table: DataFrame, deal: Deal) -> tuple[Tree, int, int]:
+    """The contexts of at most one byte and the frequent pairs, from sums over the shards (below 132,000 and 132,000 numbers), the number of words, and of different words."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_shard(batches):
             names, keys, values = [], [], []
-            grams, counts = _table(rows, GRAMS)
-            if len(grams):
-                tree = Tree(grams, counts, depth, 2)
+            for split, tree in deal.trees(*_table(rows, GRAMS)):
+                first = 20 * split  # sums for pairs, or for single bytes
                 short, total = shorter(*tree.entries)
-                names, keys, values = [np.full(len(short), 8)], [short.astype(np.int64)], [total.astype(np.float64)]
-                for known, (key, value) in enumerate(tree.upward):
-                    new, at = np.unique(key, return_inverse=True)
-                    names.append(np.full(len(new), known))
-                    keys.append(new.astype(np.int64))
-                    values.append(np.bincount(at, value, len(new)))
+                for name, key, value in [(8, short, total.astype(np.float64)), *((known, *_summed(*x)) for known, x in enumerate(tree.upward))]:
+                    names.append(np.full(len(key), first + name))
+                    keys.append(key.astype(np.int64))
+                    values.append(value)
             _, words_here = _table(rows, WORDS)
             names.append(np.array([9, 10]))
             keys.append(np.zeros(2, np.int64))
             values.append(np.array([words_here.sum(), len(words_here)], np.float64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int32)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], ["name", "key", "value"])
 
-    found = table.repartition(shards, "shard").mapInArrow(sums, "name int, key long, value double").groupBy("name", "key").agg(F.sum("value").alias("value")).toPandas()  # of bounded size
-    part = lambda name: found[found["name"] == name].sort_values("key")
-    one = part(8)
-    below = [(part(k)["key"].to_numpy().astype(np.uint64), part(k)["value"].to_numpy()) for k in range(8)]
-    return Tree(one["key"].to_numpy().astype(np.uint64), one["value"].to_numpy().astype(np.int64), 1, 0, below), int(part(9)["value"].sum()), int(part(10)["value"].sum())
+    found = table.repartition(deal.shards, "shard").mapInArrow(sums, "name int, key long, value double").groupBy("name", "key").agg(F.sum("value").alias("value")).toPandas()  # of bounded size
+
+    def part(name: int) -> tuple[np.ndarray, np.ndarray]:
+        own = found[found["name"] == name].sort_values("key")
+        return own["key"].to_numpy().astype(np.uint64), own["value"].to_numpy()
+
+    keys, counts = part(8)
+    below = [part(k) for k in range(8)]
+    pairs, pair_counts = part(28)
+    levels = []
+    if len(pairs):  # what the frequent pairs hand to their single bytes
+        two = Tree(pairs, pair_counts.astype(np.int64), 2, 2, [part(20 + k) for k in range(8)])
+        levels = two.levels[2]
+        below = [_summed(*(np.concatenate(x) for x in zip(a, b, strict=True))) for a, b in zip(below, two.upward, strict=True)]
+        keys, counts = merge([keys, (short := shorter(pairs, pair_counts.astype(np.int64)))[0]], [counts.astype(np.int64), short[1]])
+    top = Tree(keys, counts.astype(np.int64), 1, 0, below)
+    if levels:
+        top.levels[2] = levels
+    return top, int(part(9)[1].sum()), int(part(10)[1].sum())
 
 
 def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
@@ -160,8 +216,10 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
     named = keyed_text(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_remainder("doc_id", folds) == 0).alias("held_out"))
     size = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("held_out"), 0).otherwise(1)), F.lit(0))).first()
     shards = max(16, int(size[0]) // SHARD_CHARS)
-    table = cut(count_table(named.where(~F.col("held_out")), depth, shards))
-    tree, n_words, n_distinct = top_tree(table, depth, shards)
+    training = named.where(~F.col("held_out"))
+    deal = Deal(depth, shards, frequent_pairs(training, depth))
+    table = cut(count_table(training, deal))
+    tree, n_words, n_distinct = top_tree(table, deal)
     n_train = int(size[1])
     total, vocabulary = n_words + n_train, n_distinct + (n_train > 0)
     top = docs.sparkSession.sparkContext.broadcast(tree)
@@ -184,7 +242,7 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
             for kind, part in enumerate(held.pop(block)):
                 keys = distinct(np.concatenate(part))
                 if len(keys):
-                    yield _rows(block, kind, keys, None, depth, shards)
+                    yield _rows(block, kind, keys, None, deal)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
@@ -195,7 +253,11 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
                     continue
                 wanted = distinct(np.concatenate([a[1] for a in asked]))
                 if kind == GRAMS:
-                    values = Tree(keys, counts, depth, 2).log_probability(wanted, top.value).astype(np.float32)
+                    trees = dict(deal.trees(keys, counts))
+                    none = Tree(keys[:0], counts[:0], depth, 2)
+                    split, values = deal.is_heavy(wanted), np.empty(len(wanted), np.float32)
+                    for part in (False, True):
+                        values[split == part] = trees.get(part, none).log_probability(wanted[split == part], top.value)
                 else:
                     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
                     values = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
@@ -220,7 +282,7 @@ def score(docs: DataFrame, folds: int = 10, depth: int = DEPTH) -> DataFrame:
         tables = []
         for kind, parts in enumerate(uniques):
             keys = distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            order, edges = _dealt(keys, kind, depth, shards)
+            order, edges = deal.dealt(keys, kind)
             values = np.zeros(len(keys), np.float64)
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 data = found[kind, s]
