@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.llm.ctw import Tree, counted, distinct, gram_keys, merge, shorter
+from noema.llm.ctw import EDGE, Tree, counted, distinct, gram_keys, merge, shorter
 from noema.llm.frames import block_count, crc_remainder, cut, keyed_text
 from noema.llm.words import SPACES, chunks, mix, texts_of, word_table, words
 
@@ -31,6 +31,7 @@ DEPTH, SHARD_CHARS, GATHER = 6, 8_000_000, 1_000_000
 #: A pair of bytes is split by the third if more than one in HEAVY bytes follow it.
 HEAVY = 256
 _INSIDE = word_table(separators=SPACES)
+_EDGES = bytes((EDGE, EDGE))
 GRAMS, WORDS = 0, 1
 _ROWS = "shard int, block int, kind int, keys binary, counts binary"
 
@@ -60,12 +61,17 @@ class Deal(NamedTuple):
     heavy: np.ndarray
 
     def is_heavy(self, grams: np.ndarray) -> np.ndarray:
-        return np.isin(grams >> np.uint64(8 * (self.depth - 1)), self.heavy)
+        split = np.zeros(1 << 16, bool)
+        split[self.heavy.astype(np.int64)] = True
+        return split[(grams >> np.uint64(8 * (self.depth - 1))).astype(np.int64)] if self.depth > 1 else np.zeros(len(grams), bool)
 
     def shard_of(self, keys: np.ndarray, kind: int) -> np.ndarray:
         if kind == WORDS:
             return (keys % np.uint64(self.shards)).astype(np.int64)
-        context = np.where(self.is_heavy(keys), keys >> np.uint64(8 * (self.depth - 2)), keys >> np.uint64(8 * (self.depth - 1)))
+        context = keys >> np.uint64(8 * (self.depth - 1))
+        if len(self.heavy):
+            split = self.is_heavy(keys)
+            context[split] = keys[split] >> np.uint64(8 * (self.depth - 2))
         return (mix(context) % np.uint64(self.shards)).astype(np.int64)
 
     def dealt(self, keys: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +96,8 @@ def frequent_pairs(docs: DataFrame, depth: int) -> np.ndarray:
         for batch in batches:
             texts = texts_of(batch.column(0))
             for a, b in chunks(texts):
-                held += np.bincount((gram_keys(texts[a:b], 2) >> np.uint64(8)).astype(np.int64), minlength=1 << 16)
+                data = np.frombuffer(_EDGES + _EDGES.join(texts[a:b]), np.uint8).astype(np.uint16)
+                held += np.bincount(data[1:] << 8 | data[:-1], minlength=1 << 16)
         pairs = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(held[pairs])], ["pair", "n"])
 
