@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from noema.functions.scalars import content_hash
 from noema.operators import clusters
+from noema.operators.records import appended
 
 KEY = ["from_store", "from_id", "to_store", "to_id", "kind"]
 EDGE = "from_store string, from_id string, to_store string, to_id string, kind string, weight double, confidence double, generated boolean, curated boolean, verified boolean"
@@ -147,31 +148,40 @@ def retarget(edges: DataFrame, store: str, source: str, target: str, kind: str |
     return kept.select(*KEY, "r.*").select(*edges.columns)
 
 
-def _member(cluster: str, store: str, concept_ids: list[str], spark: SparkSession) -> DataFrame:
-    ids = spark.createDataFrame([(i,) for i in concept_ids], "to_id string")
+def _member(cluster: str, store: str, ids: DataFrame) -> DataFrame:
     return ids.select(F.lit(store).alias("from_store"), F.lit(cluster).alias("from_id"), F.lit(store).alias("to_store"), "to_id", F.lit("member").alias("kind"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("generated"), F.lit(True).alias("curated"), F.lit(True).alias("verified"))
 
 
-def _pairs(cluster: str, concept_ids: list[str], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, cluster) for i in concept_ids], "concept_id string, cluster_id string")
+def _pairs(cluster: str, ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("to_id").alias("concept_id"), F.lit(cluster).alias("cluster_id"))
 
 
-def add_members(state: State, cluster: str, store: str, concept_ids: list[str], *, actor: str, now: str) -> State:
-    """Members by hand; that lifts their exclusion."""
-    new = _member(cluster, store, concept_ids, state.spark).join(state.edges.select(*KEY), KEY, "left_anti")
-    out = replace(state, edges=state.edges.unionByName(new), candidates=clusters.include(state.candidates, _pairs(cluster, concept_ids, state.spark)))
-    for i in concept_ids:
-        out = _noted(out, "cluster_assigned", i, {"from_store": store, "from_id": cluster, "to_store": store, "to_id": i, "kind": "member"}, actor, now)
-    return out
+def _noted_all(state: State, change: str, cluster: str, store: str, ids: DataFrame, actor: str, now: str) -> State:
+    """One entry for each member, numbered on together."""
+    detail = F.create_map(*(x for k, v in {"from_store": F.lit(store), "from_id": F.lit(cluster), "to_store": F.lit(store), "to_id": F.col("to_id"), "kind": F.lit("member")}.items() for x in (F.lit(k), v)))
+    rows = ids.select("to_id").distinct().select(F.lit(change).alias("change"), F.col("to_id").alias("concept_id"), detail.alias("detail"), F.lit(actor).alias("actor"), F.to_timestamp(F.lit(now)).alias("changed_at"))
+    return replace(state, journal=appended(state.journal, rows, "entry", ["concept_id"]))
 
 
-def remove_members(state: State, cluster: str, store: str, concept_ids: list[str], *, actor: str, now: str) -> State:
+def _member_ids(concept_ids: list[str] | DataFrame, spark: SparkSession) -> DataFrame:
+    """Ids as a table: of a list, or of a table with the column id."""
+    return concept_ids.select(F.col("id").alias("to_id")).distinct() if isinstance(concept_ids, DataFrame) else spark.createDataFrame([(i,) for i in concept_ids], "to_id string").distinct()
+
+
+def add_members(state: State, cluster: str, store: str, concept_ids: list[str] | DataFrame, *, actor: str, now: str) -> State:
+    """Members by hand, as many as there are in one go; that lifts their exclusion."""
+    ids = _member_ids(concept_ids, state.spark)
+    new = _member(cluster, store, ids).join(state.edges.select(*KEY), KEY, "left_anti")
+    out = replace(state, edges=state.edges.unionByName(new), candidates=clusters.include(state.candidates, _pairs(cluster, ids)))
+    return _noted_all(out, "cluster_assigned", cluster, store, ids, actor, now)
+
+
+def remove_members(state: State, cluster: str, store: str, concept_ids: list[str] | DataFrame, *, actor: str, now: str) -> State:
     """Members out, and barred for later runs, also those that were none."""
-    gone = _member(cluster, store, concept_ids, state.spark).select(*KEY)
-    out = replace(state, edges=state.edges.join(gone, KEY, "left_anti").select(*state.edges.columns), candidates=clusters.exclude(state.candidates, _pairs(cluster, concept_ids, state.spark)))
-    for i in concept_ids:
-        out = _noted(out, "cluster_removed", i, {"from_store": store, "from_id": cluster, "to_store": store, "to_id": i, "kind": "member"}, actor, now)
-    return out
+    ids = _member_ids(concept_ids, state.spark)
+    gone = _member(cluster, store, ids).select(*KEY)
+    out = replace(state, edges=state.edges.join(gone, KEY, "left_anti").select(*state.edges.columns), candidates=clusters.exclude(state.candidates, _pairs(cluster, ids)))
+    return _noted_all(out, "cluster_removed", cluster, store, ids, actor, now)
 
 
 def create_cluster(state: State, cluster: str, store: str, scope: str, title: str, concept_ids: list[str], description: str | None = None, *, actor: str, now: str) -> State:
@@ -202,12 +212,14 @@ def merge_clusters(state: State, store: str, source: str, target: str, *, actor:
     return _noted(out, "clusters_merged", target, {"source": source}, actor, now)
 
 
-def rename_cluster(state: State, cluster: str, title: str, *, actor: str, now: str) -> State:
-    """Another title; the cluster counts as curated and keeps its hash."""
+def rename_cluster(state: State, cluster: str, title: str, description: str | None = None, *, actor: str, now: str) -> State:
+    """Another title (and description, where one is given); the cluster counts as curated and keeps its hash."""
     here = F.col("id") == cluster
     _one(state.concepts.where(here & (F.col("type") == "Cluster")), cluster)
     out = state.concepts.withColumn("title", F.when(here, F.lit(title)).otherwise(F.col("title"))).withColumn("curated", here | F.col("curated"))
-    return _noted(replace(state, concepts=out), "updated", cluster, {"fields": "title"}, actor, now)
+    if description is not None:
+        out = out.withColumn("description", F.when(here, F.lit(description)).otherwise(F.col("description")))
+    return _noted(replace(state, concepts=out), "updated", cluster, {"fields": "title" if description is None else "title,description"}, actor, now)
 
 
 def undo(state: State, entry: int, *, actor: str, now: str) -> State:
@@ -225,7 +237,7 @@ def undo(state: State, entry: int, *, actor: str, now: str) -> State:
         number = lambda c: F.lit(detail.get(c)).cast("double").alias(c)
         flag = lambda c: F.lit(detail.get(c, "True") == "True" if c != "generated" else detail.get(c) == "True").alias(c)
         back = state.spark.range(1).select(*(F.lit(v).alias(k) for k, v in key.items()), number("weight"), number("confidence"), flag("generated"), flag("curated"), flag("verified"))
-        barred = _pairs(key["from_id"], [key["to_id"]], state.spark)
+        barred = _pairs(key["from_id"], _member_ids([key["to_id"]], state.spark))
         lifted = clusters.include(state.candidates, barred) if change == "cluster_removed" else state.candidates
         out = replace(state, edges=state.edges.unionByName(back), rejections=state.rejections.where(~_is(key)), candidates=lifted)
         note, extra = "edge_added", key

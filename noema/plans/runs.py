@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import markup, scalars
 from noema.operators import catalogue, clusters, curation, merge, models, relations, search, vectors
-from noema.plans import graph
+from noema.plans import graph, pipelines
 from noema.plans.registration import query
 
 REGISTERED = True
@@ -50,7 +52,7 @@ def relation_prefilter(spark, sf_dir):
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
-@query(" SELECT least(from_id, to_id) AS low, greatest(from_id, to_id) AS high, CASE WHEN kind <> 'implements' THEN 'none' WHEN confidence < 0.6 THEN 'unsure' ELSE 'edge' END AS outcome, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN from_id END AS from_id, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN to_id END AS to_id, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN confidence END AS confidence FROM edges WHERE generated")
+@query(" SELECT least(from_id, to_id) AS low, greatest(from_id, to_id) AS high, CASE WHEN kind <> 'implements' THEN 'unknown' WHEN confidence < 0.6 THEN 'unsure' ELSE 'edge' END AS outcome, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN from_id END AS from_id, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN to_id END AS to_id, CASE WHEN kind = 'implements' AND confidence >= 0.6 THEN confidence END AS confidence FROM edges WHERE generated")
 def relation_answers(spark, sf_dir):
     e = graph.load(spark, sf_dir)[1].where("generated")
     answers = e.select(F.least("from_id", "to_id").alias("low"), F.greatest("from_id", "to_id").alias("high"), F.lit(0.7).alias("similarity"), F.col("kind").alias("relationship"), F.when(F.col("from_id") < F.col("to_id"), "a_to_b").otherwise("b_to_a").alias("direction"), "confidence")
@@ -219,3 +221,58 @@ def merged_concepts(spark, sf_dir):
 def page_markdown(spark, sf_dir):
     """All pages as Markdown; the conversion is tested on small texts."""
     return _table(spark, sf_dir, "pages").select("page_id", markup.storage_markdown("html").alias("text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents, each with a reference to the next in its body; every third is missing."""
+    k, null = F.col("p_partkey"), F.lit(None).cast("string")
+    refs = F.array().cast("array<struct<target:string,kind:string>>")
+    return _table(spark, sf_dir, "part").where(k % 3 != 0).select(k.cast("string").alias("external_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.concat(F.lit("see [[part:"), (k + 1).cast("string"), F.lit("]] KEY-"), F.floor(k / 5).cast("string")).alias("body"), null.alias("url"), F.array().cast("array<string>").alias("tags"), F.to_timestamp(F.lit("2020-01-01")).alias("updated_at"), refs.alias("references"))
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> pipelines.Graph:
+    return pipelines.sync(pipelines.empty(spark), _documents(spark, sf_dir), pipelines.Source("erp", "part", "catalog", "Part", known=("part",)), "sync-1", "2021-01-01 00:00:00")[0]
+
+
+@query("WITH d AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 0) SELECT 'part:' || k AS from_id, 'part:' || (k + 1) AS to_id, k + 1 IN (SELECT k FROM d) AS resolved, 'body_ref' AS generated_by FROM d", on_graph=False)
+def sync_run(spark, sf_dir):
+    """Edges after a first synchronisation of all parts."""
+    return _synced(spark, sf_dir).edges.select("from_id", "to_id", "resolved", "generated_by")
+
+
+@query("SELECT 'part:' || p_partkey AS id, sha256(p_name || chr(30) || p_type || chr(30) || 'see [[part:' || (p_partkey + 1) || ']] KEY-' || (p_partkey // 5)) AS source_hash FROM part WHERE p_partkey % 3 <> 0", on_graph=False)
+def embedding_run(spark, sf_dir):
+    """Vectors of all concepts after a synchronisation, with the content that they stand for."""
+    graph_ = pipelines.embed(_synced(spark, sf_dir), "catalog", "hash", lambda texts: [models.hashed_vector(t, 32).tolist() for t in texts], "embed-1", "2021-01-02 00:00:00")[0]
+    return graph_.embeddings.select("id", "source_hash")
+
+
+@query(_VEC + "p AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.vector, b.vector) AS s FROM v a JOIN v b ON a.id < b.id JOIN embeddings e ON e.vec_id = a.id JOIN embeddings f ON f.vec_id = b.id AND f.label = e.label) SELECT least('vec:' || x, 'vec:' || y) AS from_id, greatest('vec:' || x, 'vec:' || y) AS to_id FROM p WHERE s >= 0.1 AND (x + y) % 6 = 0", on_graph=False)
+def relation_run(spark, sf_dir):
+    """Edges that a model, which goes by the sum of two numbers, names inside of the clusters of all vectors."""
+    table = _table(spark, sf_dir, "embeddings")
+    none, null = pipelines.empty(spark), F.lit(None).cast("string")
+
+    def concept(name, kind):
+        return (name.alias("id"), F.lit("shared").alias("store"), F.lit("s").alias("scope"), F.lit(kind).alias("type"), name.alias("title"), *(null.alias(c) for c in ("description", "body", "resource")), F.array().cast("array<string>").alias("tags"), F.lit("active").alias("status"), null.alias("source_name"), F.lit(False).alias("curated"), F.lit(False).alias("verified"), null.alias("content_hash"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+    concepts = table.select(*concept(_named("vec", "vec_id"), "Vector")).unionAll(table.select("label").distinct().select(*concept(_named("cluster", "label"), "Cluster")))
+    members = table.select(F.lit("shared").alias("from_store"), _named("cluster", "label").alias("from_id"), F.lit("shared").alias("to_store"), _named("vec", "vec_id").alias("to_id"), F.lit("member").alias("kind"), F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("generated"), F.lit("clustering").alias("generated_by"), F.lit(False).alias("curated"), F.lit(True).alias("resolved"))
+    vectors_ = table.select(_named("vec", "vec_id").alias("id"), F.lit("m").alias("model_key"), F.col("embedding").cast("array<double>").alias("vector"), null.alias("source_hash"))
+
+    def ask(prompt: str) -> str:
+        total = sum(int(part.split()[0]) for part in prompt.split("vec:")[1:])
+        return json.dumps({"relationship": "none" if total % 3 else "depends_on", "direction": "a_to_b", "confidence": 0.2 if total % 2 else 0.9})
+
+    before = pipelines.Graph(concepts, members, none.rejections, vectors_, none.cache, none.cursors, none.runs)
+    after = pipelines.relate(before, "s", "m", ask, ["depends_on"], "relate-1", "2021-01-01 00:00:00", similar=0.1)[0]
+    return after.edges.where("kind = 'depends_on'").select("from_id", "to_id")
+
+
+@query("WITH d AS (SELECT p_partkey AS k, p_partkey // 5 AS t FROM part WHERE p_partkey % 3 <> 0) SELECT 'part:' || a.k AS from_id, 'part:' || b.k AS to_id FROM d a JOIN d b ON a.t = b.t AND a.k <> b.k", on_graph=False)
+def orphan_run(spark, sf_dir):
+    """Edges that a run of orphans makes from identifiers in texts, all concepts without an edge so far; its model knows nothing."""
+    before = _synced(spark, sf_dir)
+    bare = pipelines.Graph(before.concepts, before.edges.limit(0), before.rejections, before.embeddings, before.cache, before.cursors, before.runs)
+    after = pipelines.link_orphans(bare, "catalog", "m", lambda prompt: "{}", ["depends_on"], "orphans-1", "2021-01-01 00:00:00", patterns=[r"KEY-\d+"], wait=0.0)[0]
+    return after.edges.select("from_id", "to_id")
