@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("benchmark decontamination", decontaminated),
     ("byte-level BPE", tokens),
 ]
-#: The stages are tested one by one against brute force; SQL can't express them.
+#: SQL cannot express the stages; tests hold the whole run against them by definition.
 ORACLE_SQL = None
 
 
