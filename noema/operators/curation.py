@@ -184,16 +184,16 @@ def remove_members(state: State, cluster: str, store: str, concept_ids: list[str
     return _noted_all(out, "cluster_removed", cluster, store, ids, actor, now)
 
 
-def create_cluster(state: State, cluster: str, store: str, scope: str, title: str, concept_ids: list[str], description: str | None = None, *, actor: str, now: str) -> State:
+def create_cluster(state: State, cluster: str, store: str, scope: str, title: str, concept_ids: list[str] | DataFrame, description: str | None = None, *, actor: str, now: str) -> State:
     """A curated cluster, whose title no run changes."""
     out = create_concept(state, cluster, scope, "Cluster", title, description, actor=actor, now=now)
     out = replace(out, concepts=out.concepts.withColumn("store", F.when(F.col("id") == cluster, F.lit(store)).otherwise(F.col("store"))))
     return add_members(out, cluster, store, concept_ids, actor=actor, now=now)
 
 
-def split_cluster(state: State, source: str, target: str, store: str, concept_ids: list[str], title: str, *, actor: str, now: str) -> State:
+def split_cluster(state: State, source: str, target: str, store: str, concept_ids: list[str] | DataFrame, title: str, *, actor: str, now: str) -> State:
     """A new curated cluster of some members of ``source``, which leave it."""
-    ids = state.spark.createDataFrame([(i,) for i in concept_ids], "to_id string").distinct()
+    ids = _member_ids(concept_ids, state.spark)
     found = state.edges.where((F.col("from_id") == source) & (F.col("kind") == "member")).join(ids, "to_id", "left_semi").count()
     if found != ids.count():
         raise CurationError("only members can be split off")

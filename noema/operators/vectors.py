@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,6 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFr
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
     """Exact ``k`` nearest ``targets`` of every query, in blocks as for ``neighbours``: id, other, similarity, rank. With ``others``, a target with the query's id is the query itself and left out."""
-    apart = others
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
         blocks = -(-rows.count() // BLOCK) or 1
@@ -48,13 +49,23 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None
     left = ours.select("id", "vector", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
     right = theirs.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1))).alias("a"), F.col("block").alias("b"))
 
+    found = _compared(left, right, ["a", "b"], k, others)
+    ranked = _ranked(found, k)
+    return ranked if least is None else ranked.where(F.col("similarity") >= least)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
+
+
+def _compared(left: DataFrame, right: DataFrame, keys: list[str], k: int, apart: bool) -> DataFrame:
+    """The best ``k`` (and those tied with them) of each left row (id, vector) among the right rows of the same ``keys``, a task for each value of these: id, other, similarity."""
+
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         names, others = x.column("id").to_pylist(), np.array(y.column("id").to_pylist(), object)
         rows: list[tuple] = []
         if names and len(others):
-            m, n = (np.stack(t.column("vector").to_numpy()) for t in (x, y))
-            unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            m, n = unit(m), unit(n)
+            m, n = (_units(np.stack(t.column("vector").to_numpy())) for t in (x, y))
             for begin in range(0, len(names), 512):
                 sims = m[begin : begin + 512] @ n.T
                 for r, row in enumerate(sims):
@@ -64,10 +75,84 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None
                     rows += [(name, others[j], float(row[j])) for j in tied if not apart or others[j] != name]
         return pa.table({"id": pa.array([r[0] for r in rows], x.schema.field("id").type), "other": pa.array([r[1] for r in rows], y.schema.field("id").type), "similarity": pa.array([r[2] for r in rows], pa.float64())})
 
-    kind, others = (df.schema["id"].dataType.simpleString() for df in (queries, targets))
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, f"id {kind}, other {others}, similarity double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
-    return ranked if least is None else ranked.where(F.col("similarity") >= least)
+    kind, others = (df.schema["id"].dataType.simpleString() for df in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"id {kind}, other {others}, similarity double")
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _homes(units: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(units[b : b + 4096] @ means.T, axis=1) for b in range(0, len(units), 4096)])
+
+
+def _fitted(rows: DataFrame, k: int, lists: int, probes: int | None, share: float, sample: int, rounds: int = 8) -> tuple[np.ndarray, int]:
+    """Directions of spherical k-means, and how many lists to ask.
+
+    Both are learned on the driver from at most ``sample`` different vectors, those of the smallest hash; that bounds what
+    is sent there. Lists are asked until ``share`` of the true neighbours of 512 vectors of the sample are met.
+    """
+    some = rows.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow().column("vector").to_pylist()
+    if not some:
+        return np.empty((0, 0)), 0
+    units = _units(np.array(some, float))
+    means = units[:lists].copy()
+    for _ in range(rounds):
+        home = _homes(units, means)
+        sums = np.zeros_like(means)
+        np.add.at(sums, home, units)
+        filled = np.bincount(home, minlength=len(means)) > 0
+        means[filled] = _units(sums[filled])
+    if probes is None:
+        home, asking = _homes(units, means), units[:512]
+        sims = asking @ units.T
+        np.fill_diagonal(sims, -np.inf)
+        near = home[np.argsort(-sims, axis=1)[:, :k]]
+        place = np.argsort(np.argsort(-(asking @ means.T), axis=1, kind="stable"), axis=1)
+        probes = int(np.quantile(np.take_along_axis(place, near, axis=1), share, method="higher")) + 1
+    return means, probes
+
+
+def approximate(vectors: DataFrame, k: int, least: float | None = None, probes: int | None = None, lists: int | None = None, share: float = 0.95, sample: int = 20_000) -> DataFrame:
+    """Some ``k`` nearest others of every vector by an inverted file: id, other, similarity, rank.
+
+    Every vector lies in the list of its nearest centre and is compared with the vectors of its ``probes`` nearest lists;
+    similarities are exact, but a neighbour in another list is missed. Without ``probes``, as many lists are asked as find
+    ``share`` of the neighbours within a sample of ``sample`` vectors: few where vectors form groups, up to half of them where
+    they are random. There are ``lists`` (the root of the number of rows, where none is given; an eighth of ``sample`` at most).
+    Only the centres travel with the tasks. A list of more than 4096 rows is compared in blocks. Equal vectors ask once, and
+    of each such group only the k + 1 smallest ids can be an answer, so that copies cost nothing; ties go by id, as in
+    ``neighbours``. Rows without a vector have no neighbours, and an empty table gives an empty one.
+    """
+    rows = checkpointed(vectors.where("id is not null and vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector")))
+    means, probes = _fitted(rows, k, min(lists or math.isqrt(rows.count()) or 1, max(1, sample // 8)), probes, share, sample)
+    kind = rows.schema["id"].dataType.simpleString()
+    if not len(means):
+        return rows.sparkSession.createDataFrame([], f"id {kind}, other {kind}, similarity double, rank int")
+
+    def dealt(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sims = _units(np.stack(batch.column("vector").to_numpy(zero_copy_only=False))) @ means.T
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], [*batch.schema.names, "near"])
+
+    alike = rows.withColumn("place", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
+    placed = checkpointed(alike.mapInArrow(dealt, f"id {kind}, vector array<double>, place int, near array<int>"))
+    targets = placed.select("id", "vector", F.col("near")[0].alias("list"))
+    asking = placed.where("place = 1").select("id", "vector", F.explode("near").alias("list"))
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = F.broadcast(blocks(asking, "m").join(blocks(targets, "n"), "list"))  # a row a list
+    block = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asking.join(sizes, "list").select("id", "vector", "list", block("m").alias("a"), every("n").alias("b"))
+    right = targets.join(sizes, "list").select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.col("list").alias("list"), every("m").alias("a"), block("n").alias("b"))
+    answers = checkpointed(_ranked(_compared(left, right, ["list", "a", "b"], k + 1, False), k + 1))
+    first = placed.where("place = 1").select(F.col("id").alias("first"), "vector")
+    own = rows.join(first, "vector").select("id", "first")
+    found = _ranked(own.join(answers.select(F.col("id").alias("first"), "other", "similarity"), "first").where("id <> other").select("id", "other", "similarity"), k)
+    return found if least is None else found.where(F.col("similarity") >= least)
 
 
 def bands(pairs: DataFrame, candidate: float, automatic: float) -> DataFrame:

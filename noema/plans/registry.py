@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noema.functions import scalars
 from noema.operators import catalogue, merge, search, traverse, vectors
-from noema.plans import graph, runs, tables
+from noema.plans import edits, graph, runs, tables
 from noema.plans.registration import ORACLES, QUERIES, Query, query
 
 NOW = "1998-08-02 00:00:00"
@@ -199,6 +199,12 @@ def vector_neighbours(spark, sf_dir):
     return vectors.neighbours(_vectors(spark, sf_dir), 8).select("id", "other", "rank", F.round("similarity", 9).alias("similarity"))
 
 
+@query(None, on_graph=False)
+def near_vectors(spark, sf_dir):
+    """Neighbours by the inverted file; tests hold their recall against all pairs."""
+    return vectors.approximate(_vectors(spark, sf_dir), 8)
+
+
 @query("WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM embeddings, q ORDER BY similarity DESC, id LIMIT 20) SELECT id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.2", on_graph=False)
 def vector_search(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -298,7 +304,7 @@ def reference_targets(spark, sf_dir):
     return merge.resolve_targets(e.select("from_store", "to_id").distinct(), c, ["shared", "personal"])
 
 
-assert runs.REGISTERED and tables.REGISTERED  # their queries register on import
+assert edits.REGISTERED and runs.REGISTERED and tables.REGISTERED  # their queries register on import
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

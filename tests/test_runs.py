@@ -200,3 +200,27 @@ def test_snapshots(spark, state, tmp_path):
     assert snapshots.load(spark, root, ["concepts"])["concepts"].count() == 1
     assert snapshots.load(spark, root, ["concepts"], 1)["concepts"].count() == 2
     assert json.dumps(snapshots.latest(spark, root)) == "2"
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_approximate_neighbours(spark, grouped):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(20, 16))[rng.integers(0, 20, 600)] + 0.2 * rng.normal(size=(600, 16)) if grouped else rng.normal(size=(600, 16))
+    rows[:200] = rows[0]
+    rows[200:203] = 0
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())] + [(600, None), (None, rows[0].tolist())], "id long, vector array<double>")
+    found = {(r["id"], r["rank"]): (r["other"], r["similarity"]) for r in vectors.approximate(df, 4).collect()}
+    units = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    sims = units @ units.T
+    np.fill_diagonal(sims, -np.inf)
+    best = np.sort(sims, axis=1)[:, ::-1][:, :4]
+    assert len(found) == 600 * 4
+    assert all(i != other and abs(sims[i, other] - s) < 1e-9 for (i, _), (other, s) in found.items())
+    assert [found[0, r][0] for r in (1, 2, 3, 4)] == [1, 2, 3, 4] and [found[150, r][0] for r in (1, 2, 3, 4)] == [0, 1, 2, 3]
+    assert np.mean([s >= best[i, r - 1] - 1e-9 for (i, r), (_, s) in found.items()]) >= 0.9
+
+
+def test_approximate_neighbours_of_little(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<double>")
+    assert vectors.approximate(df, 3).count() == 0
+    assert vectors.approximate(df.limit(0), 3).columns == vectors.approximate(df, 3).columns
