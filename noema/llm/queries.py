@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noema.llm import byte_bpe, decontaminate, html_text, license_scan, lm_score, media, quality, simhash, substring_dedup, token_counts
+from noema.llm import byte_bpe, decontaminate, html_text, license_scan, lm_score, media, quality, secret_scan, simhash, substring_dedup, token_counts
 from noema.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(read(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -64,5 +68,6 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media": op10_media,
+    "op11_secret_scan": op11_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_secret_scan": secret_scan.ORACLE}
