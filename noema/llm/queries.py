@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noema.llm import byte_bpe, decontaminate, html_text, license_scan, lm_score, media, quality, secret_scan, simhash, substring_dedup, token_counts
+from noema.llm import byte_bpe, decontaminate, hard_negatives, html_text, license_scan, lm_score, media, prefix_trie, quality, secret_scan, simhash, substring_dedup, token_counts
 from noema.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -69,5 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media": op10_media,
     "op11_secret_scan": op11_secret_scan,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op11_secret_scan": secret_scan.ORACLE}
+ORACLES: dict[str, str] = {"op11_secret_scan": secret_scan.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
