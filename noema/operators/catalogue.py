@@ -12,7 +12,7 @@ from noema.operators.common import both_ends
 
 
 def faceted(concepts: DataFrame, edges: DataFrame, *, scope: str | None = None, types: Sequence[str] = (), status: Sequence[str] = (), source: str | None = None, curated: bool | None = None, unverified_only: bool = False, text: str | None = None, cluster: str | None = None, orphan: bool | None = None, tombstones: bool = False) -> DataFrame:
-    """Concepts under up to ten facets, all of which must hold. ``text`` is a literal part of title or description, in any case; orphans are in no cluster; unverified ones are generated (``generated_by``) and neither curated nor verified."""
+    """Concepts under up to ten facets, all of which must hold. A concept is a store and an id, and clusters are those of its store. ``text`` is a literal part of title or description, in any case; orphans are in no cluster; unverified ones are generated (``generated_by``) and neither curated nor verified."""
     out = concepts if tombstones else concepts.where("status <> 'tombstone'")
     if unverified_only:
         out = out.where("generated_by is not null and not curated and verified_at is null")
@@ -26,12 +26,12 @@ def faceted(concepts: DataFrame, edges: DataFrame, *, scope: str | None = None,
     if text:
         part = text.lower()
         out = out.where(F.lower("title").contains(part) | F.coalesce(F.lower("description").contains(part), F.lit(False)))
-    members = edges.where("kind = 'member'")
+    members = edges.where("kind = 'member' and from_store = to_store").select("from_id", F.col("to_store").alias("store"), F.col("to_id").alias("id"))
     if cluster is not None:
-        out = out.join(members.where(F.col("from_id") == cluster).select(F.col("to_id").alias("id")), "id", "left_semi")
+        out = out.join(members.where(F.col("from_id") == cluster), ["store", "id"], "left_semi")
     if orphan is not None:
-        out = out.join(members.select(F.col("to_id").alias("id")), "id", "left_anti" if orphan else "left_semi")
-    return out
+        out = out.join(members, ["store", "id"], "left_anti" if orphan else "left_semi")
+    return out.select(*concepts.columns)
 
 
 def in_scope(concepts: DataFrame, scope: str, concept_type: str | None = None) -> DataFrame:
@@ -83,12 +83,17 @@ def kinds_between(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("from_id", "to_id").alias("low"), F.greatest("from_id", "to_id").alias("high")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """Edges other than memberships at each concept: store, id, n. An edge from a concept to itself counts once."""
+    ends = edges.where("kind <> 'member'").select(F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{e}_store").alias("store"), F.col(f"{e}_id").alias("id")) for e in ("from", "to"))))).alias("end"))
+    return ends.groupBy("end.store", "end.id").agg(F.count("*").alias("n"))
+
+
 def loose(concepts: DataFrame, edges: DataFrame, threshold: int = 1, scope: str | None = None) -> DataFrame:
-    """Living concepts, clusters aside, with fewer than ``threshold`` edges other than memberships: id, semantic_degree."""
-    degree = both_ends(edges.where("kind <> 'member'")).groupBy("id").count()
+    """Living concepts, clusters aside, with fewer than ``threshold`` edges other than memberships: store, id, semantic_degree. A concept is a store and an id."""
     out = concepts.where("status <> 'tombstone' and type <> 'Cluster'")
     out = out if scope is None else out.where(F.col("scope") == scope)
-    return out.join(degree, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("semantic_degree")).where(F.col("semantic_degree") < threshold)
+    return out.join(degrees(edges), ["store", "id"], "left").select("store", "id", F.coalesce("n", F.lit(0)).alias("semantic_degree")).where(F.col("semantic_degree") < threshold)
 
 
 def counts(concepts: DataFrame) -> DataFrame:
@@ -109,9 +114,9 @@ def unverified(edges: DataFrame, limit: int, kinds: Sequence[str] = ()) -> DataF
 
 
 def member_counts(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Clusters with their number of members."""
-    n = edges.where("kind = 'member'").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("members"))
-    return concepts.where("type = 'Cluster' and status <> 'tombstone'").join(n, "id", "left").select("id", "title", F.coalesce("members", F.lit(0)).alias("members"))
+    """Living clusters with their number of members: store, id, title, members."""
+    n = edges.where("kind = 'member'").groupBy(F.col("from_store").alias("store"), F.col("from_id").alias("id")).agg(F.count("*").alias("members"))
+    return concepts.where("type = 'Cluster' and status <> 'tombstone'").join(n, ["store", "id"], "left").select("store", "id", "title", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 def resolution(concepts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,10 +150,10 @@ def curation_queue(concepts: DataFrame, edges: DataFrame, limit: int, kinds: Seq
     return queue
 
 
-def cluster_detail(concepts: DataFrame, edges: DataFrame, cluster: str) -> DataFrame:
-    """Members and related clusters of a cluster: role (member, related), id, title, weight."""
-    ends = edges.where((F.col("from_id") == cluster) & F.col("kind").isin("member", "related")).select(F.col("kind").alias("role"), F.col("to_id").alias("id"), "weight")
-    return ends.join(concepts.select("id", "title"), "id", "left").select("role", "id", "title", "weight")
+def cluster_detail(concepts: DataFrame, edges: DataFrame, store: str, cluster: str) -> DataFrame:
+    """Members and related clusters of a cluster of a store: role (member, related), store, id, title, weight."""
+    ends = edges.where((F.col("from_store") == store) & (F.col("from_id") == cluster) & F.col("kind").isin("member", "related")).select(F.col("kind").alias("role"), F.col("to_store").alias("store"), F.col("to_id").alias("id"), "weight")
+    return ends.join(concepts.select("store", "id", "title"), ["store", "id"], "left").select("role", "store", "id", "title", "weight")
 
 
 def boundary_violations(edges: DataFrame) -> DataFrame:
@@ -172,6 +177,6 @@ def map_page(concepts: DataFrame, edges: DataFrame, store: str, limit: int = 200
 def store_totals(concepts: DataFrame, edges: DataFrame, threshold: int = 1) -> DataFrame:
     """For each store: living concepts, clusters, loose concepts and edges."""
     living = concepts.where("status <> 'tombstone'").groupBy("store").agg(F.count("*").alias("concepts"), F.count_if(F.col("type") == "Cluster").alias("clusters"))
-    single = loose(concepts, edges, threshold).join(concepts.select("id", "store"), "id").groupBy("store").agg(F.count("*").alias("loose"))
+    single = loose(concepts, edges, threshold).groupBy("store").agg(F.count("*").alias("loose"))
     links = edges.groupBy(F.col("from_store").alias("store")).agg(F.count("*").alias("edges"))
     return living.join(single, "store", "left").join(links, "store", "left").select("store", "concepts", "clusters", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("loose", "edges")))

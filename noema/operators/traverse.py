@@ -23,11 +23,15 @@ class Reach(NamedTuple):
     truncated: bool
 
 
-def _filtered(edges: DataFrame, kinds: Sequence[str], stores: Sequence[str]) -> DataFrame:
+def _filtered(edges: DataFrame, kinds: Sequence[str], stores: Sequence[str], start: DataFrame) -> DataFrame:
+    """Edges of some kinds between some stores, among which those of the start always are; a join, as the start may have any number of them."""
     if kinds:
         edges = edges.where(F.col("kind").isin(*kinds))
     if stores:
-        edges = edges.where(F.col("from_store").isin(*stores) & F.col("to_store").isin(*stores))
+        named = edges.sparkSession.createDataFrame([(s,) for s in stores], "store string")
+        entered = named.unionAll(start.select("store")).distinct()
+        for end in ("from_store", "to_store"):
+            edges = edges.join(entered.withColumnRenamed("store", end), end, "left_semi").select(*edges.columns)
     return edges
 
 
@@ -49,18 +53,22 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = 2, max_nodes: int | N
 
     Filters of kinds and stores hold while the search expands; stores of the start are always
     entered. At ``max_nodes`` no new node is taken and the search ends with its hop; nodes that are
-    met first are taken first. With a limit, the nodes so far are a small table from the driver and a
-    hop is one job; without one, each hop is written.
+    met first are taken first. With a limit, which the starts may not exceed, the nodes so far are a
+    small table from the driver and a hop is one job; without one, each hop is written.
     """
     if not 0 <= hops <= MAX_HOPS:
         raise ValueError(f"hops must lie between 0 and {MAX_HOPS}")
     spark = edges.sparkSession
-    if stores:
-        stores = sorted({*stores, *(r[0] for r in start.select("store").distinct().limit(100).collect())})
-    edges = _filtered(edges, kinds, stores)
     bounded = max_nodes is not None
     seen = start.select("store", "id", F.lit(0).alias("hops")).distinct()
-    seen = spark.createDataFrame(seen.collect(), NODE) if bounded else checkpointed(seen)
+    if bounded:
+        rows = seen.limit(max_nodes + 1).collect()
+        if len(rows) > max_nodes:
+            raise ValueError(f"more than {max_nodes} starts")
+        seen = spark.createDataFrame(rows, NODE)
+    else:
+        seen = checkpointed(seen)
+    edges = _filtered(edges, kinds, stores, seen)
     held, frontier, inner, truncated = seen.count() if bounded else 0, seen, seen, False
     for hop in range(1, hops + 1):
         inner = seen  # nodes whose edges have been met

@@ -81,7 +81,7 @@ def kinds_between(spark, sf_dir):
     return catalogue.kinds_between(graph.load(spark, sf_dir)[1].where("kind <> 'depends_on'")).withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query(", d AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM edges WHERE kind <> 'member' UNION ALL SELECT to_id FROM edges WHERE kind <> 'member') GROUP BY id) SELECT c.id, coalesce(n, 0) AS semantic_degree FROM concepts c LEFT JOIN d ON c.id = d.id WHERE status <> 'tombstone' AND type <> 'Cluster' AND coalesce(n, 0) < 2")
+@query(", d AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM edges WHERE kind <> 'member' UNION ALL SELECT to_id FROM edges WHERE kind <> 'member') GROUP BY id) SELECT c.store, c.id, coalesce(n, 0) AS semantic_degree FROM concepts c LEFT JOIN d ON c.id = d.id WHERE status <> 'tombstone' AND type <> 'Cluster' AND coalesce(n, 0) < 2")
 def loose_concepts(spark, sf_dir):
     return catalogue.loose(*graph.load(spark, sf_dir), threshold=2)
 
@@ -91,7 +91,7 @@ def unverified_queue(spark, sf_dir):
     return catalogue.unverified(graph.load(spark, sf_dir)[1], 100).select("from_id", "to_id", "kind", "confidence")
 
 
-@query(" SELECT id, title, (SELECT count(*) FROM edges WHERE kind = 'member' AND from_id = c.id) AS members FROM concepts c WHERE type = 'Cluster' AND status <> 'tombstone'")
+@query(" SELECT store, id, title, (SELECT count(*) FROM edges WHERE kind = 'member' AND from_store = c.store AND from_id = c.id) AS members FROM concepts c WHERE type = 'Cluster' AND status <> 'tombstone'")
 def cluster_overview(spark, sf_dir):
     return catalogue.member_counts(*graph.load(spark, sf_dir))
 
@@ -124,7 +124,7 @@ def journal_json(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-_TWINS = ", twice AS (SELECT store, id, type, status, updated_at FROM concepts UNION ALL SELECT 'personal', id, 'Note', 'active', NULL FROM concepts WHERE type = 'Nation'), links AS (SELECT from_store, from_id, to_store, to_id, kind FROM edges UNION ALL SELECT 'personal', id, 'shared', 'region:1', 'references' FROM concepts WHERE type = 'Nation')"
+_TWINS = ", twice AS (SELECT store, id, type, status, updated_at FROM concepts UNION ALL SELECT 'personal', id, 'Note', 'active', NULL FROM concepts WHERE type = 'Nation'), links AS (SELECT from_store, from_id, to_store, to_id, kind FROM edges UNION ALL SELECT 'personal', id, 'shared', 'region:1', 'references' FROM concepts WHERE type = 'Nation'), loops AS (SELECT * FROM links UNION ALL SELECT store, id, store, id, 'related' FROM twice WHERE type = 'Note' AND id LIKE '%3')"
 
 
 def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +136,33 @@ def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return concepts.select(*columns).unionAll(notes), edges.select(*traverse.KEY).unionAll(ends)
 
 
+def _loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``_twins`` with edges from some notes to themselves."""
+    concepts, edges = _twins(spark, sf_dir)
+    loops = concepts.where("type = 'Note' and id like '%3'").select(F.col("store").alias("from_store"), F.col("id").alias("from_id"), F.col("store").alias("to_store"), F.col("id").alias("to_id"), F.lit("related").alias("kind"))
+    return concepts.withColumn("scope", F.lit("all")), edges.unionAll(loops)
+
+
+_LOOSE = _TWINS + ", ends AS (SELECT from_store AS store, from_id AS id FROM loops WHERE kind <> 'member' UNION ALL SELECT to_store, to_id FROM loops WHERE kind <> 'member' AND (from_store, from_id) <> (to_store, to_id)), d AS (SELECT store, id, count(*) AS n FROM ends GROUP BY ALL)"
+
+
+@query(_LOOSE + " SELECT c.store, c.id, coalesce(n, 0) AS semantic_degree FROM twice c LEFT JOIN d ON d.store = c.store AND d.id = c.id WHERE status <> 'tombstone' AND type <> 'Cluster' AND coalesce(n, 0) < 3")
+def loose_twins(spark, sf_dir):
+    """Equal ids in two stores are two concepts, and an edge to itself counts once."""
+    return catalogue.loose(*_loops(spark, sf_dir), threshold=3)
+
+
+@query(_LOOSE + " SELECT c.store, count(*) AS concepts, count(*) FILTER (type = 'Cluster') AS clusters, count(*) FILTER (type <> 'Cluster' AND coalesce(n, 0) < 2) AS loose, (SELECT count(*) FROM loops WHERE from_store = c.store) AS edges FROM twice c LEFT JOIN d ON d.store = c.store AND d.id = c.id WHERE status <> 'tombstone' GROUP BY c.store")
+def twin_totals(spark, sf_dir):
+    return catalogue.store_totals(*_loops(spark, sf_dir), threshold=2)
+
+
+@query(_TWINS + ", members AS (SELECT from_store AS store, to_id AS id FROM links WHERE kind = 'member' AND from_store = to_store) SELECT store, type, count(*) AS n FROM twice c WHERE status <> 'tombstone' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.store = c.store AND m.id = c.id) GROUP BY ALL")
+def orphan_twins(spark, sf_dir):
+    c, e = _twins(spark, sf_dir)
+    return catalogue.faceted(c, e, orphan=True).groupBy("store", "type").agg(F.count("*").alias("n"))
+
+
 def _start(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("shared", "nation:3")], "store string, id string")
 
@@ -166,6 +193,12 @@ def reach_limited(spark, sf_dir):
     return traverse.reach(_twins(spark, sf_dir)[1], _start(spark), 2, 300)
 
 
+@query((_TWINS + ", k0 AS (SELECT 'shared' AS store, 'nation:3' AS id), k1 AS (SELECT * FROM links l WHERE from_store = 'shared' AND to_store = 'shared'), r1 AS (SELECT from_store AS store, from_id AS id FROM k1 WHERE to_id = 'nation:3' UNION SELECT to_store, to_id FROM k1 WHERE from_id = 'nation:3'), r2 AS (SELECT from_store AS store, from_id AS id FROM k1 WHERE to_id IN (SELECT id FROM r1) UNION SELECT to_store, to_id FROM k1 WHERE from_id IN (SELECT id FROM r1)) SELECT store, id FROM k0 UNION SELECT * FROM r1 UNION SELECT * FROM r2"))
+def reach_in_store(spark, sf_dir):
+    """Two hops that may not leave the store of the start, although only another one is named."""
+    return traverse.reach(_twins(spark, sf_dir)[1], _start(spark), 2, None, stores=["archive"]).select("store", "id")
+
+
 @query(_TWINS + ", s0 AS (SELECT 'shared' AS store, 'nation:3' AS id) SELECT from_store, from_id, to_store, to_id, kind FROM (" + _touching("s0") + ")")
 def neighbour_edges(spark, sf_dir):
     return traverse.neighbours(_twins(spark, sf_dir)[1], _start(spark), None).edges

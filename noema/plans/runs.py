@@ -122,11 +122,12 @@ def source_deletions(spark, sf_dir):
     return marked.where("status = 'tombstone'").join(changed, "id", "left_semi").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(" SELECT from_id, to_id, CASE WHEN from_id LIKE 'order:%5' AND to_id LIKE '%3' THEN 'elsewhere' ELSE to_store END AS to_store FROM edges WHERE kind = 'depends_on'")
+@query(" SELECT from_id, to_id, kind, CASE WHEN from_id LIKE 'order:%5' AND to_id LIKE 'part:%3' THEN 'elsewhere' ELSE to_store END AS to_store FROM edges WHERE kind IN ('depends_on', 'implements')")
 def attached_edges(spark, sf_dir):
+    """Open edges of both stores; those of the shared one may not leave it."""
     concepts, e = graph.load(spark, sf_dir)
-    e = e.where("kind = 'depends_on'").withColumn("resolved", ~F.col("from_id").like("order:%5"))
-    return curation.attach(e, "elsewhere", concepts.where("type = 'Part' and id like '%3'")).select("from_id", "to_id", "to_store")
+    e = e.where("kind in ('depends_on', 'implements')").withColumn("resolved", ~F.col("from_id").like("%5"))
+    return curation.attach(e, "elsewhere", concepts.where("type in ('Part', 'Supplier') and id like '%3'")).select("from_id", "to_id", "kind", "to_store")
 
 
 @query(" SELECT from_id AS id, 'outgoing' AS role, to_id AS other, kind FROM edges WHERE from_id IN (SELECT id FROM concepts WHERE scope = 'geo') UNION ALL SELECT to_id, 'incoming', from_id, kind FROM edges WHERE to_store = 'shared' AND to_id IN (SELECT id FROM concepts WHERE scope = 'geo') UNION ALL SELECT to_id, 'cluster', from_id, kind FROM edges WHERE kind = 'member'")
@@ -140,9 +141,9 @@ def curation_queue(spark, sf_dir):
     return catalogue.curation_queue(*graph.load(spark, sf_dir), 50).select("from_id", "to_id", "kind", "from_title", "to_title")
 
 
-@query(" SELECT kind AS role, to_id AS id, title, weight FROM edges LEFT JOIN concepts ON id = to_id WHERE from_id = 'region:2' AND kind IN ('member', 'related')")
+@query(" SELECT kind AS role, to_store AS store, to_id AS id, title, weight FROM edges LEFT JOIN concepts ON id = to_id AND store = to_store WHERE from_id = 'region:2' AND kind IN ('member', 'related')")
 def cluster_detail(spark, sf_dir):
-    return catalogue.cluster_detail(*graph.load(spark, sf_dir), "region:2")
+    return catalogue.cluster_detail(*graph.load(spark, sf_dir), "shared", "region:2")
 
 
 @query(" SELECT 'shared' AS from_store, 'personal' AS to_store, count(*) AS n FROM edges WHERE from_store = 'personal' AND to_store = 'shared' AND kind = 'references'")

@@ -118,3 +118,25 @@ def test_streaming_ingest(spark, tmp_path, monkeypatch):
     assert got["a"]["updated_at"].month == 2
     assert sorted((r["batch"], r["id"], r["outcome"]) for r in spark.read.parquet(state + "/journal").collect()) == [(0, "a", "created"), (1, "a", "updated"), (1, "b", "created"), (2, "b", "unchanged"), (2, "c", "created")]
     assert spark.read.parquet(state + "/compact").select("batch").distinct().count() == 1
+
+
+def test_stores_of_any_number_of_starts_are_entered(spark):
+    from noema.operators import traverse
+
+    edges = spark.createDataFrame([(f"s{k}", "a", "s0", f"b{k}", "references") for k in range(150)], "from_store string, from_id string, to_store string, to_id string, kind string")
+    start = spark.createDataFrame([(f"s{k}", "a") for k in range(150)], "store string, id string")
+    assert traverse.reach(edges, start, 1, None, stores=["s0"]).count() == 300
+    assert traverse.reach(edges, start, 1, 400, stores=["s0"]).count() == 300
+    with pytest.raises(ValueError):
+        traverse.reach(edges, start, 1, 149)
+
+
+def test_attached_edges_keep_to_the_rule_of_stores(spark):
+    from noema.operators import curation
+
+    schema = "from_store string, from_id string, to_store string, to_id string, kind string, resolved boolean"
+    edges = spark.createDataFrame([("shared", "a", "shared", "x", "references", False), ("personal", "a", "personal", "x", "references", False)], schema)
+    found = spark.createDataFrame([("x",)], "id string")
+    moved = {s: sorted((r["from_store"], r["to_store"]) for r in curation.attach(edges, s, found).collect()) for s in ("personal", "shared")}
+    assert moved["personal"] == [("personal", "personal"), ("shared", "shared")]
+    assert moved["shared"] == [("personal", "shared"), ("shared", "shared")]
