@@ -71,6 +71,35 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(either > 0, shared / either).otherwise(0.0)
 
 
+def text_words(text: Column) -> Column:
+    """Lower-cased words in order: runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def text_rank(places: Column) -> Column:
+    """Rank of a text for a query, given the places at which it has each of the query's words (array of arrays).
+
+    One word: the sum of 1 / k² over its k-th occurrence, set against what endless ones would give. Several
+    words: every pair of places of two words says something, the more the nearer they are; what all pairs say is
+    put together as independent evidence. All words have the weight of plain text, 0.1. Rounded to nine digits.
+    """
+    weight, endless, far, none = 0.1, 1.64493406685, 1e-30, 1e-20  # fixed values
+
+    def near(p: Column, q: Column) -> Column:
+        away = F.abs(p - q)
+        said = F.lit(weight) * F.sqrt(F.when(away > 100, F.lit(far)).otherwise(1.0 / (1.005 + 0.05 * F.exp(away / 1.5 - 2))))
+        return F.when(away == 0, F.lit(1.0)).otherwise(1.0 - said)
+
+    def product(values: Column, of) -> Column:
+        return F.aggregate(values, F.lit(1.0), lambda acc, x: acc * of(x))
+
+    numbered = F.transform(places, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+    unsaid = product(numbered, lambda a: product(F.slice(numbered, 1, a["k"]), lambda b: product(a["p"], lambda p: product(b["p"], lambda q: near(p, q)))))
+    alone = F.aggregate(F.transform(F.element_at(places, 1), lambda p, k: 1.0 / ((k + 1) * (k + 1))), F.lit(0.0), lambda acc, x: acc + x) * weight / endless
+    together = F.greatest(F.round(1.0 - unsaid, 9), F.lit(none))
+    return F.when(F.size(places) == 0, F.lit(0.0)).when(F.size(places) == 1, F.round(alone, 9)).otherwise(together)
+
+
 def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
     """Price of a model call, with prices for a thousand tokens."""
     return ((tokens_in * price_in + tokens_out * price_out) / 1000).cast("decimal(10,5)")

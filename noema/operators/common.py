@@ -6,25 +6,44 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under that of ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or os.path.join(tempfile.gettempdir(), 'noema-checkpoints')).rstrip('/')}/noema/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A table written to the folder of ``spark.checkpoint.dir``, read back; only a local session may do without that setting.
+    """A table written to a ``scratch`` folder, read back.
 
     Unlike a checkpoint, what is read back has the size of its files: in loops of joins, estimates that
     are carried along square each round and would stop the driver.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(root or os.path.join(tempfile.gettempdir(), 'noema-checkpoints')).rstrip('/')}/noema/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
     """Every edge seen from either end: id, other, kind. An OR-join on both ends becomes an equi-join with this."""
     return edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), "kind").unionAll(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), "kind"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", least: int = 1000, most: int = 10_000) -> DataFrame:
+    """``rows`` joined to a table with one line a key, however often a key is in ``rows``.
+
+    A key with more than a ``most``-th of the rows (and than ``least``) is heavy: there can't be more than ``most``
+    of those, so their lines are broadcast and their rows stay where they are. All others meet in a shuffle.
+    ``rows`` is read several times; null keys find nothing.
+    """
+    limit = max(least, rows.count() // most)
+    heavy = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    heavy = checkpointed(heavy.join(table, keys, "inner"))
+    known = F.broadcast(heavy)
+    few = rows.join(known.select(*keys), keys, "left_anti").join(table, keys, how)
+    return few.unionByName(rows.join(known, keys, "inner").select(*few.columns))

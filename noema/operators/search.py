@@ -5,12 +5,14 @@ from __future__ import annotations
 import unicodedata
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noema.functions.scalars import trigram_similarity, trigrams
+from noema.functions.scalars import text_rank, text_words, trigram_similarity, trigrams
+from noema.operators import text_index
 from noema.operators import vectors as V
+from noema.operators.text_index import TextIndex
 
 
 def query_words(query: str) -> list[str]:
@@ -19,18 +21,22 @@ def query_words(query: str) -> list[str]:
 
 
 def full_text(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Living concepts whose title, description and body (if there is one) have all words of the query: id, hits, rank. More hits, in relation to all words, come first."""
+    """Living concepts whose title, description and body (if there is one) have all words of the query: id, score, rank. The score is ``scalars.text_rank``; every text is read, where ``text_index`` reads the entries of the query's words."""
     wanted = query_words(query)
-    words = F.filter(F.split(F.lower(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = text_words(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns)))
     rows = concepts.where("status <> 'tombstone'").withColumn("words", words)
     for word in wanted:
         rows = rows.where(F.array_contains("words", word))
     if not wanted:
         rows = rows.limit(0)
-    hits = F.size(F.filter("words", lambda w: w.isin(*wanted or [""])))
-    rows = rows.select("id", hits.alias("hits"), (hits / F.size("words")).alias("weight"))
-    best = rows.orderBy(F.desc("weight"), "id").limit(limit)
-    return best.select("id", "hits", F.row_number().over(W.orderBy(F.desc("weight"), "id")).alias("rank"))
+    at = F.transform("words", lambda w, k: F.struct(w.alias("w"), F.least(k + 1, F.lit(text_index.LAST)).alias("k")))
+    places = F.array(*(_places(at, word) for word in wanted or [""]))
+    best = rows.select("id", text_rank(places).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+
+
+def _places(at: Column, word: str) -> Column:
+    return F.slice(F.array_distinct(F.transform(F.filter(at, lambda x: x["w"] == word), lambda x: x["k"])), 1, text_index.PLACES)
 
 
 def by_trigrams(concepts: DataFrame, query: str, limit: int = 20, least: float = 0.3) -> DataFrame:
@@ -48,25 +54,32 @@ def fused(lists: list[DataFrame], limit: int = 20, k: int = 60) -> DataFrame:
     return rows.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def lexical(concepts: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Full text and trigrams fused; a blank query finds nothing."""
+def query_grams(query: str) -> list[str]:
+    """Trigrams of a query, cut as those of titles."""
+    return sorted({f"  {w} "[k : k + 3] for w in query_words(query) for k in range(len(w) + 1)})
+
+
+def lexical(concepts: DataFrame, query: str, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
+    """Full text and trigrams fused; a blank query finds nothing. With an ``index`` (of the same concepts), only its entries for the query are read."""
+    if index is not None:
+        return fused([index.search(query_words(query), limit), index.similar(query_grams(query), limit=limit)], limit)
     return fused([full_text(concepts, query, limit), by_trigrams(concepts, query, limit)], limit)
 
 
-def hybrid(concepts: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20) -> DataFrame:
+def hybrid(concepts: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20, index: TextIndex | None = None) -> DataFrame:
     """Lexical and vector search fused by their ranks: id, score."""
-    found = lexical(concepts, query, limit)
+    found = lexical(concepts, query, limit, index)
     words = found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
     near = V.search(vectors.join(concepts.where("status <> 'tombstone'").select("id"), "id", "left_semi"), vector, limit)
     return fused([words, near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))], limit)
 
 
-def staged(concepts: DataFrame, vectors: DataFrame, centroids: DataFrame, query: str, vector: list[float] | None, limit: int = 20, granularity: str | None = None, least: float = 0.7) -> DataFrame:
+def staged(concepts: DataFrame, vectors: DataFrame, centroids: DataFrame, query: str, vector: list[float] | None, limit: int = 20, granularity: str | None = None, least: float = 0.7, index: TextIndex | None = None) -> DataFrame:
     """Clusters if the query lies near enough to a centroid (id, vector), else concepts: stage, id, score. Without a vector the search is lexical; ``granularity`` (cluster, concept) forces a stage."""
     if vector is None:
-        return lexical(concepts, query, limit).select(F.lit("lexical").alias("stage"), "id", "score")
+        return lexical(concepts, query, limit, index).select(F.lit("lexical").alias("stage"), "id", "score")
     if granularity != "concept":
         near = V.search(centroids, vector, limit, None if granularity == "cluster" else least)
         if granularity == "cluster" or not near.isEmpty():
             return near.select(F.lit("cluster").alias("stage"), "id", F.round("similarity", 9).alias("score"))
-    return hybrid(concepts, vectors, query, vector, limit).select(F.lit("concept").alias("stage"), "id", "score")
+    return hybrid(concepts, vectors, query, vector, limit, index).select(F.lit("concept").alias("stage"), "id", "score")

@@ -39,11 +39,12 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFr
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
-    """Exact ``k`` nearest ``targets`` of every query, in blocks as for ``neighbours``: id, other, similarity, rank. With ``others``, a target with the query's id is the query itself and left out."""
+    """Exact ``k`` nearest ``targets`` of every query, in blocks as for ``neighbours``: id, other, similarity, rank. With ``others``, a target with the query's id is the query itself and left out. Rows without an id or a vector take no part; ties go by id, in every block as well, so equal vectors are no more rows than others."""
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = rows.where("id is not null and vector is not null")
         blocks = -(-rows.count() // BLOCK) or 1
-        return rows.select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), blocks
+        return rows.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), blocks
 
     (ours, m_blocks), (theirs, n_blocks) = dealt(queries), dealt(targets)
     left = ours.select("id", "vector", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
@@ -59,21 +60,25 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _compared(left: DataFrame, right: DataFrame, keys: list[str], k: int, apart: bool) -> DataFrame:
-    """The best ``k`` (and those tied with them) of each left row (id, vector) among the right rows of the same ``keys``, a task for each value of these: id, other, similarity."""
+    """The best ``k`` of each left row (id, vector), by similarity and then id, among the right rows of the same ``keys``, a task for each value of these: id, other, similarity."""
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        names, others = x.column("id").to_pylist(), np.array(y.column("id").to_pylist(), object)
-        rows: list[tuple] = []
-        if names and len(others):
+        out: list[tuple[np.ndarray, ...]] = []
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("id")  # places are in the order of ids
+            names, others = (t.column("id").to_numpy() for t in (x, y))
             m, n = (_units(np.stack(t.column("vector").to_numpy())) for t in (x, y))
             for begin in range(0, len(names), 512):
                 sims = m[begin : begin + 512] @ n.T
+                if apart:
+                    sims[names[begin : begin + 512, None] == others[None, :]] = -np.inf
                 for r, row in enumerate(sims):
-                    name = names[begin + r]
-                    keep = np.argpartition(-row, min(k + 1, len(row)) - 1)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-                    tied = np.flatnonzero(row >= row[keep].min()) if len(row) > k + 1 else keep
-                    rows += [(name, others[j], float(row[j])) for j in tied if not apart or others[j] != name]
-        return pa.table({"id": pa.array([r[0] for r in rows], x.schema.field("id").type), "other": pa.array([r[1] for r in rows], y.schema.field("id").type), "similarity": pa.array([r[2] for r in rows], pa.float64())})
+                    last = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    above = np.flatnonzero(row > last)
+                    at = np.concatenate([above, np.flatnonzero((row == last) & (row > -np.inf))[: k - len(above)]])
+                    out.append((np.full(len(at), begin + r), at, row[at]))
+        i, j, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"id": x.column("id").take(pa.array(i, pa.int64())), "other": y.column("id").take(pa.array(j, pa.int64())), "similarity": pa.array(s, pa.float64())})
 
     kind, others = (df.schema["id"].dataType.simpleString() for df in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"id {kind}, other {others}, similarity double")

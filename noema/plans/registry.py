@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import scalars
-from noema.operators import catalogue, merge, search, traverse, vectors
+from noema.operators import catalogue, merge, search, text_index, traverse, vectors
+from noema.operators.common import scratch
 from noema.plans import edits, graph, runs, tables
 from noema.plans.registration import ORACLES, QUERIES, Query, query
 
@@ -277,7 +278,9 @@ def component_chunks(spark, sf_dir):
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
 _SIMILAR = ", t AS (SELECT id, " + _TRIGRAMS.format("title") + " AS a, " + _TRIGRAMS.format("'red widgets'") + " AS b FROM concepts WHERE status <> 'tombstone'), s AS (SELECT id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM t WHERE len(list_concat(a, b)) > 0), g AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= 0.3 QUALIFY rank <= 20)"
-_WORDS = ", w AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM concepts WHERE status <> 'tombstone'), f AS (SELECT id, len(list_filter(words, lambda w: w = 'hot')) AS hits, row_number() OVER (ORDER BY len(list_filter(words, lambda w: w = 'hot'))::DOUBLE / len(words) DESC, id) AS rank FROM w WHERE list_contains(words, 'hot') QUALIFY rank <= 20)"
+_PLACES = "list_filter(range(1, len(words) + 1), lambda k: words[k] = {0})[1:255]"
+_ALONE = "round(list_sum(list_transform(range(1, len({0}) + 1), lambda k: 1.0::DOUBLE / (k * k))) * 0.1 / 1.64493406685, 9)"
+_WORDS = ", w AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM concepts WHERE status <> 'tombstone'), f AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, " + _ALONE.format(_PLACES.format("'hot'")) + " AS score FROM w WHERE list_contains(words, 'hot')) QUALIFY rank <= 20)"
 
 
 @query(_SIMILAR + " SELECT id, rank, round(similarity, 9) AS similarity FROM g")
@@ -285,7 +288,7 @@ def trigram_search(spark, sf_dir):
     return search.by_trigrams(graph.load(spark, sf_dir)[0], "red widgets").withColumn("similarity", F.round("similarity", 9))
 
 
-@query(_WORDS + " SELECT id, hits, rank FROM f")
+@query(_WORDS + " SELECT id, score, rank FROM f")
 def full_text_search(spark, sf_dir):
     return search.full_text(graph.load(spark, sf_dir)[0], "hot")
 
@@ -296,6 +299,52 @@ def fused_search(spark, sf_dir):
     return search.fused([search.full_text(concepts, "red"), search.by_trigrams(concepts, "red widgets")])
 
 
+_PAIR = "round(1 - list_product(list_transform({0}, lambda p: list_product(list_transform({1}, lambda q: 1 - 0.1 * sqrt(CASE WHEN abs(p - q) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(p - q) / 1.5 - 2)) END))))), 9)"
+
+
+@query(
+    "WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM documents WHERE doc_id % 11 <> 0), t AS (SELECT id, "
+    + _PLACES.format("'example'") + " AS a, " + _PLACES.format("'token'") + " AS b FROM w), s AS (SELECT 'example' AS query, id, " + _ALONE.format("a")
+    + " AS score FROM t WHERE len(a) > 0 UNION ALL SELECT 'Token, example', id, greatest(" + _PAIR.format("a", "b")
+    + ", 1e-20::DOUBLE) FROM t WHERE len(a) > 0 AND len(b) > 0) SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50",
+    on_graph=False,
+)
+def ranked_search(spark, sf_dir):
+    """Full text by a stored index of all documents: built, updated with other texts for some, with some taken out, and compacted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("shared").alias("store"), F.col("doc_id").cast("string").alias("id"), F.lit("active").alias("status"), F.col("text").alias("body"), "doc_id")
+    index = text_index.TextIndex(spark, scratch(spark))
+    index.update(docs.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit("token example")).otherwise(F.col("body"))).drop("doc_id").withColumn("title", F.lit("")))
+    index.update(docs.where("doc_id % 7 = 0 and doc_id % 11 <> 0").withColumn("title", F.lit("")), docs.where("doc_id % 11 = 0"))
+    index.compact()
+    found = [index.search(search.query_words(q), 50).select(F.lit(q).alias("query"), "id", "score", "rank") for q in ("example", "Token, example")]
+    return found[0].unionByName(found[1])
+
+
+@query(_SIMILAR + " SELECT id, rank, round(similarity, 9) AS similarity FROM g")
+def indexed_trigrams(spark, sf_dir):
+    """As ``trigram_search``, from a stored index of all titles."""
+    index = text_index.TextIndex(spark, scratch(spark))
+    index.update(graph.load(spark, sf_dir)[0])
+    return index.similar(search.query_grams("red widgets")).select("id", "rank", F.round("similarity", 9).alias("similarity"))
+
+
+_TITLES = "WITH t AS (SELECT 'part:' || p_partkey AS id, list_sort(" + _TRIGRAMS.format("p_name || ' ' || p_type || ' ' || p_brand") + ") AS grams FROM part), c AS (SELECT grams, min(id) AS class FROM t GROUP BY grams), x AS (SELECT a.class AS a, b.class AS b, len(list_intersect(a.grams, b.grams))::DOUBLE AS n, len(a.grams) + len(b.grams) AS m FROM c a JOIN c b ON a.class < b.class)"
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("shared").alias("store"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("active").alias("status"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+
+
+@query(_TITLES + " SELECT a, b, round(n / (m - n), 9) AS similarity FROM x WHERE n / (m - n) >= 0.8", on_graph=False)
+def similar_titles(spark, sf_dir):
+    return text_index.similar_titles(_titles(spark, sf_dir), 0.8)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_TITLES + " SELECT id, class FROM t JOIN c USING (grams)", on_graph=False)
+def title_classes(spark, sf_dir):
+    return text_index.title_classes(_titles(spark, sf_dir)).select("id", "class")
+
+
 @query("SELECT p_partkey, sha256(coalesce(p_name, '') || chr(30) || coalesce(p_type, '') || chr(30) || '') AS content_hash FROM part", on_graph=False)
 def content_hashes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalars.content_hash(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("content_hash"))

@@ -140,3 +140,11 @@ def test_attached_edges_keep_to_the_rule_of_stores(spark):
     moved = {s: sorted((r["from_store"], r["to_store"]) for r in curation.attach(edges, s, found).collect()) for s in ("personal", "shared")}
     assert moved["personal"] == [("personal", "personal"), ("shared", "shared")]
     assert moved["shared"] == [("personal", "shared"), ("shared", "shared")]
+
+
+def test_neighbours_of_null_and_equal_vectors(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.5]) for k in range(40)] + [(50, None), (None, [1.0, 0.5]), (60, [0.0, 0.0])], "id long, vector array<double>")
+    got = {}
+    for r in vectors.neighbours(rows, 3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"]))
+    assert set(got) == {*range(40), 60} and sorted(got[5]) == [(1, 0), (2, 1), (3, 2)] and sorted(got[1]) == [(1, 0), (2, 2), (3, 3)]
