@@ -110,18 +110,3 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
-
-
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", least: int = 1000, most: int = 10_000) -> DataFrame:
-    """``rows`` joined to a table with one line a key, however often a key is in ``rows``.
-
-    A key with more than a ``most``-th of the rows (and than ``least``) is heavy: there can't be more than ``most``
-    of those, so their lines are broadcast and their rows stay where they are. All others meet in a shuffle.
-    ``rows`` is read twice, so it should be cut; null keys find nothing.
-    """
-    limit = max(least, rows.count() // most)
-    heavy = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    heavy = cut(heavy.join(table, keys, "inner"))
-    known = F.broadcast(heavy)
-    few = rows.join(known.select(*keys), keys, "left_anti").join(table, keys, how)
-    return few.unionByName(rows.join(known, keys, "inner").select(*few.columns))

@@ -75,15 +75,3 @@ def test_no_rows_and_no_secrets(spark, name):
     rows = [] if name == "none" else [(k, "just words", "s") for k in range(4)]
     got = secret_scan.scan(frame(spark, rows)).collect()
     assert [(r["spans"], r["verdicts"], r["n_live"]) for r in got] == [("", "", 0)] * len(rows)
-
-
-def test_heavy_keys_find_the_same(spark):
-    from pyspark.sql import functions as F
-
-    from noema.llm.frames import lookup
-
-    rows = spark.range(3000).select((F.col("id") % 7).alias("key"), "id").unionAll(spark.range(500).select(F.lit(1).cast("long").alias("key"), F.col("id") + 5000)).unionAll(spark.range(3).select(F.lit(None).cast("long").alias("key"), F.col("id") + 9000))
-    table = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "key long, word string")
-    want = sorted((r["id"], {0: "a", 1: "b"}.get(r["key"])) for r in rows.collect())
-    for most in (3, 10_000):
-        assert sorted((r["id"], r["word"]) for r in lookup(rows, table, ["key"], least=0, most=most).collect()) == want
