@@ -92,6 +92,30 @@ def _homes(units: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(units[b : b + 4096] @ means.T, axis=1) for b in range(0, len(units), 4096)])
 
 
+def spherical(units: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Directions of spherical k-means, begun at the first vectors."""
+    means = units[:lists].copy()
+    for _ in range(rounds):
+        home = _homes(units, means)
+        sums = np.zeros_like(means)
+        np.add.at(sums, home, units)
+        filled = np.bincount(home, minlength=len(means)) > 0
+        means[filled] = _units(sums[filled])
+    return means
+
+
+def compared_in_lists(asking: DataFrame, targets: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
+    """The ``k`` nearest targets (id, vector, list) of each query among those of the lists that it asks (a row each: id, vector, list): id, other, similarity, rank. Lists meet in blocks, a task each."""
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = checkpointed(blocks(asking, "m").join(blocks(targets, "n"), "list"))
+    block = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asking.join(sizes, "list").select("id", "vector", "list", block("m").alias("a"), every("n").alias("b"))
+    right = targets.join(sizes, "list").select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.col("list").alias("list"), every("m").alias("a"), block("n").alias("b"))
+    found = _ranked(_compared(left, right, ["list", "a", "b"], k, others), k)
+    return found if least is None else found.where(F.col("similarity") >= least)
+
+
 def _fitted(rows: DataFrame, k: int, lists: int, probes: int | None, share: float, sample: int, rounds: int = 8) -> tuple[np.ndarray, int]:
     """Directions of spherical k-means, and how many lists to ask.
 
@@ -102,13 +126,7 @@ def _fitted(rows: DataFrame, k: int, lists: int, probes: int | None, share: floa
     if not some:
         return np.empty((0, 0)), 0
     units = _units(np.array(some, float))
-    means = units[:lists].copy()
-    for _ in range(rounds):
-        home = _homes(units, means)
-        sums = np.zeros_like(means)
-        np.add.at(sums, home, units)
-        filled = np.bincount(home, minlength=len(means)) > 0
-        means[filled] = _units(sums[filled])
+    means = spherical(units, lists, rounds)
     if probes is None:
         home, asking = _homes(units, means), units[:512]
         sims = asking @ units.T
@@ -147,13 +165,7 @@ def approximate(vectors: DataFrame, k: int, least: float | None = None, probes:
     placed = checkpointed(alike.mapInArrow(dealt, f"id {kind}, vector array<double>, place int, near array<int>"))
     targets = placed.select("id", "vector", F.col("near")[0].alias("list"))
     asking = placed.where("place = 1").select("id", "vector", F.explode("near").alias("list"))
-    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = F.broadcast(blocks(asking, "m").join(blocks(targets, "n"), "list"))  # a row a list
-    block = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = asking.join(sizes, "list").select("id", "vector", "list", block("m").alias("a"), every("n").alias("b"))
-    right = targets.join(sizes, "list").select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.col("list").alias("list"), every("m").alias("a"), block("n").alias("b"))
-    answers = checkpointed(_ranked(_compared(left, right, ["list", "a", "b"], k + 1, False), k + 1))
+    answers = checkpointed(compared_in_lists(asking, targets, k + 1))
     first = placed.where("place = 1").select(F.col("id").alias("first"), "vector")
     own = rows.join(first, "vector").select("id", "first")
     found = _ranked(own.join(answers.select(F.col("id").alias("first"), "other", "similarity"), "first").where("id <> other").select("id", "other", "similarity"), k)
