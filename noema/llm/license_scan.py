@@ -148,8 +148,8 @@ class Templates:
             return False
         return marks == own_marks if families & {"cc", "bsd"} else not marks - own_marks
 
-    def best(self, text: str) -> tuple[float, str]:
-        """Largest cosine to a template, and the template's licence; ``UNKNOWN`` if what the candidate says of itself doesn't fit it, or no licence is ``margin`` ahead of all others."""
+    def best(self, text: str, least: float = 0.0) -> tuple[float, str]:
+        """Largest cosine to a template, and the template's licence (below ``least`` nothing is looked up and it is ``UNKNOWN``); ``UNKNOWN`` if what the candidate says of itself doesn't fit it, or no licence is ``margin`` ahead of all others."""
         c = Counter(_WORD.findall(text.lower()))
         known = {self.column[w]: n for w, n in c.items() if w in self.column}
         if not known:
@@ -158,6 +158,8 @@ class Templates:
         weights = np.fromiter(known.values(), np.float64) * self.idf[columns]
         length = float((weights * weights).sum() + sum((n * self.unknown) ** 2 for w, n in c.items() if w not in self.column)) ** 0.5
         cosine = self.matrix[:, columns] @ weights / length
+        if cosine.max() < least:
+            return float(cosine.max()), UNKNOWN
         by_name: dict[str, float] = {}
         for name, value in zip(self.names, cosine.tolist(), strict=True):
             if value > by_name.get(name, 0.0):
@@ -183,7 +185,7 @@ class Templates:
 
         blocks = [b for b in re.split(r"\n[ \t\r]*\n", text) if self.any.search(b)]
         for part in dict.fromkeys([*blocks, text]):
-            value, name = self.best(part)
+            value, name = self.best(part, threshold)
             if better(value, name):
                 best = (value, name, part)
         for k, line in enumerate(lines):
@@ -191,7 +193,7 @@ class Templates:
                 continue
             for n in range(1, most + 1):
                 part = " ".join(lines[k : k + n])
-                value, name = self.best(part)
+                value, name = self.best(part, threshold)
                 if better(value, name):
                     best = (value, name, part)
                 if k + n >= len(lines):
