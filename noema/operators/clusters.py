@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from noema.operators import vectors as V
 from noema.operators.common import checkpointed
+from noema.operators.forest import cuts, spanning
 
 CANDIDATE = "concept_id string, cluster_id string, score double, seen int, last_run string, excluded boolean"
 
@@ -18,23 +19,21 @@ def narrowed(groups: DataFrame, pairs: DataFrame, most: int = 25, base: float =
     """Groups (node, component) of at most ``most`` nodes.
 
     Larger ones fall apart along pairs at ever higher similarity, a quarter nearer to 1 at each
-    level; all of them take a level together. A part stays connected at the level that made it,
-    so going on from there is the same as starting over. What holds together to the last level is
-    cut into chunks of sorted ids.
+    level, and a part is done at the first level at which it is small enough. All levels are read
+    from one maximum spanning forest of the pairs inside of groups. What holds together to the last
+    level is cut into chunks of sorted ids.
     """
-    for level in range(1, levels + 1):
-        size = F.count("*").over(W.partitionBy("component"))
-        marked = checkpointed(groups.withColumn("size", size))
-        large = marked.where(F.col("size") > most).select("node", "component")
-        if large.isEmpty():
-            return marked.select("node", "component")
-        least = 1 - (1 - base) * 0.75**level
-        ends = large.withColumnRenamed("node", "other").withColumnRenamed("component", "peer")
-        inside = pairs.where(F.col("similarity") >= least).select("id", "other").join(large.withColumnRenamed("node", "id"), "id").join(ends, "other").where("component = peer")
-        parts = V.components(inside).withColumnRenamed("component", "part")
-        cut = large.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("component"))
-        groups = marked.where(F.col("size") <= most).select("node", "component").unionAll(cut)
-    return V.split_large(checkpointed(groups), most)
+    sized = checkpointed(groups.withColumn("size", F.count("*").over(W.partitionBy("component"))))
+    large = sized.where(F.col("size") > most).select("node", F.col("component").alias("group"))
+    ends = [large.select(F.col("node").alias(n), F.col("group").alias(f"{n}_group")) for n in ("id", "other")]
+    inside = pairs.select("id", "other", "similarity").join(ends[0], "id").join(ends[1], "other").where("id_group = other_group")
+    thresholds = [1 - (1 - base) * 0.75**level for level in range(1, levels + 1)]
+    parts = checkpointed(cuts(spanning(inside), thresholds).withColumn("size", F.count("*").over(W.partitionBy("level", "component"))))
+    # the levels at which a node's part is too large come first; after them it is small, or alone
+    held = parts.where(F.col("size") > most).groupBy("node").agg(F.max("level").alias("held"))
+    after = large.join(held, "node", "left").withColumn("level", F.least(F.coalesce("held", F.lit(0)) + 1, F.lit(levels)))
+    found = after.join(parts.select("node", "level", "component"), ["node", "level"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return V.split_large(checkpointed(sized.where(F.col("size") <= most).select("node", "component").unionAll(found)), most)
 
 
 def continued(groups: DataFrame, members: DataFrame) -> DataFrame:

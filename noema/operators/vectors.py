@@ -14,6 +14,8 @@ from noema.operators.common import checkpointed
 
 #: Vectors of a block in a comparison of all with all.
 BLOCK = 4096
+#: Links that one task can turn into components.
+SMALL = 100_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -178,9 +180,16 @@ def bands(pairs: DataFrame, candidate: float, automatic: float) -> DataFrame:
     return pairs.withColumn("band", band).where(F.col("band").isNotNull())
 
 
-def components(pairs: DataFrame, a: str = "id", b: str = "other", rounds: int = 60) -> DataFrame:
-    """Connected components of undirected pairs: node, component (its smallest node). Labels and their labels' labels in turn, checkpointed."""
-    links = checkpointed(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(pairs.select(F.col(b), F.col(a))).distinct())
+def components(pairs: DataFrame, a: str = "id", b: str = "other", rounds: int = 60, small: int = SMALL) -> DataFrame:
+    """Connected components of undirected pairs: node, component (its smallest node).
+
+    Labels and their labels' labels in turn, each round a written table. At most ``small`` pairs are one task's work.
+    """
+    given = checkpointed(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct())
+    kind = given.schema["x"].dataType.simpleString()
+    if given.limit(small + 1).count() <= small:
+        return given.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_joined, f"node {kind}, component {kind}")
+    links = checkpointed(given.unionAll(given.select("y", "x")).distinct())
     label = checkpointed(links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("component")))
     for _ in range(rounds):
         near = links.join(label, links["y"] == label["node"]).groupBy("x").agg(F.min("component").alias("near"))
@@ -193,6 +202,26 @@ def components(pairs: DataFrame, a: str = "id", b: str = "other", rounds: int =
     raise RuntimeError("components did not settle")
 
 
+def _joined(key: tuple, table: pa.Table) -> pa.Table:
+    """Nodes of a table of links with the smallest node of their component."""
+    ends = [table.column(c).to_pylist() for c in ("x", "y")]
+    order = (lambda v: tuple(v.values())) if ends[0] and isinstance(ends[0][0], dict) else (lambda v: v)
+    nodes = sorted({order(v): v for side in ends for v in side}.items())
+    place = {name: k for k, (name, _) in enumerate(nodes)}
+    root = list(range(len(nodes)))
+
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for x, y in zip(*ends, strict=True):
+        m, n = top(place[order(x)]), top(place[order(y)])
+        root[max(m, n)] = min(m, n)  # places are in the order of nodes
+    kind = table.schema.field("x").type
+    return pa.table({"node": pa.array([v for _, v in nodes], kind), "component": pa.array([nodes[top(k)][1] for k in range(len(nodes))], kind)})
+
+
 def mean_similarity(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mean similarity of each member inside of its component; a pair counts for both ends, a mutual pair twice: node, component, similarity."""
     ends = pairs.select(F.col("id").alias("node"), F.col("other").alias("peer"), "similarity").unionAll(pairs.select("other", "id", "similarity"))
