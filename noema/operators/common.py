@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,6 +30,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sums(rows: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``rows`` with sums over all rows before each in an order that tells them apart: ``values`` maps new columns to the columns summed.
+
+    Sums inside of the parts of a range-partitioned table, and one row of totals a part from the driver: no task sorts or sums everything.
+    """
+    spark = rows.sparkSession
+    placed = checkpointed(rows.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id()))
+    kinds = {n: placed.agg(F.sum(c).alias(n)).schema[n].dataType.simpleString() for n, c in values.items()}
+    totals = placed.groupBy("part_").agg(*(F.sum(c).alias(n) for n, c in values.items())).orderBy("part_").collect()
+    base, table = dict.fromkeys(values, None), []
+    for row in totals:
+        table.append((row["part_"], *base.values()))
+        base = {n: (base[n] or 0) + (row[n] or 0) for n in values}
+    bases = F.broadcast(spark.createDataFrame(table, ", ".join(["part_ int", *(f"base_{n} {k}" for n, k in kinds.items())])))
+    before = Window.partitionBy("part_").orderBy("place_").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    summed = placed.join(bases, "part_").withColumns({n: F.coalesce(F.sum(c).over(before), zero) + F.coalesce(f"base_{n}", zero) for n, c in values.items()})
+    return summed.select(*rows.columns, *values)
+
+
 def both_ends(edges: DataFrame) -> DataFrame:
     """Every edge seen from either end: id, other, kind. An OR-join on both ends becomes an equi-join with this."""
     return edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), "kind").unionAll(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), "kind"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,31 @@ def clustering_run(spark, sf_dir):
     return clusters.run(v, *none, "first", least=0.35).groups
 
 
+_GROUPED = "WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), pairs AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.vector, b.vector) AS similarity FROM v a JOIN v b ON a.id <> b.id), knn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, 'v:' || other) AS rank FROM pairs QUALIFY rank <= 8), links AS (SELECT 'v:' || id AS x, 'v:' || other AS y FROM knn WHERE similarity >= 0.35 UNION SELECT 'v:' || other, 'v:' || id FROM knn WHERE similarity >= 0.35), walk(node, seen) AS (SELECT x, x FROM links UNION SELECT w.node, l.y FROM walk w JOIN links l ON l.x = w.seen), g AS (SELECT node, min(seen) AS component FROM walk GROUP BY node), large AS (SELECT component FROM g GROUP BY component HAVING count(*) >= 3) "
+
+
+@query(_GROUPED + "SELECT 'cluster:' || substr(sha256('first/' || component), 1, 16) AS cluster_id, node AS concept_id, 'first' AS made_by, 2 AS runs FROM g JOIN large USING (component)", on_graph=False)
+def clustered_members(spark, sf_dir):
+    """Members that two clustering runs have written: the first only notes candidates, the second finds them again and makes them members."""
+    table = _table(spark, sf_dir, "embeddings").select(_named("v", "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    null = F.lit(None).cast("string")
+    concepts = table.select("id", F.lit("shared").alias("store"), F.lit("all").alias("scope"), F.lit("Note").alias("type"), F.concat(F.lit("note "), "id").alias("title"), null.alias("description"), null.alias("body"), null.alias("resource"), F.array().cast("array<string>").alias("tags"), F.lit("active").alias("status"), null.alias("source_name"), F.lit(False).alias("curated"), F.lit(False).alias("verified"), null.alias("content_hash"), F.to_timestamp(F.lit("2026-01-01")).alias("updated_at"))
+    start = pipelines.empty(spark)
+    g = replace(start, concepts=concepts, embeddings=table.select("id", F.lit("m").alias("model_key"), "vector", null.alias("source_hash")))
+    for run in ("first", "second"):
+        g, _ = pipelines.cluster(g, "all", "m", run, "2026-01-01", least=0.35, largest=1_000_000)
+    made = g.journal.where("change = 'created'").select("concept_id", F.col("detail")["run"].alias("made_by"))
+    members = g.edges.where("kind = 'member' and generated_by = 'clustering'").select(F.col("from_id").alias("cluster_id"), F.col("to_id").alias("concept_id"))
+    return members.join(made.withColumnRenamed("concept_id", "cluster_id"), "cluster_id").withColumn("runs", F.lit(g.runs.where("status = 'succeeded'").count()))
+
+
+@query("WITH r AS (SELECT 'k' || event_id AS key, (event_id % 10) / 4.0::DOUBLE AS cost FROM events), s AS (SELECT key, 7 + row_number() OVER (ORDER BY key) - 1 AS calls, coalesce(sum(cost) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_cost FROM r) SELECT key, before_cost, calls >= 900 OR before_cost + 1.5 >= 500 AS exceeded FROM s", on_graph=False)
+def budgeted_requests(spark, sf_dir):
+    """Which requests a budget of calls and costs stops, by sums over all before them."""
+    asked = _table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), ((F.col("event_id") % 10) / F.lit(4.0)).alias("cost"))
+    return models.budgeted(asked, 7, 1.5, 900, 500.0).select("key", "before_cost", "exceeded")
+
+
 _CENTERS = "WITH cells AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings), c AS (SELECT label AS id, list(m ORDER BY place) AS vector FROM (SELECT label, place, avg(x) AS m FROM cells GROUP BY ALL) GROUP BY label), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1) "
 
 
