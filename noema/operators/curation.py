@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noema.functions.scalars import content_hash
 from noema.operators import clusters
+from noema.operators.common import checkpointed
 from noema.operators.records import appended
 
 KEY = ["from_store", "from_id", "to_store", "to_id", "kind"]
@@ -257,6 +259,74 @@ def undo(state: State, entry: int, *, actor: str, now: str) -> State:
     return _noted(out, note, concept, extra | {"undo_of": entry}, actor, now)
 
 
+#: Entries that made an edge, and those that took one away.
+MADE, TAKEN = ("edge_added", "cluster_assigned"), ("edge_removed", "rejected", "cluster_removed")
+
+
+def undo_all(state: State, entries: DataFrame, *, actor: str, now: str, noted: bool = True) -> State:
+    """Takes many journal entries (``entry``) back at once, as ``undo`` does from the newest to the oldest; one join for all of them.
+
+    Whether an edge is there in the end, and with which fields, follows from its oldest entry that made
+    or removed it, as that one is undone last. Entries of one edge have to fit each other and what is
+    there now. Contents, merges and whatever else ``undo`` refuses are refused here, and nothing is undone.
+    The journal gets an entry for each, unless it is not ``noted``.
+    """
+    asked = entries.select("entry").distinct()
+    found = checkpointed(state.journal.join(asked, "entry"))
+    keyed = reduce(lambda a, b: a & b, (F.col("detail")[k].isNotNull() for k in KEY))
+    made, taken = F.col("change").isin(*MADE) & keyed, F.col("change").isin(*TAKEN) & keyed
+    verified, created = (F.col("change") == "verified") & keyed, F.col("change") == "created"
+    status = (F.col("change") == "status_changed") & F.col("detail")["previous_status"].isNotNull()
+    wrong = found.where(~F.coalesce(made | taken | verified | created | status, F.lit(False))).agg(F.count("*"), F.min("change")).first()
+    if asked.count() != found.count() or wrong[0]:
+        raise CurationError(f"a change of kind {wrong[1]} can't be taken back" if wrong[0] else "an entry doesn't exist")
+
+    # edges: places of entries on the way back, and whether the edge is there before each of them is undone
+    on_edges = found.where(made | taken | verified).select(*(F.col("detail")[k].alias(k) for k in KEY), "entry", "detail", made.alias("goes"), taken.alias("comes"))
+    there = state.edges.select(*KEY).distinct().withColumn("now", F.lit(True))
+    back = Window.partitionBy(*KEY).orderBy(F.desc("entry"))
+    steps = on_edges.join(there, KEY, "left").withColumn("present", F.coalesce(F.last(F.when(F.col("goes"), False).when(F.col("comes"), True), True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "now", F.lit(False)))
+    if not steps.where(F.col("present") == F.col("comes")).isEmpty():
+        raise CurationError("an edge that should be there is missing, or one that shouldn't be is there")
+    ends = checkpointed(steps.groupBy(*KEY).agg(
+        F.min(F.when(F.col("goes") | F.col("comes"), F.col("entry"))).alias("oldest"),
+        F.min_by(F.struct("comes", "detail"), F.when(F.col("goes") | F.col("comes"), F.col("entry"))).alias("to"),
+        F.min(F.when(~F.col("goes") & ~F.col("comes"), F.col("entry"))).alias("unverified"),
+    ))
+    number = lambda c: F.col("to.detail")[c].cast("double").alias(c)
+    flag = lambda c, d: (F.coalesce(F.col("to.detail")[c], F.lit(d)) == "True").alias(c)
+    still = F.col("unverified").isNull() | (F.col("unverified") > F.col("oldest"))
+    new = ends.where("to.comes").select(*KEY, number("weight"), number("confidence"), flag("generated", "False"), flag("curated", "True"), (flag("verified", "True") & still).alias("verified"))
+    kept = state.edges.join(ends.select(*KEY, "oldest", "unverified"), KEY, "left").where("oldest is null").withColumn("verified", F.col("verified") & F.col("unverified").isNull())
+    returned = on_edges.where("comes").select(*KEY).distinct()
+    lifted = on_edges.where("comes").join(found.where("change = 'cluster_removed'").select("entry"), "entry", "left_semi").select(F.col("to_id").alias("concept_id"), F.col("from_id").alias("cluster_id")).distinct()
+
+    # concepts: those that were made go, a status is that before its oldest change
+    gone = found.where(created).select(F.col("concept_id").alias("id")).distinct()
+    before = found.where(status).groupBy(F.col("concept_id").alias("id")).agg(F.min_by(F.col("detail")["previous_status"], "entry").alias("was"))
+    named = gone.unionAll(before.select("id")).distinct()
+    if not named.join(state.concepts.select("id"), "id", "left_anti").isEmpty():
+        raise CurationError("a concept doesn't exist")
+    concepts = state.concepts.join(gone, "id", "left_anti").join(before, "id", "left").withColumn("status", F.coalesce("was", "status")).select(*state.concepts.columns)
+    out = replace(state, concepts=concepts, edges=kept.select(*state.edges.columns).unionByName(new.select(*state.edges.columns)), rejections=state.rejections.join(returned, KEY, "left_anti").select(*state.rejections.columns), candidates=clusters.include(state.candidates, lifted).select(*state.candidates.columns))
+    if not noted:
+        return out
+    note = F.when(F.col("change").isin(*MADE), "edge_removed").when(F.col("change").isin(*TAKEN), "edge_added").when(F.col("change") == "verified", "verification_removed").otherwise("status_changed")
+    later = F.last("was", ignorenulls=True).over(Window.partitionBy("concept_id").orderBy(F.desc("entry")).rowsBetween(Window.unboundedPreceding, -1))
+    statuses = found.withColumn("was", F.when(status, F.col("detail")["previous_status"])).join(state.concepts.groupBy(F.col("id").alias("concept_id")).agg(F.min("status").alias("current")), "concept_id", "left").withColumn("then", F.when(status, F.coalesce(later, "current")))
+    of = F.create_map(F.lit("undo_of"), F.col("entry").cast("string"))
+    edge = F.map_filter("detail", lambda k, _: k.isin(*KEY))
+    detail = F.when(F.col("change") == "created", F.map_concat(of, F.create_map(F.lit("deleted"), F.lit("True")))).when(F.col("then").isNotNull(), F.map_concat(of, F.create_map(F.lit("previous_status"), F.col("then")))).otherwise(F.map_concat(of, edge))
+    rows = statuses.select(F.lit(0).cast("long").alias("entry"), note.alias("change"), "concept_id", detail.alias("detail"), F.lit(actor).alias("actor"), F.to_timestamp(F.lit(now)).alias("changed_at"))
+    return replace(out, journal=appended(state.journal, rows, "entry", [F.col("detail")["undo_of"].cast("long").desc()]))
+
+
+def as_of(state: State, entry: int) -> State:
+    """The state after ``entry``: all later ones taken back, of which nothing is noted and which the journal no longer has."""
+    later = state.journal.where(F.col("entry") > entry).select("entry")
+    return replace(undo_all(state, later, actor="", now="1970-01-01", noted=False), journal=state.journal.where(F.col("entry") <= entry))
+
+
 def history(journal: DataFrame, concept_id: str | None = None, limit: int = 100) -> DataFrame:
     """Entries of a concept or of all, newest first."""
     rows = journal if concept_id is None else journal.where(F.col("concept_id") == concept_id)

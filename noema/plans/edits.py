@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.operators import curation
+from noema.operators.common import checkpointed
 from noema.plans import graph
 from noema.plans.registration import query
 
@@ -24,6 +25,11 @@ def _state(spark: SparkSession, sf_dir: str) -> curation.State:
     return curation.State(concepts, edges, bare.rejections, bare.candidates, bare.journal)
 
 
+def _written(state: curation.State) -> curation.State:
+    """The state with its tables written, so that edits don't pile up in a plan."""
+    return curation.State(*(checkpointed(df) for df in (state.concepts, state.edges, state.rejections, state.candidates, state.journal)))
+
+
 def _key(from_id: str, to_id: str, kind: str, from_store: str = "shared", to_store: str = "shared") -> dict[str, str]:
     return {"from_store": from_store, "from_id": from_id, "to_store": to_store, "to_id": to_id, "kind": kind}
 
@@ -75,6 +81,16 @@ def undone_edits(spark, sf_dir):
     return _edge_rows(state)
 
 
+@query(f" SELECT {_EDGES} FROM edges WHERE kind <> 'member' UNION ALL SELECT from_store, from_id, to_store, to_id, kind, TRUE, TRUE FROM edges WHERE kind = 'member'")
+def undone_at_once(spark, sf_dir):
+    """All members of all regions taken out, and all of these entries taken back in one join."""
+    state = _written(_state(spark, sf_dir))
+    for k in range(5):
+        members = state.edges.where(f"kind = 'member' and from_id = 'region:{k}'").select(F.col("to_id").alias("id"))
+        state = _written(curation.remove_members(state, f"region:{k}", "shared", members, **WHEN))
+    return _edge_rows(curation.undo_all(state, state.journal.where("change = 'cluster_removed'").select("entry"), **WHEN))
+
+
 @query(" SELECT id, type, status, curated FROM concepts")
 def undone_statuses(spark, sf_dir):
     """A status put back, and a concept that was created gone again."""

@@ -292,7 +292,7 @@ def relation_run(spark, sf_dir):
         return json.dumps({"relationship": "none" if total % 3 else "depends_on", "direction": "a_to_b", "confidence": 0.2 if total % 2 else 0.9})
 
     before = pipelines.Graph(concepts, members, none.rejections, vectors_, none.cache, none.cursors, none.runs)
-    after = pipelines.relate(before, "s", "m", ask, ["depends_on"], "relate-1", "2021-01-01 00:00:00", similar=0.1)[0]
+    after = pipelines.relate(before, "s", "m", ask, ["depends_on"], "relate-1", "2021-01-01 00:00:00", similar=0.1, limits=pipelines.Limits(calls=1 << 40, cost=0.0))[0]
     return after.edges.where("kind = 'depends_on'").select("from_id", "to_id")
 
 
@@ -301,5 +301,5 @@ def orphan_run(spark, sf_dir):
     """Edges that a run of orphans makes from identifiers in texts, all concepts without an edge so far; its model knows nothing."""
     before = _synced(spark, sf_dir)
     bare = pipelines.Graph(before.concepts, before.edges.limit(0), before.rejections, before.embeddings, before.cache, before.cursors, before.runs)
-    after = pipelines.link_orphans(bare, "catalog", "m", lambda prompt: "{}", ["depends_on"], "orphans-1", "2021-01-01 00:00:00", patterns=[r"KEY-\d+"], wait=0.0)[0]
+    after = pipelines.link_orphans(bare, "catalog", "m", lambda prompt: "{}", ["depends_on"], "orphans-1", "2021-01-01 00:00:00", patterns=[r"KEY-\d+"], wait=0.0, limits=pipelines.Limits(calls=1 << 40, cost=0.0))[0]
     return after.edges.select("from_id", "to_id")

@@ -41,7 +41,17 @@ def wiki_pages(spark: SparkSession, path: str, *, spaces: Sequence[str] = (), si
     links name, by id or by space and title among all pages that were read; a title that no page has
     costs the reference, not the document.
     """
-    raw = _pages(spark, path, spaces)
+    return wiki_documents(_pages(spark, path, spaces), since=since, exclude_tags=exclude_tags, web=web, prefix=prefix)
+
+
+def parsed(objects: DataFrame, schema: str) -> DataFrame:
+    """Objects that a server gave as JSON (id, value) in the columns of ``schema`` (PAGE or ISSUE), one an id; ``wiki_documents`` and ``issue_documents`` take them on."""
+    one = objects.groupBy("id").agg(F.max("value").alias("value"))
+    return one.select(F.from_json("value", schema).alias("o")).select("o.*")
+
+
+def wiki_documents(raw: DataFrame, *, since: str | None = None, exclude_tags: Sequence[str] = (), web: str = "", prefix: str = "page") -> DataFrame:
+    """``wiki_pages`` of pages that have been read (columns of PAGE)."""
     names = F.transform(F.coalesce(F.try_variant_get("metadata", "$.labels.results", "array<struct<name:string>>"), F.try_variant_get("metadata", "$.labels", "array<struct<name:string>>")), lambda x: x["name"])
     targets = page_references(raw.select("id", F.col("space.key").alias("space"), "title", F.col("body.storage.value").alias("body")), prefix)
     refs = targets.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("target", F.lit("references").alias("kind")))).alias("references"))
@@ -77,6 +87,11 @@ def issues(spark: SparkSession, path: str, prefix: str = "issue", web: str = "",
     name by id are referenced too.
     """
     raw = spark.read.schema(ISSUE).option("multiLine", True).json(path)
+    return issue_documents(raw, prefix, web, projects=projects, statuses=statuses, since=since, exclude_tags=exclude_tags, pages=pages)
+
+
+def issue_documents(raw: DataFrame, prefix: str = "issue", web: str = "", *, projects: Sequence[str] = (), statuses: Sequence[str] = (), since: str | None = None, exclude_tags: Sequence[str] = (), pages: str | None = None) -> DataFrame:
+    """``issues`` that have been read (columns of ISSUE)."""
     for values, column in ((projects, "fields.project.key"), (statuses, "fields.status.name")):
         raw = raw.where(F.col(column).isin(*values)) if values else raw
     remote = F.transform("fields.remotelinks", lambda x: F.coalesce(F.nullif(F.regexp_extract(x["globalId"], r"pageId=(\d+)", 1), F.lit("")), page_of_link(x["object"]["url"])))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.operators.merge import merged
+from noema.sources.buckets import Buckets
 
-#: Columns of a concept, and batches after which the present concepts are written as one.
+#: Columns of a concept.
 CONCEPT = "id string, store string, scope string, type string, title string, description string, body string, resource string, tags array<string>, status string, source_name string, curated boolean, verified boolean, content_hash string, updated_at timestamp"
-COMPACT = 20
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -23,48 +23,31 @@ def usage_windows(stream: DataFrame, window: str = "1 hour", late: str = "10 min
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def ingest(drafts: DataFrame, state: str, checkpoint: str, mirrored: bool = False):
+def ingest(drafts: DataFrame, state: str, checkpoint: str, mirrored: bool = False, buckets: int = 64):
     """Merges a stream of drafts (as for ``merged``) into the concepts under ``state``.
 
-    Each batch writes the concepts that it changed to ``state/concepts/batch=N`` and what became of
-    its drafts to ``state/journal/batch=N``, both from one judgement of each draft; a batch that runs
+    Concepts lie in ``buckets`` by id, and a batch reads and writes those of its drafts alone. What
+    became of the drafts goes to ``state/journal/batch=N``, from the same judgement; a batch that runs
     again after a failure overwrites its own files. Times come from the drafts (the largest
-    ``updated_at`` of the batch), so that it makes the same rows. Every COMPACT batches the present
-    concepts are written as one, and reading starts from there.
+    ``updated_at`` of the batch), so that it makes the same rows.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        table = concepts(batch.sparkSession, state, buckets)
         batch = batch.persist()
         now = batch.agg(F.coalesce(F.max("updated_at"), F.to_timestamp(F.lit("1970-01-01"))).cast("string")).first()[0]
-        before = current(spark, state, number)
-        judged = merged(before, batch.drop("updated_at"), now, mirrored).where("outcome is not null")
-        judged.write.mode("overwrite").parquet(f"{state}/judged/batch={number}")
-        judged = spark.read.parquet(f"{state}/judged/batch={number}")
-        judged.select("id", "outcome", "held_back", "verification_reset", "content_hash").write.mode("overwrite").parquet(f"{state}/journal/batch={number}")
-        judged.where("outcome <> 'unchanged'").drop("outcome", "held_back", "verification_reset").write.mode("overwrite").parquet(f"{state}/concepts/batch={number}")
-        if number % COMPACT == COMPACT - 1:
-            current(spark, state, number + 1).write.mode("overwrite").parquet(f"{state}/compact/batch={number}")
+        judged = table.merge(number, batch, lambda before, drafts: merged(before, drafts.drop("updated_at"), now, mirrored))
+        judged.where("outcome is not null").select("id", "outcome", "held_back", "verification_reset", "content_hash").write.mode("overwrite").parquet(f"{state}/journal/batch={number}")
         batch.unpersist()
 
     return drafts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CONCEPT + ", batch int").parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], CONCEPT + ", batch int")
+def concepts(spark: SparkSession, state: str, buckets: int = 64) -> Buckets:
+    """The concepts under ``state``; always with the same number of buckets."""
+    return Buckets(spark, f"{state}/concepts", CONCEPT, "id", buckets)
 
 
 def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    """Concepts under ``state``, as of the batches ``before`` a number: the last compacted ones, and what later batches changed."""
-    until = F.lit(True) if before is None else F.col("batch") < before
-    compact = _rows(spark, f"{state}/compact").where(until)
-    last = compact.agg(F.max("batch")).first()[0]
-    base = compact.where(F.col("batch") == (-1 if last is None else last))
-    rows = _rows(spark, f"{state}/concepts").where(until & (F.col("batch") > (-1 if last is None else last)))
-    names = [f.name for f in rows.schema if f.name not in ("id", "batch")]
-    return base.unionByName(rows).groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("c")).select("id", "c.*")
+    """Concepts under ``state``, as of the batches ``before`` a number."""
+    return concepts(spark, state).read(before)

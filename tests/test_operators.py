@@ -99,8 +99,7 @@ def test_readers(spark, tmp_path):
 DRAFT = "id string, store string, scope string, type string, title string, description string, body string, resource string, tags array<string>, status string, source_name string, updated_at timestamp"
 
 
-def test_streaming_ingest(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest, "COMPACT", 2)
+def test_streaming_ingest(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
 
     def draft(key, title, tags=("t",), status="active", day="2026-01-01"):
@@ -117,7 +116,8 @@ def test_streaming_ingest(spark, tmp_path, monkeypatch):
     assert {k: (r["title"], r["tags"], r["status"]) for k, r in got.items()} == {"a": ("u", ["t", "v"], "active"), "b": ("x", ["t"], "active"), "c": ("gone", ["t"], "tombstone")}
     assert got["a"]["updated_at"].month == 2
     assert sorted((r["batch"], r["id"], r["outcome"]) for r in spark.read.parquet(state + "/journal").collect()) == [(0, "a", "created"), (1, "a", "updated"), (1, "b", "created"), (2, "b", "unchanged"), (2, "c", "created")]
-    assert spark.read.parquet(state + "/compact").select("batch").distinct().count() == 1
+    again = {r["id"]: r["title"] for r in ingest.current(spark, state, 1).collect()}
+    assert again == {"a": "t"}
 
 
 def test_stores_of_any_number_of_starts_are_entered(spark):
@@ -148,3 +148,22 @@ def test_neighbours_of_null_and_equal_vectors(spark):
     for r in vectors.neighbours(rows, 3).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["other"]))
     assert set(got) == {*range(40), 60} and sorted(got[5]) == [(1, 0), (2, 1), (3, 2)] and sorted(got[1]) == [(1, 0), (2, 2), (3, 3)]
+
+
+def test_a_merge_touches_only_its_buckets(spark, tmp_path):
+    from noema.sources.buckets import Buckets
+
+    table = Buckets(spark, str(tmp_path / "state"), "id string, n long", count=16)
+    put = lambda before, batch: before.unionByName(batch).groupBy("id").agg(F.max("n").alias("n"))
+    batch = lambda rows: spark.createDataFrame(rows, "id string, n long")
+    table.merge(0, batch([(f"k{k}", 0) for k in range(200)]), put)
+    first = table.manifest()
+    assert set(first.values()) == {0} and len(first) == 16
+    for _ in range(2):  # a batch that runs again makes the same rows
+        table.merge(1, batch([("k1", 5), ("new", 6), ("k1", 3)]), put)
+        now = table.manifest()
+        assert 1 <= sum(v == 1 for v in now.values()) <= 2
+        opened = table.read(1, [b for b, v in now.items() if v == 1]).inputFiles()
+        assert len({f.split("bucket=")[1].split("/")[0] for f in opened}) == sum(v == 1 for v in now.values())
+        assert {r["id"]: r["n"] for r in table.read().collect()} == {f"k{k}": 0 for k in range(200)} | {"k1": 5, "new": 6}
+    assert table.read(1).count() == 200 and table.merge(2, batch([]), put).count() == 0 and table.read().count() == 201

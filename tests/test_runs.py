@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noema.operators.common import checkpointed
 from noema.operators import clusters, curation, models, relations, vectors
 from noema.sources import snapshots
 
@@ -224,3 +225,52 @@ def test_approximate_neighbours_of_little(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<double>")
     assert vectors.approximate(df, 3).count() == 0
     assert vectors.approximate(df.limit(0), 3).columns == vectors.approximate(df, 3).columns
+
+
+def _whole(state):
+    columns = [c for c in state.edges.columns]
+    notes = sorted((r["change"], r["concept_id"], tuple(sorted(r["detail"].items()))) for r in state.journal.collect())
+    return sorted(map(tuple, state.edges.select(*columns).collect()), key=str), sorted((r["id"], r["status"]) for r in state.concepts.collect()), sorted(map(str, state.rejections.collect())), sorted((r["concept_id"], r["excluded"]) for r in state.candidates.collect()), notes
+
+
+def test_many_undone_at_once_as_one_by_one(state, spark):
+    one = curation.add_edge(state, key("note:a", "note:b"), **WHEN)  # 3
+    one = curation.verify_edge(one, key("note:a", "note:b"), **WHEN)  # 4
+    one = curation.reject_edge(one, key("note:a", "note:b"), "no", **WHEN)  # 5
+    one = curation.patch_concept(one, "note:a", {"status": "archived"}, **WHEN)  # 6
+    one = curation.add_edge(one, key("note:a", "note:b"), **WHEN)  # 7
+    one = curation.patch_concept(one, "note:a", {"status": "active"}, **WHEN)  # 8
+    one = curation.create_concept(one, "note:c", "s", "Note", "c", **WHEN)  # 9
+    one = curation.State(*(checkpointed(df) for df in (one.concepts, one.edges, one.rejections, one.candidates, one.journal)))
+    for chosen in ([7, 5], [9, 8, 7, 6, 5, 4, 3], [8], [8, 7, 6]):
+        slow = one
+        for entry in sorted(chosen, reverse=True):
+            slow = curation.undo(slow, entry, **WHEN)
+        fast = curation.undo_all(one, spark.createDataFrame([(e,) for e in chosen], "entry long"), **WHEN)
+        a, b = _whole(fast), _whole(slow)
+        assert a[:4] == b[:4]
+        assert sorted(set(a[4]) ^ set(b[4])) == []
+    early = curation.as_of(one, 2)
+    assert _whole(early) == _whole(state) and early.journal.count() == 2
+    for wrong in ([5], [77], [9, 77]):
+        with pytest.raises(curation.CurationError):
+            curation.undo_all(one, spark.createDataFrame([(e,) for e in wrong], "entry long"), **WHEN)
+    two = curation.patch_concept(one, "note:a", {"title": "other"}, **WHEN)
+    with pytest.raises(curation.CurationError):
+        curation.as_of(two, 3)
+
+
+def test_heavy_tokens_as_memberships(spark):
+    from noema.operators import relations
+
+    rows = [(f"c{k}", f"KEY-1 and KEY-{k % 7 + 10}") for k in range(150)]
+    concepts = spark.createDataFrame(rows, "id string, body string")
+    loose = concepts.where("id < 'c3'").select("id")
+    names = [r["id"] for r in loose.collect()]
+    pairs, heavy = relations.text_links(loose, concepts, [r"KEY-\d+"], most=30)
+    assert pairs.count() < heavy.count() * 22 and heavy.count() == 150 and heavy.where("asks").count() == len(names)
+    want = {(a, b) for a in names for b, _ in rows if a != b}
+    assert {tuple(r) for r in relations.expanded(heavy).collect()} == want
+    assert {tuple(r) for r in relations.text_matches(loose, concepts, [r"KEY-\d+"], most=30).collect()} == want == {tuple(r) for r in relations.text_matches(loose, concepts, [r"KEY-\d+"]).collect()}
+    # in a hot token, the rows grow as the concepts do
+    assert relations.text_links(loose, concepts.where("id <> 'c149'"), [r"KEY-\d+"], most=30)[1].count() == 149
