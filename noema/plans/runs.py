@@ -250,11 +250,11 @@ def page_markdown(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", markup.storage_markdown("html").alias("text"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as documents, each with a reference to the next in its body; every third is missing."""
+def _documents(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Parts as documents, each with a reference to the next in its body; every third is missing, unless ``every`` one is asked for."""
     k, null = F.col("p_partkey"), F.lit(None).cast("string")
     refs = F.array().cast("array<struct<target:string,kind:string>>")
-    return _table(spark, sf_dir, "part").where(k % 3 != 0).select(k.cast("string").alias("external_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.concat(F.lit("see [[part:"), (k + 1).cast("string"), F.lit("]] KEY-"), F.floor(k / 5).cast("string")).alias("body"), null.alias("url"), F.array().cast("array<string>").alias("tags"), F.to_timestamp(F.lit("2020-01-01")).alias("updated_at"), refs.alias("references"))
+    return _table(spark, sf_dir, "part").where(F.lit(every) | (k % 3 != 0)).select(k.cast("string").alias("external_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.concat(F.lit("see [[part:"), (k + 1).cast("string"), F.lit("]] KEY-"), F.floor(k / 5).cast("string")).alias("body"), null.alias("url"), F.array().cast("array<string>").alias("tags"), F.to_timestamp(F.lit("2020-01-01")).alias("updated_at"), refs.alias("references"))
 
 
 def _synced(spark: SparkSession, sf_dir: str) -> pipelines.Graph:
@@ -267,6 +267,30 @@ def sync_run(spark, sf_dir):
     return _synced(spark, sf_dir).edges.select("from_id", "to_id", "resolved", "generated_by")
 
 
+def _resynced(spark: SparkSession, sf_dir: str) -> pipelines.Graph:
+    """A second synchronisation: of the parts so far every fifth has changed since the cursor, others are new, every seventh is deleted, and even ones have been curated."""
+    first, k = _synced(spark, sf_dir), F.regexp_extract("external_id", r"(\d+)", 1).cast("long")
+    before = replace(first, concepts=first.concepts.withColumn("curated", F.regexp_extract("id", r"(\d+)", 1).cast("long") % 2 == 0))
+    part = _table(spark, sf_dir, "part")
+    docs = _documents(spark, sf_dir, every=True).withColumn("body", F.concat("body", F.lit("!")))
+    later = docs.withColumn("updated_at", F.when((k % 5 == 0) | (k % 3 == 0), F.to_timestamp(F.lit("2021-06-01"))).otherwise(F.to_timestamp(F.lit("2020-01-01"))))
+    gone = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").cast("string").alias("external_id"))
+    source = pipelines.Source("erp", "part", "catalog", "Part", known=("part",))
+    once, _ = pipelines.sync(before, later, source, "sync-2", "2021-07-01 00:00:00", deleted=gone)
+    # again from the start: what is held back is known by now
+    return pipelines.sync(once, later, source, "sync-3", "2021-07-02 00:00:00", full=True)[0]
+
+
+_SECOND = "WITH p AS (SELECT p_partkey AS k, p_partkey % 3 <> 0 AS old, p_partkey % 5 = 0 OR p_partkey % 3 = 0 AS seen FROM part) "
+
+
+@query(_SECOND + "SELECT 'part:' || k AS concept_id, 'conflict' AS change, CASE WHEN k % 7 = 0 AND k % 5 <> 0 THEN 'body,status' ELSE 'body' END AS what FROM p WHERE old AND k % 2 = 0 UNION ALL SELECT 'part:' || k, 'status_changed', 'active' FROM p WHERE k % 7 = 0 AND (old OR seen)", on_graph=False)
+def resync_journal(spark, sf_dir):
+    """What the later synchronisations note: each conflict once, although the third meets it again, and each deletion."""
+    found = _resynced(spark, sf_dir).journal
+    return found.select("concept_id", "change", F.coalesce(F.col("detail")["fields"], F.col("detail")["previous_status"]).alias("what"))
+
+
 @query("SELECT 'part:' || p_partkey AS id, sha256(p_name || chr(30) || p_type || chr(30) || 'see [[part:' || (p_partkey + 1) || ']] KEY-' || (p_partkey // 5)) AS source_hash FROM part WHERE p_partkey % 3 <> 0", on_graph=False)
 def embedding_run(spark, sf_dir):
     """Vectors of all concepts after a synchronisation, with the content that they stand for."""
