@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import scalars
-from noema.operators import catalogue, merge, search, text_index, traverse, vector_index, vectors
-from noema.operators.common import scratch
+from noema.operators import catalogue, incremental, merge, search, text_index, traverse, vector_index, vectors
+from noema.operators.common import checkpointed, scratch
 from noema.plans import edits, graph, runs, tables
 from noema.plans.registration import ORACLES, QUERIES, Query, query
 
@@ -285,6 +285,16 @@ def component_chunks(spark, sf_dir):
     return vectors.split_large(vectors.components(vectors.neighbours(_vectors(spark, sf_dir), 8, 0.35)), 25)
 
 
+@query(_COMPONENTS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 11 <> 3)", 1) + "SELECT node, component FROM groups", on_graph=False)
+def updated_components(spark, sf_dir):
+    """Components after every eleventh vector has gone and another has changed back from other values, from those before."""
+    after = _vectors(spark, sf_dir).where("id % 11 <> 3")
+    before = _vectors(spark, sf_dir).where("id % 13 <> 1").withColumn("vector", F.when(F.col("id") % 11 == 5, F.reverse("vector")).otherwise(F.col("vector")))
+    pairs = checkpointed(vectors.neighbours(before, 8, 0.35))
+    new, _ = incremental.updated_neighbours(pairs, before, after, 8, 0.35)
+    return incremental.updated_components(vectors.components(pairs), pairs, new)
+
+
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
 _SIMILAR = ", t AS (SELECT id, " + _TRIGRAMS.format("title") + " AS a, " + _TRIGRAMS.format("'red widgets'") + " AS b FROM concepts WHERE status <> 'tombstone'), s AS (SELECT id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM t WHERE len(list_concat(a, b)) > 0), g AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= 0.3 QUALIFY rank <= 20)"
 _PLACES = "list_filter(range(1, len(words) + 1), lambda k: words[k] = {0})[1:255]"
