@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noema.operators import vectors as V
@@ -83,8 +83,24 @@ def similar(embeddings: DataFrame, concepts: DataFrame, concept_id: str, model:
     return near(embeddings, concepts, own or [0.0], model, limit if own else 0, exclude=alone)
 
 
+def _json(rows: DataFrame, leave: tuple[str, ...] = ()) -> Column:
+    """All columns but some as JSON, nulls too; times as ISO texts in UTC and decimals as numbers."""
+    kinds = dict(rows.dtypes)
+    fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if kinds[c] == "timestamp" else F.col(c).cast("double").alias(c) if kinds[c].startswith("decimal") else F.col(c) for c in rows.columns if c not in leave]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json")
+
+
 def serialised(concepts: DataFrame) -> DataFrame:
-    """Concepts as JSON for an answer, without bodies, times as ISO texts: id, json."""
-    fields = [c for c in concepts.columns if c != "body"]
-    iso = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if dict(concepts.dtypes)[c] == "timestamp" else F.col(c) for c in fields]
-    return concepts.select("id", F.to_json(F.struct(*iso), {"ignoreNullFields": "false"}).alias("json"))
+    """Concepts as JSON for an answer, without bodies: id, json."""
+    return concepts.select("id", _json(concepts, ("body",)))
+
+
+def serialised_edges(edges: DataFrame) -> DataFrame:
+    """Edges as JSON for an answer: their key, json."""
+    key = ("from_store", "from_id", "to_store", "to_id", "kind")
+    return edges.select(*key, _json(edges))
+
+
+def serialised_entries(journal: DataFrame) -> DataFrame:
+    """Entries of a journal as JSON for an answer: entry, json. Their details stay an object."""
+    return journal.select("entry", _json(journal))

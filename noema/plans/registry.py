@@ -364,6 +364,22 @@ def title_classes(spark, sf_dir):
     return text_index.title_classes(_titles(spark, sf_dir)).select("id", "class")
 
 
+_STAGED = (
+    _SIMILAR.replace("'red widgets'", "'red'") + _WORDS.replace("'hot'", "'red'")
+    + ", lex AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM f UNION ALL SELECT id, rank FROM g) GROUP BY id ORDER BY score DESC, id LIMIT 20), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lex)"
+    + ", q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1), n AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM (SELECT 'part:' || vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM embeddings, q WHERE 'part:' || vec_id IN (SELECT id FROM concepts WHERE status <> 'tombstone')) QUALIFY rank <= 20)"
+    + " SELECT 'concept' AS stage, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM l UNION ALL SELECT id, rank FROM n) GROUP BY id ORDER BY score DESC, id LIMIT 20"
+)
+
+
+@query(_STAGED)
+def staged_concepts(spark, sf_dir):
+    """The second stage: no centroid is near enough, so words and vectors of concepts are fused."""
+    concepts, _ = graph.load(spark, sf_dir)
+    v = _vectors(spark, sf_dir).withColumn("id", F.concat(F.lit("part:"), F.col("id").cast("string")))
+    return search.staged(concepts, v, v.where("id = 'part:2'"), "red", v.where("id = 'part:1'").first()["vector"], least=0.999)
+
+
 @query("SELECT p_partkey, sha256(coalesce(p_name, '') || chr(30) || coalesce(p_type, '') || chr(30) || '') AS content_hash FROM part", on_graph=False)
 def content_hashes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalars.content_hash(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("content_hash"))

@@ -167,3 +167,16 @@ def test_a_merge_touches_only_its_buckets(spark, tmp_path):
         assert len({f.split("bucket=")[1].split("/")[0] for f in opened}) == sum(v == 1 for v in now.values())
         assert {r["id"]: r["n"] for r in table.read().collect()} == {f"k{k}": 0 for k in range(200)} | {"k1": 5, "new": 6}
     assert table.read(1).count() == 200 and table.merge(2, batch([]), put).count() == 0 and table.read().count() == 201
+
+
+def test_rows_as_json(spark):
+    from noema.operators import curation, reads
+
+    concepts = spark.createDataFrame([("a", "long", None, datetime(2026, 1, 2, 3, 4, 5), ["x"])], "id string, body string, title string, updated_at timestamp, tags array<string>")
+    assert json.loads(reads.serialised(concepts).first()["json"]) == {"id": "a", "title": None, "updated_at": "2026-01-02T03:04:05Z", "tags": ["x"]}
+    edges = spark.createDataFrame([("s", "a", "s", "b", "related", 0.5, None)], "from_store string, from_id string, to_store string, to_id string, kind string, weight double, verified_at timestamp")
+    row = reads.serialised_edges(edges).first()
+    assert (row["from_id"], row["kind"]) == ("a", "related") and json.loads(row["json"])["weight"] == 0.5 and json.loads(row["json"])["verified_at"] is None
+    journal = curation.create_concept(curation.empty(spark), "note:a", "s", "Note", "t", actor="me", now="2026-01-02 03:04:05").journal
+    got = json.loads(reads.serialised_entries(journal).first()["json"])
+    assert (got["entry"], got["change"], got["changed_at"]) == (1, "created", "2026-01-02T03:04:05Z") and isinstance(got["detail"], dict)
