@@ -3,8 +3,8 @@
 from noema.functions import markup
 from pyspark.sql import functions as F
 
-ISSUE = "h3. Plan\r\nbq. said once\n*all _done_ now* at {{a*b*c}}, by [~ann] in {color:red}red{color} !pic.png|thumb!\nsee [AB-12], [name | CD-3], [http://h/a_b_c], [[note:x]] and x[y z]\n* one\n** two\n## num\n||a||b||\n|1| 2 |\n{code:title=T|java}\nint *p*;\n{code}\n{panel:title=Mind|x=y}\nhold *on*\n{panel}\n{tip}\ngo\n{tip}\nCO~2~ and m^2^, -gone- +new+ snake_case_name 1-2-3 {code unclosed"
-WANT = "### Plan\n> said once\n**all *done* now** at `a*b*c`, by @ann in red ![pic.png](pic.png)\nsee [AB-12](http://w/browse/AB-12), [name](http://w/browse/CD-3), [http://h/a_b_c](http://h/a_b_c), [[note:x]] and x[y z]\n- one\n  - two\n  1. num\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```\nint *p*;\n```\n\n> **Mind**\n> hold **on**\n\n> **TIPP:**\n> go\n\nCO<sub>2</sub> and m<sup>2</sup>, ~~gone~~ <u>new</u> snake_case_name 1-2-3 {code unclosed"
+ISSUE = "h3. Plan\r\nbq. said once\n*all _done_ now* at {{a*b*c}}, by [~ann] in {color:red}red{color} !pic.png|thumb!\nsee [AB-12], [name | CD-3], [http://h/a_b_c], [[note:x]] and x[y z]\n* one\n** two\n## num\n||a||b||\n|1| 2 |\n{code:title=T|java}\nif (a*b*c) {}\n{code}\n{panel:title=Mind|x=y}\nhold *on*\n{panel}\n{tip}\ngo\n{tip}\nlog~b~(n) of 3^k^, -gone- +new+ snake_case_name 1-2-3 {code unclosed"
+WANT = "### Plan\n> said once\n**all *done* now** at `a*b*c`, by @ann in red ![pic.png](pic.png)\nsee [AB-12](http://w/browse/AB-12), [name](http://w/browse/CD-3), [http://h/a_b_c](http://h/a_b_c), [[note:x]] and x[y z]\n- one\n  - two\n  1. num\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```\nif (a*b*c) {}\n```\n\n> **Mind**\n> hold **on**\n\n> **TIPP:**\n> go\n\nlog<sub>b</sub>(n) of 3<sup>k</sup>, ~~gone~~ <u>new</u> snake_case_name 1-2-3 {code unclosed"
 
 
 def test_issue_markup(spark):
