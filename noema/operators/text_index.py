@@ -28,9 +28,9 @@ CHANGED = "store string, id string, gen long"
 
 def word_entries(concepts: DataFrame) -> DataFrame:
     """Words of living concepts with their places: store, id, term, places. Title, description and body (those that there are) count as one text; a word keeps its first places."""
-    rows = concepts.where("status <> 'tombstone'").select("store", "id", F.posexplode(text_words(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns)))).alias("at", "term"))
+    # texts are dealt out, not their words: what is grouped by concept and word already lies together by concept
+    rows = concepts.where("status <> 'tombstone'").repartition("id").select("store", "id", F.posexplode(text_words(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns)))).alias("at", "term"))
     numbered = rows.select("store", "id", "term", F.least(F.col("at") + 1, F.lit(LAST)).alias("at"))
-    # a text is one row of the scan, so its places meet before the shuffle
     return numbered.groupBy("store", "id", "term").agg(F.slice(F.array_sort(F.collect_set("at")), 1, PLACES).alias("places"))
 
 
