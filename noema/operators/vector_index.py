@@ -73,7 +73,7 @@ class VectorIndex:
             return pa.table({"list": pa.array(group * (1 << 32) + np.arange(len(found)), pa.int64()), "coarse": pa.array([group] * len(found), pa.int32()), "centre": _lists(found)})
 
         first.select("coarse", "vector", "n").groupBy("coarse").applyInArrow(fit, CENTRE).write.mode("overwrite").parquet(f"{self.path}/lists")
-        self._write(0, self._listed(placed, 1), rows.select("id").limit(0))
+        self._write(0, self._listed(placed, 1, keep=True), rows.select("id").limit(0))
         asked = checkpointed(rows.orderBy(F.xxhash64("vector"), "id").limit(queries))
         self._calibrate(asked, V.nearest(asked, rows, k, others=True), share)
         return self
@@ -105,8 +105,8 @@ class VectorIndex:
 
         return rows.select("id", "vector").mapInArrow(run, f"id {self.kind}, vector array<double>, coarse int, place int")
 
-    def _listed(self, grouped: DataFrame, most: int | None) -> DataFrame:
-        """Rows (id, vector, coarse) with the nearest lists of their group, ``most`` of them: id, vector, coarse, list, similarity. A group's rows meet its centres in blocks."""
+    def _listed(self, grouped: DataFrame, most: int | None, keep: bool = False) -> DataFrame:
+        """Rows (id, vector, coarse) with the nearest lists of their group, ``most`` of them: id, vector (null unless ``keep``), coarse, list, similarity. A group's rows meet its centres in blocks."""
         grouped = checkpointed(grouped.select("id", "vector", "coarse"))
         blocks = grouped.groupBy("coarse").agg(F.ceil(F.count("*") / V.BLOCK).cast("int").alias("blocks"))  # a row a group
         left = grouped.join(F.broadcast(blocks), "coarse").select("id", "vector", "coarse", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
@@ -120,15 +120,15 @@ class VectorIndex:
             count = min(most or len(names), len(names))
             order = np.argsort(-sims, axis=1, kind="stable")[:, :count]
             take = pa.array(np.repeat(np.arange(x.num_rows), count))
-            return pa.table({"id": x.column("id").take(take), "vector": x.column("vector").take(take), "coarse": x.column("coarse").take(take), "list": pa.array(names[order.ravel()], pa.int64()), "similarity": pa.array(np.take_along_axis(sims, order, axis=1).ravel())})
+            return pa.table({"id": x.column("id").take(take), "vector": x.column("vector").take(take) if keep else pa.nulls(len(take), pa.list_(pa.float64())), "coarse": x.column("coarse").take(take), "list": pa.array(names[order.ravel()], pa.int64()), "similarity": pa.array(np.take_along_axis(sims, order, axis=1).ravel())})
 
         return left.groupBy("coarse", "block").cogroup(centres.groupBy("coarse", "block")).applyInArrow(near, f"id {self.kind}, vector array<double>, coarse int, list long, similarity double")
 
     def _asked(self, grouped: DataFrame, most: int | None) -> DataFrame:
-        """The nearest lists of queries over all their groups: id, vector, list, place."""
+        """The nearest lists of queries over all their groups: id, list, place. No vectors: queries ask many lists."""
         order = W.partitionBy("id").orderBy(F.desc("similarity"), "list")
-        found = self._listed(grouped, most).withColumn("place", F.row_number().over(order))
-        return (found if most is None else found.where(F.col("place") <= most)).select("id", "vector", "list", "place")
+        found = self._listed(grouped, most).select("id", "list", "similarity").withColumn("place", F.row_number().over(order))
+        return (found if most is None else found.where(F.col("place") <= most)).select("id", "list", "place")
 
     def _bucket(self, column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
@@ -152,7 +152,7 @@ class VectorIndex:
         gen = self._table("changed", f"id {self.kind}, gen long").agg(F.max("gen")).first()[0] + 1
         touched = vectors.select("id").where("id is not null")
         touched = touched if removed is None else touched.unionAll(removed.select("id"))
-        self._write(gen, self._listed(self._grouped(self._rows(vectors), 1), 1), touched)
+        self._write(gen, self._listed(self._grouped(self._rows(vectors), 1), 1, keep=True), touched)
         return gen
 
     def search(self, queries: DataFrame, k: int, least: float | None = None, allowed: DataFrame | None = None, others: bool = False) -> DataFrame:
@@ -162,8 +162,10 @@ class VectorIndex:
         read their lists' buckets alone. A list of very many rows is compared in blocks.
         """
         p1, p2 = self.probes()
-        asked = checkpointed(self._asked(self._grouped(self._rows(queries), p1), p2))
-        few = asked.select("list", self._bucket(F.col("list")).alias("b")).distinct().limit(64 * p2 + 1).collect() if queries.limit(65).count() <= 64 else []
+        rows = checkpointed(self._rows(queries).select("id", "vector"))
+        lists = checkpointed(self._asked(self._grouped(rows, p1), p2).groupBy("id").agg(F.collect_set("list").alias("lists")))
+        asked = rows.join(lists, "id")
+        few = lists.select(F.explode("lists").alias("list")).select("list", self._bucket(F.col("list")).alias("b")).distinct().limit(64 * p2 + 1).collect() if queries.limit(65).count() <= 64 else []
         targets = self.live((lambda df: df.where(F.col("bucket").isin(*{r["b"] for r in few}) & F.col("list").isin(*{r["list"] for r in few}))) if few else (lambda df: df))
         if allowed is not None:
             targets = targets.join(allowed.select("id").distinct(), "id", "left_semi")

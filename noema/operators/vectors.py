@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 
 from noema.operators.common import checkpointed
 
-#: Vectors of a block in a comparison of all with all.
-BLOCK = 4096
+#: Vectors of a block at the least, and bytes of one; comparisons of all with all send each vector once for each block of the other side.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Blocks of a side, if there are vectors for them, so that there is work for many tasks.
+SPREAD = 6
 #: Links that one task can turn into components.
 SMALL = 100_000
 
@@ -75,7 +77,9 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, least: float | None
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
         rows = rows.where("id is not null and vector is not null")
-        blocks = -(-rows.count() // BLOCK) or 1
+        n, cells = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+        large = max(BLOCK, BLOCK_BYTES // (8 * max(1, cells)))
+        blocks = max(-(-n // large), min(-(-n // BLOCK), SPREAD), 1)
         return rows.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), blocks
 
     (ours, m_blocks), (theirs, n_blocks) = dealt(queries), dealt(targets)
@@ -95,27 +99,46 @@ def _compared(left: DataFrame, right: DataFrame, keys: list[str], k: int, apart:
     """The best ``k`` of each left row (id, vector), by similarity and then id, among the right rows of the same ``keys``, a task for each value of these: id, other, similarity."""
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if x.num_rows and y.num_rows:
-            y = y.sort_by("id")  # places are in the order of ids
-            names, others = (t.column("id").to_numpy() for t in (x, y))
-            m, n = (_units(np.stack(t.column("vector").to_numpy())) for t in (x, y))
-            for begin in range(0, len(names), 512):
-                sims = m[begin : begin + 512] @ n.T
-                if apart:
-                    sims[names[begin : begin + 512, None] == others[None, :]] = -np.inf
-                for r, row in enumerate(sims):
-                    last = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    above = np.flatnonzero(row > last)
-                    at = np.concatenate([above, np.flatnonzero((row == last) & (row > -np.inf))[: k - len(above)]])
-                    out.append((np.full(len(at), begin + r), at, row[at]))
-        i, j, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"id": x.column("id").take(pa.array(i, pa.int64())), "other": y.column("id").take(pa.array(j, pa.int64())), "similarity": pa.array(s, pa.float64())})
+        if not x.num_rows or not y.num_rows:
+            return _answers(x, y, [], k)
+        y = y.sort_by("id")  # places are in the order of ids
+        names, others = (t.column("id").to_numpy() if apart else None for t in (x, y))
+        m, n = (_units(np.stack(t.column("vector").to_numpy())) for t in (x, y))
+        return _answers(x, y, _best(m, n, k, names, others), k)
 
     kind, others = (df.schema["id"].dataType.simpleString() for df in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"id {kind}, other {others}, similarity double")
 
 
+def _best(m: np.ndarray, n: np.ndarray, k: int, names: np.ndarray | None = None, others: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of ``m`` its place and the places and products of its best ``k`` rows of ``n``, ties by place; rows of the same name don't count, where names are given."""
+    out, step = [], max(1, (1 << 22) // max(1, len(n)))
+    for begin in range(0, len(m), step):
+        sims = m[begin : begin + step] @ n.T
+        if names is not None:
+            sims[names[begin : begin + step, None] == others[None, :]] = -np.inf
+        last = np.partition(sims, len(n) - k, axis=1)[:, len(n) - k, None] if len(n) > k else -np.inf
+        good = (sims >= last) & (sims > -np.inf)
+        for r in np.flatnonzero(good.sum(axis=1) > k):  # of many equal products the first
+            above = np.flatnonzero(sims[r] > last[r])
+            tied = np.flatnonzero((sims[r] == last[r]) & (sims[r] > -np.inf))[: k - len(above)]
+            good[r] = False
+            good[r, above] = good[r, tied] = True
+        i, j = np.nonzero(good)
+        out.append((i + begin, j, sims[i, j]))
+    return out
+
+
+def _answers(x: pa.Table, y: pa.Table, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pa.Table:
+    """id, other and similarity of pairs of places, of which the best ``k`` of each row of ``x`` are left, ties by place."""
+    i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    i, j, s = i[keep], j[keep], s[keep]
+    return pa.table({"id": x.column("id").take(pa.array(i, pa.int64())), "other": y.column("id").take(pa.array(j, pa.int64())), "similarity": pa.array(s, pa.float64())})
+
+
 def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
@@ -137,15 +160,52 @@ def spherical(units: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 
 
 def compared_in_lists(asking: DataFrame, targets: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
-    """The ``k`` nearest targets (id, vector, list) of each query among those of the lists that it asks (a row each: id, vector, list): id, other, similarity, rank. Lists meet in blocks, a task each."""
-    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = checkpointed(blocks(asking, "m").join(blocks(targets, "n"), "list"))
+    """The ``k`` nearest targets (id, vector, list) of each query among those of the lists that it asks (id, vector, lists: different ones): id, other, similarity, rank.
+
+    Lists are bundled, and a query goes once to each bundle that holds one of its lists, however
+    many of these it asks: the k best of a bundle, not of a list, come back. Both sides of a
+    bundle are dealt out in blocks, a task for each pair.
+    """
+    n, cells = targets.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    large = max(BLOCK, BLOCK_BYTES // (8 * max(1, cells)))
+    bundles = max(-(-n // large), min(-(-n // BLOCK), SPREAD), 1)
+    bundle = lambda c: F.pmod(F.xxhash64(c), F.lit(bundles)).cast("int")
+    asks = asking.where(F.size("lists") > 0).withColumn("bundle", F.explode(F.array_distinct(F.transform("lists", bundle))))
+    asks = asks.select("id", "vector", "bundle", F.filter("lists", lambda c: bundle(c) == F.col("bundle")).alias("lists"))
+    holds = targets.withColumn("bundle", bundle(F.col("list")))
+    blocks = lambda df, name: df.groupBy("bundle").agg(F.ceil(F.count("*") / large).cast("int").alias(name))
+    sizes = checkpointed(blocks(asks, "m").join(blocks(holds, "n"), "bundle"))  # a row a bundle
     block = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = asking.join(sizes, "list").select("id", "vector", "list", block("m").alias("a"), every("n").alias("b"))
-    right = targets.join(sizes, "list").select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.col("list").alias("list"), every("m").alias("a"), block("n").alias("b"))
-    found = _ranked(_compared(left, right, ["list", "a", "b"], k, others), k)
-    return found if least is None else found.where(F.col("similarity") >= least)
+    left = asks.join(F.broadcast(sizes), "bundle").select("id", "vector", "lists", "bundle", block("m").alias("a"), every("n").alias("b"))
+    right = holds.join(F.broadcast(sizes), "bundle").select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.col("list").alias("list"), F.col("bundle").alias("bundle"), every("m").alias("a"), block("n").alias("b"))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return _answers(x, y, [], k)
+        y = y.sort_by([("list", "ascending"), ("id", "ascending")])
+        names, theirs = (t.column("id").to_numpy() for t in (x, y))
+        m, n = (_units(np.stack(t.column("vector").to_numpy())) for t in (x, y))
+        lists = x.column("lists").combine_chunks()
+        asked, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        order = np.argsort(asked, kind="stable")
+        asked, row = asked[order], row[order]
+        held = y.column("list").to_numpy()
+        found = []
+        for name in np.unique(held):
+            at = slice(*np.searchsorted(held, [name, name + 1]))
+            who = row[slice(*np.searchsorted(asked, [name, name + 1]))]
+            for i, j, s in _best(m[who], n[at], k, *((names[who], theirs[at]) if others else ())):
+                found.append((who[i], j + at.start, s))
+        # ties go by id over all lists
+        rank = np.argsort(np.argsort(theirs, kind="stable"), kind="stable")
+        by_id = y.sort_by("id")
+        return _answers(x, by_id, [(i, rank[j], s) for i, j, s in found], k)
+
+    kind, other = (df.schema["id"].dataType.simpleString() for df in (left, right))
+    found = left.groupBy("bundle", "a", "b").cogroup(right.groupBy("bundle", "a", "b")).applyInArrow(best, f"id {kind}, other {other}, similarity double")
+    ranked = _ranked(found, k)
+    return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
 def _fitted(rows: DataFrame, k: int, lists: int, probes: int | None, share: float, sample: int, rounds: int = 8) -> tuple[np.ndarray, int]:
@@ -196,7 +256,7 @@ def approximate(vectors: DataFrame, k: int, least: float | None = None, probes:
     alike = rows.withColumn("place", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
     placed = checkpointed(alike.mapInArrow(dealt, f"id {kind}, vector array<double>, place int, near array<int>"))
     targets = placed.select("id", "vector", F.col("near")[0].alias("list"))
-    asking = placed.where("place = 1").select("id", "vector", F.explode("near").alias("list"))
+    asking = placed.where("place = 1").select("id", "vector", F.col("near").alias("lists"))
     answers = checkpointed(compared_in_lists(asking, targets, k + 1))
     first = placed.where("place = 1").select(F.col("id").alias("first"), "vector")
     own = rows.join(first, "vector").select("id", "first")
