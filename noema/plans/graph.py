@@ -24,9 +24,19 @@ UNION ALL SELECT 'shared', concat('part:', l_partkey), 'shared', concat('supplie
 """
 
 
+#: Lines of orders, the largest table, for each partition that shuffles of the graph begin with.
+ROWS = 250_000
+
+
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Concepts and edges as DataFrames; only the columns that a query uses are read."""
+    """Concepts and edges as DataFrames; only the columns that a query uses are read.
+
+    Shuffles of the session begin with partitions by the size of the graph (at least as many as its setting says), which Spark joins where
+    they are small: with a fixed number, the memory of a task would grow with the tables.
+    """
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tables["lineitem"].count() // ROWS + 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     used = lambda text: {t: df for t, df in tables.items() if "{" + t + "}" in text}
     return spark.sql(CONCEPTS, **used(CONCEPTS)), spark.sql(EDGES, **used(EDGES))
 
