@@ -24,12 +24,30 @@ PLACES, LAST = 255, 16383
 WORD = "store string, id string, term string, places array<int>, bucket int, gen long"
 GRAM = "store string, id string, term string, size int, bucket int, gen long"
 CHANGED = "store string, id string, gen long"
+#: Characters that a task indexes, where one of a title, which makes about as many entries as ten of other texts, counts as ten.
+TEXT = 32_000_000
+#: Numbers that concepts are hashed to, to tell which entries a later generation may have replaced: no more lines than that are broadcast.
+MARKS = 1 << 20
 
 
-def word_entries(concepts: DataFrame) -> DataFrame:
+def _texts(concepts: DataFrame) -> list[str]:
+    return [c for c in ("title", "description", "body") if c in concepts.columns]
+
+
+def task_count(concepts: DataFrame) -> int:
+    """Tasks to index ``concepts`` in: they follow the texts, so that a task's memory doesn't."""
+    weighed = (F.coalesce(F.length(c), F.lit(0)) * (10 if c == "title" else 1) for c in _texts(concepts))
+    held = concepts.agg(F.sum(sum(weighed, F.lit(0)))).first()[0] or 0
+    spark = concepts.sparkSession
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), held // TEXT + 1)
+
+
+def word_entries(concepts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Words of living concepts with their places: store, id, term, places. Title, description and body (those that there are) count as one text; a word keeps its first places."""
     # texts are dealt out, not their words: what is grouped by concept and word already lies together by concept
-    rows = concepts.where("status <> 'tombstone'").repartition("id").select("store", "id", F.posexplode(text_words(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in concepts.columns)))).alias("at", "term"))
+    living = concepts.where("status <> 'tombstone'")
+    dealt = living.repartition("id") if tasks is None else living.repartition(tasks, "id")
+    rows = dealt.select("store", "id", F.posexplode(text_words(F.concat_ws(" ", *_texts(concepts)))).alias("at", "term"))
     numbered = rows.select("store", "id", "term", F.least(F.col("at") + 1, F.lit(LAST)).alias("at"))
     return numbered.groupBy("store", "id", "term").agg(F.slice(F.array_sort(F.collect_set("at")), 1, PLACES).alias("places"))
 
@@ -42,7 +60,11 @@ def gram_entries(concepts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An index at a path that all executors see, with ``buckets`` files of terms a generation."""
+    """An index at a path that all executors see, with ``buckets`` folders of terms a generation.
+
+    Entries are written where they are made, so a task of an update or a compaction has a file in each
+    folder that it has terms of; they would take more room in a shuffle than on disk.
+    """
 
     spark: SparkSession
     path: str
@@ -66,8 +88,8 @@ class TextIndex:
 
     def _write(self, gen: int, changed: DataFrame, words: DataFrame, grams: DataFrame) -> None:
         for name, rows in (("words", words), ("grams", grams)):
-            dealt = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
-            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/gen={gen}")
+            placed = rows.withColumn("bucket", self._bucket(F.col("term"))).sortWithinPartitions("bucket", "term")
+            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/gen={gen}")
         # the empty row marks the generation as complete even where nothing was changed
         mark = self.spark.range(1).select(F.lit(None).cast("string").alias("store"), F.lit(None).cast("string").alias("id"))
         changed.select("store", "id").distinct().unionAll(mark).write.mode("overwrite").parquet(f"{self.path}/changed/gen={gen}")
@@ -77,17 +99,26 @@ class TextIndex:
         gen = self.generation() + 1
         touched = concepts.select("store", "id")
         touched = touched if removed is None else touched.unionAll(removed.select("store", "id"))
-        self._write(gen, touched, word_entries(concepts), gram_entries(concepts))
+        tasks = task_count(concepts)
+        self._write(gen, touched, word_entries(concepts, tasks), gram_entries(concepts.repartition(tasks, "id")))
         return gen
 
     def live(self, name: str, schema: str, terms: list[str] | None = None) -> DataFrame:
-        """Entries that hold, of ``terms`` or of all. Only the buckets of the terms are read."""
+        """Entries that hold, of ``terms`` or of all. Only the buckets of the terms are read; of all, only entries that may have been replaced are shuffled."""
         done = self.generation()
         rows = self._table(name, schema).where(F.col("gen") <= done)
         if terms is not None:
             rows = rows.where(F.col("term").isin(*terms) & F.col("bucket").isin(*(self._bucket(F.lit(t)) for t in terms))) if terms else rows.limit(0)
-        last = self._table("changed", CHANGED).where("id is not null").groupBy("store", "id").agg(F.max("gen").alias("last"))
-        return rows.join(last, ["store", "id"], "left").where("last is null or gen >= last").drop("last", "bucket", "gen")
+        changed = self._table("changed", CHANGED).where("id is not null").groupBy("store", "id").agg(F.max("gen").alias("last"), F.min("gen").alias("first"))
+        # what has changed in one generation only has no other entries
+        last = changed.where("last > first").select("store", "id", "last").hint("shuffle_hash")
+        settled = lambda found: found.join(last, ["store", "id"], "left").where("last is null or gen >= last").drop("last")
+        if terms is not None:
+            return settled(rows).drop("bucket", "gen")
+        mark = F.pmod(F.xxhash64("store", "id"), F.lit(MARKS)).alias("mark")
+        marked = rows.withColumn("mark", mark).join(F.broadcast(last.groupBy(mark).agg(F.max("last").alias("latest"))), "mark", "left").drop("mark")
+        sure, doubtful = marked.where("latest is null or gen >= latest"), marked.where("gen < latest")
+        return sure.drop("latest").unionByName(settled(doubtful.drop("latest"))).drop("bucket", "gen")
 
     def compact(self) -> int:
         """One generation with all that holds; earlier ones count no more, since every concept is among its changed ones."""
