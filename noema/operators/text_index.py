@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from noema.functions.scalars import text_rank, text_words, trigrams
-from noema.operators.common import lookup
+from noema.operators.common import checkpointed, lookup
 
 #: Fixed values of the rank: places of a word that are kept, and the largest place.
 PLACES, LAST = 255, 16383
@@ -28,6 +28,8 @@ CHANGED = "store string, id string, gen long"
 TEXT = 32_000_000
 #: Numbers that concepts are hashed to, to tell which entries a later generation may have replaced: no more lines than that are broadcast.
 MARKS = 1 << 20
+#: Titles whose trigrams a task makes.
+TITLES = 100_000
 
 
 def _texts(concepts: DataFrame) -> list[str]:
@@ -153,10 +155,13 @@ def _placed(rows: DataFrame, by: str, limit: int) -> DataFrame:
 
 
 def title_classes(concepts: DataFrame) -> DataFrame:
-    """Living concepts by the set of trigrams of their title: store, id, class (the smallest id of those alike). Titles without words are in no class."""
-    sets = concepts.where("status <> 'tombstone'").select("store", "id", F.array_sort(trigrams(F.col("title"))).alias("set")).where(F.size("set") > 0)
-    names = sets.groupBy("set").agg(F.min("id").alias("class"))
-    return sets.join(names, "set").select("store", "id", "class", "set")
+    """Living concepts by the set of trigrams of their title: store, id, class (the smallest id of those alike), set. Titles without words are in no class."""
+    # a title goes to its task before its trigrams are made, and what meets is one text of three characters a trigram
+    titles = concepts.where("status <> 'tombstone'").select("store", "id", "title").repartition(max(1, concepts.count() // TITLES), "id")
+    sets = titles.select("store", "id", F.array_join(F.array_sort(trigrams(F.col("title"))), "").alias("grams")).where("grams <> ''")
+    names = sets.groupBy("grams").agg(F.min("id").alias("class"))
+    set_ = F.transform(F.sequence(F.lit(1), F.length("grams"), F.lit(3)), lambda k: F.col("grams").substr(k, F.lit(3)))
+    return sets.join(names.hint("merge"), "grams").select("store", "id", "class", set_.alias("set"))
 
 
 def title_candidates(classes: DataFrame, least: float) -> DataFrame:
@@ -176,14 +181,15 @@ def title_candidates(classes: DataFrame, least: float) -> DataFrame:
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
     needed = F.lit(least / (1 + least) - 1e-9) * (F.col("n_a") + F.col("n_b"))
     fits = (F.col("a") < F.col("b")) & (F.col("n_b") >= F.col("n_a") * (least - 1e-9)) & (F.col("n_a") >= F.col("n_b") * (least - 1e-9)) & (left >= needed)
-    return a.join(b, "gram").where(fits).select("a", "b").distinct()
+    return a.join(b.hint("merge"), "gram").where(fits).select("a", "b").distinct()
 
 
 def similar_titles(concepts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Titles with at least ``least`` of all trigrams in common: pairs of different classes (a, b, similarity), and the classes of all concepts (store, id, class). Concepts of one class are alike and no pairs."""
-    classes = title_classes(concepts)
-    sets = classes.groupBy("class").agg(F.first("set").alias("set"))
-    sides = [sets.select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab"]
+    classes = checkpointed(title_classes(concepts))
+    sets = checkpointed(classes.where(F.col("id") == F.col("class")).dropDuplicates(["class"]).select("class", "set"))
+    # sets go to their pairs in shuffles, as on disk they are far smaller than in the driver's memory
+    sides = [sets.select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")).hint("merge") for k in "ab"]
     pairs = title_candidates(sets, least).join(sides[0], "a").join(sides[1], "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     scored = pairs.select("a", "b", (shared / (F.size("set_a") + F.size("set_b") - shared)).alias("similarity"))
