@@ -26,7 +26,7 @@ def resolve_targets(references: DataFrame, concepts: DataFrame, priority: list[s
     """The store of each referenced id: own store first, then in the order of ``priority``; without a living concept the own store, unresolved: from_store, to_id, to_store, resolved."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("store")), F.lit(0))
     living = concepts.where("status <> 'tombstone'").select(F.col("id").alias("to_id"), "store")
-    found = references.join(living, "to_id", "left").withColumn("order", F.when(F.col("store") == F.col("from_store"), 0).when(rank > 0, rank).otherwise(len(priority) + 1))
+    found = references.join(living.hint("merge"), "to_id", "left").withColumn("order", F.when(F.col("store") == F.col("from_store"), 0).when(rank > 0, rank).otherwise(len(priority) + 1))
     may = F.col("store").isNull() | (F.col("store") == F.col("from_store")) | (F.col("from_store") == "personal")
     found = found.withColumn("store", F.when(may, F.col("store")))
     best = found.groupBy("from_store", "to_id").agg(F.min_by("store", F.when(F.col("store").isNotNull(), F.col("order"))).alias("store"))
