@@ -75,11 +75,11 @@ def hybrid(concepts: DataFrame, vectors: DataFrame, query: str, vector: list[flo
 
 
 def staged(concepts: DataFrame, vectors: DataFrame, centroids: DataFrame, query: str, vector: list[float] | None, limit: int = 20, granularity: str | None = None, least: float = 0.7, index: TextIndex | None = None) -> DataFrame:
-    """Clusters if the query lies near enough to a centroid (id, vector), else concepts: stage, id, score. Without a vector the search is lexical; ``granularity`` (cluster, concept) forces a stage."""
+    """Clusters if the query lies near enough to a centroid (id, vector), else concepts: stage, id, score. Without a vector the search is lexical; ``granularity`` (cluster, concept) forces a stage, and that of clusters finds nothing where none is near enough."""
     if vector is None:
         return lexical(concepts, query, limit, index).select(F.lit("lexical").alias("stage"), "id", "score")
     if granularity != "concept":
-        near = V.search(centroids, vector, limit, None if granularity == "cluster" else least)
+        near = V.search(centroids, vector, limit, least)
         if granularity == "cluster" or not near.isEmpty():
             return near.select(F.lit("cluster").alias("stage"), "id", F.round("similarity", 9).alias("score"))
     return hybrid(concepts, vectors, query, vector, limit, index).select(F.lit("concept").alias("stage"), "id", "score")

@@ -321,9 +321,14 @@ def mean_similarity(groups: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def centroids(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """Component-wise mean of each group's vectors, not of unit length: component, size, vector."""
-    cells = vectors.join(groups, vectors["id"] == groups["node"]).select("component", F.posexplode("vector").alias("at", "value"))
-    means = cells.groupBy("component", "at").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count("*").alias("size"))
-    return means.groupBy("component").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda c: c["mean"]).alias("vector"))
+    return means(vectors.join(groups, vectors["id"] == groups["node"]).select("component", "vector"))
+
+
+def means(rows: DataFrame) -> DataFrame:
+    """``centroids`` of rows that name their group (component, vector)."""
+    cells = rows.select("component", F.posexplode("vector").alias("at", "value"))
+    places = cells.groupBy("component", "at").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count("*").alias("size"))
+    return places.groupBy("component").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda c: c["mean"]).alias("vector"))
 
 
 def split_large(groups: DataFrame, most: int) -> DataFrame:
