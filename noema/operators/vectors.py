@@ -273,23 +273,30 @@ def bands(pairs: DataFrame, candidate: float, automatic: float) -> DataFrame:
 def components(pairs: DataFrame, a: str = "id", b: str = "other", rounds: int = 60, small: int = SMALL) -> DataFrame:
     """Connected components of undirected pairs: node, component (its smallest node).
 
-    Labels and their labels' labels in turn, each round a written table. At most ``small`` pairs are one task's work.
+    Every node follows the one of the least hash among itself and those next to it, what follows one node becomes one, and the
+    pairs between these are left: a round takes away a share of the nodes however long the ways are, so written tables shrink. At
+    most ``small`` pairs are one task's work. The names of the rounds are put together backwards.
     """
-    given = checkpointed(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct())
-    kind = given.schema["x"].dataType.simpleString()
-    if given.limit(small + 1).count() <= small:
-        return given.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_joined, f"node {kind}, component {kind}")
-    links = checkpointed(given.unionAll(given.select("y", "x")).distinct())
-    label = checkpointed(links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("component")))
-    for _ in range(rounds):
-        near = links.join(label, links["y"] == label["node"]).groupBy("x").agg(F.min("component").alias("near"))
-        lowered = label.join(near, label["node"] == near["x"]).select("node", F.least("component", "near").alias("component"))
-        up = lowered.select(F.col("node").alias("c"), F.col("component").alias("jump"))
-        new = checkpointed(lowered.join(up, lowered["component"] == up["c"], "left").select("node", F.least("component", F.coalesce("jump", "component")).alias("component")))
-        if new.exceptAll(label).isEmpty():
-            return new
-        label = new
-    raise RuntimeError("components did not settle")
+    left = checkpointed(pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
+    kind = left.schema["x"].dataType.simpleString()
+    named = []
+    while left.limit(small + 1).count() > small:
+        if len(named) == rounds:
+            raise RuntimeError("components did not settle")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(named)), c).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = left.unionAll(left.select("y", "x"))
+        led = checkpointed(both.groupBy("x").agg(F.min(rank("y")).alias("least")).select(F.col("x").alias("node"), F.least("least", rank("x"))["node"].alias("leader")))
+        # the smallest node of those that follow a leader stands for them
+        names = checkpointed(led.join(led.groupBy("leader").agg(F.min("node").alias("name")), "leader").select("node", "name"))
+        named.append(names)
+        for end in ("x", "y"):
+            left = left.join(names.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("name", end)
+        left = checkpointed(left.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    found = left.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_joined, f"node {kind}, component {kind}")
+    for names in reversed(named):
+        later = found.select(F.col("node").alias("name"), "component")
+        found = checkpointed(names.join(later, "name", "left").select("node", F.coalesce("component", "name").alias("component")))
+    return found
 
 
 def _joined(key: tuple, table: pa.Table) -> pa.Table:
